@@ -18,7 +18,7 @@ def cosine(a, b) -> Column:
 def column_similarity(
     df: DataFrame, target: str, others, limit: int | None = None, key: str = "id"
 ) -> DataFrame:
-    """``column, similarity``: mean cosine of ``target`` and each other column, largest first.
+    """``column_name, similarity``: mean cosine of ``target`` and each other column, largest first.
 
     Rows with any null are left out. One scan serves all columns. ``limit`` keeps the
     first rows by ``key``, as an option of the caller.
@@ -29,7 +29,7 @@ def column_similarity(
     means = rows.agg(*[F.avg(cosine(target, c)).alias(c) for c in others])
     long = means.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("similarity")) for c in others])
+            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("similarity")) for c in others])
         ).alias("_r")
     )
-    return long.select("_r.column", "_r.similarity").orderBy(F.desc("similarity"), "column")
+    return long.select("_r.column_name", "_r.similarity").orderBy(F.desc("similarity"), "column_name")
