@@ -1,18 +1,22 @@
 """Order-dependent work without a window over a whole table or a hot group.
 
-Every helper splits the order into buckets, aggregates per bucket (map-side
-combined), accumulates over the small bucket table, and only then looks inside
-the buckets. Results equal the plain window function.
+A table whose counted size is small is ranked by the plain window function. Beyond that
+every helper splits the order into buckets, aggregates per bucket (map-side combined),
+accumulates over the small bucket table, and only then looks inside the buckets. Both
+ways give the same result.
 """
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolsift.session import shared_dir
+from poolsift.session import pin, shared_dir
 
-# 4096 buckets of a hash prefix; 32 x 32 buckets of a numeric order.
+# 4096 buckets of a hash prefix; up to 1024 equal-depth buckets of a numeric order.
 HASH_PREFIX = 3
-FANOUT = 32
+CELLS = 1024
+# Rows up to which one sorted pass may hold a table.
+SMALL = 100_000
 # Largest n that is taken with one sorted top-n per partition and a merge.
 TOP_LIMIT = 50_000
 
@@ -31,35 +35,48 @@ def hash_int(h: Column) -> Column:
 # --- numeric order -------------------------------------------------------------------
 
 
-def _with_range_bucket(df: DataFrame, order: str, alias: str = "_bucket") -> DataFrame:
-    """Equal-depth buckets of a numeric order, so gaps in the ids do not skew them."""
-    cells = FANOUT * FANOUT
-    cuts = df.agg(
-        F.percentile_approx(order, [i / cells for i in range(1, cells)], 10_000)
-    ).scalar()
-    wide = df.withColumn("_cuts", cuts).withColumn(
-        "_coarse", F.transform(F.sequence(F.lit(1), F.lit(FANOUT - 1)), lambda i: F.get("_cuts", i * FANOUT - 1))
-    )
-    x = F.col(order)
-    step = F.size(F.filter("_coarse", lambda b: b <= x))
-    wide = wide.withColumn("_step", F.coalesce(step, F.lit(0)))
-    inner = F.size(F.filter(F.slice("_cuts", F.col("_step") * FANOUT + 1, FANOUT - 1), lambda b: b <= x))
-    return wide.withColumn(alias, F.col("_step") * FANOUT + F.coalesce(inner, F.lit(0))).drop(
-        "_cuts", "_coarse", "_step"
-    )
+def _cuts(df: DataFrame, order: str, small: int) -> list[float] | None:
+    """Bounds of equal-depth buckets, so gaps in the ids do not skew them; None for a small table.
 
+    One aggregate returns the row count and at most ``CELLS`` numbers. Being values, they
+    are the same in every pass over the rows.
+    """
+    shares = F.split(F.lit(",".join(str(i / CELLS) for i in range(1, CELLS))), ",").cast("array<double>")
+    spread = F.percentile_approx(F.col(order).cast("double"), shares, 10_000)
+    n, bounds = df.agg(F.count("*"), spread).first()
+    if n <= small:
+        return None
+    return [float("-inf"), *sorted(set(bounds)), float("inf")]
 
-def running(df: DataFrame, order: str, values: dict, groups=()) -> DataFrame:
-    """Running ``sum`` or ``max`` over a numeric, unique order, per group.
 
-    ``values`` maps an output name to ``(column, "sum" | "max")``.
-    """
-    return _accumulate(_with_range_bucket(df, order), [order], values, list(groups))
+def _bucketed(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
+    keyed = df.withColumn("_order", F.col(order).cast("double"))
+    bucketizer = Bucketizer(splits=cuts, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
+    return bucketizer.transform(keyed).drop("_order")
+
 
+def running(
+    df: DataFrame, order: str, values: dict, groups=(), pinned: bool = False, small: int | None = None
+) -> DataFrame:
+    """Running ``sum`` or ``max`` over a numeric, unique order, per group.
 
-def positions(df: DataFrame, order: str, groups=(), alias: str = "position") -> DataFrame:
+    ``values`` maps an output name to ``(column, "sum" | "max")``. ``pinned`` says that
+    the input is worth writing once rather than computing it for each pass.
+    """
+    cuts = _cuts(df, order, SMALL if small is None else small)
+    if cuts is None:
+        fold = {"sum": F.sum, "max": F.max}
+        upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[fold[how](c).over(upto).alias(a) for a, (c, how) in values.items()])
+    source = pin(df, "ordered") if pinned else df
+    return _accumulate(_bucketed(source, order, cuts), [order], values, list(groups))
+
+
+def positions(
+    df: DataFrame, order: str, groups=(), alias: str = "position", pinned: bool = False, small: int | None = None
+) -> DataFrame:
     """``row_number`` over a numeric, unique order, per group."""
-    return running(df, order, {alias: (F.lit(1).cast("long"), "sum")}, groups)
+    return running(df, order, {alias: (F.lit(1).cast("long"), "sum")}, groups, pinned, small)
 
 
 def hash_positions(df: DataFrame, id_col: str, seed, groups=(), alias: str = "position") -> DataFrame:
@@ -99,16 +116,22 @@ def _accumulate(df: DataFrame, order, values: dict, groups) -> DataFrame:
     return left.join(right, same).select(*out, *[combine(a, how).alias(a) for a, (_, how) in values.items()])
 
 
-def with_previous(df: DataFrame, order: str, columns: dict, groups=()) -> DataFrame:
+def with_previous(df: DataFrame, order: str, columns: dict, groups=(), small: int | None = None) -> DataFrame:
     """``lag`` by one row: ``columns`` maps an output name to the column of the row before.
 
-    Neighbours meet by an equi-join on (group, position), so a group of any size spreads.
+    Beyond a small table neighbours meet by an equi-join on (group, position), so a group
+    of any size spreads.
     """
-    placed = positions(df, order, groups, alias="_pos")
+    cuts = _cuts(df, order, SMALL if small is None else small)
+    if cuts is None:
+        along = Window.partitionBy(*groups).orderBy(order)
+        return df.select("*", *[F.lag(c).over(along).alias(a) for a, c in columns.items()])
+    counted = {"_pos": (F.lit(1).cast("long"), "sum")}
+    placed = _accumulate(_bucketed(pin(df, "ordered"), order, cuts), [order], counted, list(groups))
     before = placed.select(
         *groups, (F.col("_pos") + 1).alias("_pos"), *[F.col(c).alias(a) for a, c in columns.items()]
     )
-    return placed.join(before, [*groups, "_pos"], "left").drop("_pos").select(*df.columns, *columns)
+    return placed.join(before, [*groups, "_pos"], "left").select(*df.columns, *columns)
 
 
 # --- exact cuts in seeded hash order -------------------------------------------------

@@ -70,7 +70,7 @@ def early_performance(results: DataFrame) -> DataFrame:
     rows = scored_rows(results).select("id", "method", "macro_f1")
     sizes = rows.groupBy("method").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 4)
     quarter = sizes.select("method", F.floor(F.col("_n") / 4).alias("early_iteration"))
-    placed = positions(rows, "id", ["method"])
+    placed = positions(rows, "id", ["method"], pinned=True)
     return placed.join(quarter, "method").filter(F.col("position") == F.col("early_iteration") + 1).select(
         "method", "early_iteration", F.col("macro_f1").alias("early_performance")
     )

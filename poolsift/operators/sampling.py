@@ -182,7 +182,7 @@ def stratified_subsample(ranked: DataFrame, n: int, seed=42, rank: str = "rank",
     rows are returned when there are at most ``n``. Class sizes come from one row per
     class; ranks inside a class do not need the class in one task.
     """
-    placed = positions(ranked, rank, [label_col], alias="_in_class")
+    placed = positions(ranked, rank, [label_col], "_in_class", pinned=True)
     sizes = ranked.groupBy(label_col).agg(F.count("*").alias("_n"), F.min(rank).alias("_seen"))
     name = F.coalesce(F.col(label_col).cast("string"), F.lit(""))
     drawn = Window.orderBy(seeded_hash(name, seed), name)

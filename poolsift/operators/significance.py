@@ -34,7 +34,7 @@ def baseline_name(rows: DataFrame) -> Column:
 def paired(rows: DataFrame) -> DataFrame:
     """``method, position, f1, base_f1``."""
     base = baseline_name(rows)
-    placed = positions(rows.select("id", "method", "macro_f1"), "id", ["method"]).withColumn("_base", base)
+    placed = positions(rows.select("id", "method", "macro_f1"), "id", ["method"], pinned=True).withColumn("_base", base)
     mine = placed.filter(F.col("method") != F.col("_base"))
     theirs = placed.filter(F.col("method") == F.col("_base"))
     return mine.select("method", "position", F.col("macro_f1").alias("f1")).join(

@@ -28,12 +28,12 @@ def stop_plateau(
     if patience == 0:
         return log.withColumn("streak", F.lit(0).cast("long")).withColumn("plateau", F.lit(False))
     known = log.filter(F.col(value).isNotNull()).select("id", "run", F.col(value).alias("_value"))
-    placed = positions(known, "id", ["run"], alias="_pos")
+    placed = positions(known, "id", ["run"], "_pos", pinned=True)
     before = placed.select("run", (F.col("_pos") + 1).alias("_pos"), F.col("_value").alias("_before"))
     pairs = placed.join(before, ["run", "_pos"], "left")
     flat = F.coalesce(F.col("_before") - F.col("_value") < eps, F.lit(False))
-    reset = F.when(~flat, F.col("_pos"))
-    marked = running(pairs.select("id", "run", "_pos", reset.alias("_reset")), "id", {"_last": (F.col("_reset"), "max")}, ["run"])
+    resets = pairs.select("id", "run", "_pos", F.when(~flat, F.col("_pos")).alias("_reset"))
+    marked = running(resets, "id", {"_last": (F.col("_reset"), "max")}, ["run"], pinned=True)
     streaks = marked.select("id", (F.col("_pos") - F.col("_last")).alias("streak"))
     out = log.join(streaks, "id", "left")
     return out.withColumn("plateau", F.coalesce(F.col("streak") >= patience, F.lit(False)))

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus="*", shuffle_partitions=8, memory="8g") -> SparkSession:
@@ -42,3 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_dir(spark).rstrip('/')}/poolsift/{uuid.uuid4().hex}/{name}"
+
+
+def pin(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: computed once, short lineage, safe against lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
