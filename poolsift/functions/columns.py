@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The label space of the postings task, in code order.
 LABEL_SPACE = [
@@ -20,7 +21,6 @@ LOG_EPS = 1e-12
 MAX_TOKENS = 256
 DECIMALS = 6
 
-_MAP = "map<string,string>"
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
@@ -30,8 +30,8 @@ def rounded(c: Column, decimals: int = DECIMALS) -> Column:
 
 
 def present(c) -> Column:
-    """True unless null or empty; never null itself."""
-    return F.coalesce(F.length(_col(c)) > 0, F.lit(False))
+    """True unless null or empty; never null itself. Both halves reach a Parquet scan as filters."""
+    return _col(c).isNotNull() & (_col(c) != "")
 
 
 def stripped(c) -> Column:
@@ -55,22 +55,36 @@ def label_name(code, labels) -> Column:
     return F.get(F.array(*[F.lit(x) for x in labels]), _col(code))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, also where ``fn`` uses it per array element."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def not_blank(c) -> Column:
+    """True when there is any visible character; stops at the first one."""
+    return _col(c).rlike(r"\S")
+
+
 def array_total(values) -> Column:
     return F.aggregate(_col(values), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def normalize_probs(values) -> Column:
     """Scale to sum 1; null when the sum is not positive or an entry is null."""
-    doubles = F.transform(_col(values), lambda x: x.cast("double"))
-    total = array_total(doubles)
-    return F.when(total > 0, F.transform(doubles, lambda x: x / total))
+    def scale(p):
+        return bind(array_total(p), lambda total: F.when(total > 0, F.transform(p, lambda x: x / total)))
+
+    return bind(_col(values).cast("array<double>"), scale)
 
 
 def softmax(logits) -> Column:
-    doubles = F.transform(_col(logits), lambda x: x.cast("double"))
-    top = F.array_max(doubles)
-    powers = F.transform(doubles, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / array_total(powers))
+    def powers(z):
+        return bind(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    def shares(e):
+        return bind(array_total(e), lambda total: F.transform(e, lambda x: x / total))
+
+    return bind(bind(_col(logits).cast("array<double>"), powers), shares)
 
 
 def confidence(probs) -> Column:
@@ -99,23 +113,31 @@ def normalized_entropy(probs) -> Column:
     return entropy(probs) / F.log(classes + F.lit(LOG_EPS))
 
 
+def _json_tries(text, schema) -> tuple[Column, Column]:
+    """A JSON object in the given shape, as it is and with doubled single quotes folded."""
+    raw = F.when(_col(text).rlike(r"^\s*\{"), _col(text))
+    folded = F.when(raw.contains("''"), F.replace(raw, F.lit("''"), F.lit("'")))
+    return F.from_json(raw, schema, _STRICT_JSON), F.from_json(folded, schema, _STRICT_JSON)
+
+
 def parse_metrics(text) -> Column:
     """JSON object -> map of doubles. Anything unreadable gives an empty map.
 
-    Doubled single quotes of some exports are folded on a second try. Entries
-    whose value is not a number stay in the map as null.
+    Entries whose value is not a number stay in the map as null.
     """
-    raw = _col(text)
-    found = F.coalesce(
-        F.from_json(raw, _MAP, _STRICT_JSON),
-        F.from_json(F.replace(raw, F.lit("''"), F.lit("'")), _MAP, _STRICT_JSON),
-        F.create_map().cast(_MAP),
-    )
+    tries = _json_tries(text, T.MapType(T.StringType(), T.StringType()))
+    found = F.coalesce(*tries, F.create_map().cast("map<string,string>"))
     return F.transform_values(found, lambda _, v: v.try_cast("double"))
 
 
-def metric(metrics, key: str) -> Column:
-    return F.try_element_at(_col(metrics), F.lit(key))
+def metrics_named(text, keys) -> dict[str, Column]:
+    """The named entries of a JSON object as doubles, null where missing or not a number.
+
+    Only these keys are read from the text.
+    """
+    wanted = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    first, second = _json_tries(text, wanted)
+    return {k: F.coalesce(first[k], second[k]).try_cast("double") for k in keys}
 
 
 def is_base(method) -> Column:

@@ -10,13 +10,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolsift.session import pin, shared_dir
+from poolsift.session import input_bytes, pin, shared_dir
 
 # 4096 buckets of a hash prefix; up to 1024 equal-depth buckets of a numeric order.
 HASH_PREFIX = 3
 CELLS = 1024
 # Rows up to which one sorted pass may hold a table.
 SMALL = 100_000
+# Input size from which (hash, id) of the eligible rows is written once instead of read twice.
+PIN_BYTES = 16 << 30
 # Largest n that is taken with one sorted top-n per partition and a merge.
 TOP_LIMIT = 50_000
 
@@ -63,12 +65,12 @@ def running(
     ``values`` maps an output name to ``(column, "sum" | "max")``. ``pinned`` says that
     the input is worth writing once rather than computing it for each pass.
     """
-    cuts = _cuts(df, order, SMALL if small is None else small)
+    source = pin(df, "ordered") if pinned else df
+    cuts = _cuts(source, order, SMALL if small is None else small)
     if cuts is None:
         fold = {"sum": F.sum, "max": F.max}
         upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[fold[how](c).over(upto).alias(a) for a, (c, how) in values.items()])
-    source = pin(df, "ordered") if pinned else df
+        return source.select("*", *[fold[how](c).over(upto).alias(a) for a, (c, how) in values.items()])
     return _accumulate(_bucketed(source, order, cuts), [order], values, list(groups))
 
 
@@ -116,18 +118,21 @@ def _accumulate(df: DataFrame, order, values: dict, groups) -> DataFrame:
     return left.join(right, same).select(*out, *[combine(a, how).alias(a) for a, (_, how) in values.items()])
 
 
-def with_previous(df: DataFrame, order: str, columns: dict, groups=(), small: int | None = None) -> DataFrame:
+def with_previous(
+    df: DataFrame, order: str, columns: dict, groups=(), pinned: bool = False, small: int | None = None
+) -> DataFrame:
     """``lag`` by one row: ``columns`` maps an output name to the column of the row before.
 
     Beyond a small table neighbours meet by an equi-join on (group, position), so a group
     of any size spreads.
     """
-    cuts = _cuts(df, order, SMALL if small is None else small)
+    source = pin(df, "ordered") if pinned else df
+    cuts = _cuts(source, order, SMALL if small is None else small)
     if cuts is None:
         along = Window.partitionBy(*groups).orderBy(order)
-        return df.select("*", *[F.lag(c).over(along).alias(a) for a, c in columns.items()])
+        return source.select("*", *[F.lag(c).over(along).alias(a) for a, c in columns.items()])
     counted = {"_pos": (F.lit(1).cast("long"), "sum")}
-    placed = _accumulate(_bucketed(pin(df, "ordered"), order, cuts), [order], counted, list(groups))
+    placed = _accumulate(_bucketed(source, order, cuts), [order], counted, list(groups))
     before = placed.select(
         *groups, (F.col("_pos") + 1).alias("_pos"), *[F.col(c).alias(a) for a, c in columns.items()]
     )
@@ -149,6 +154,9 @@ def hash_cut(df: DataFrame, id_col: str, seed, quota, groups=()) -> DataFrame:
     keyed = df.select(*groups, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_hash")).withColumn(
         "_bucket", F.substring("_hash", 1, HASH_PREFIX)
     )
+    # eligibility may look at texts, so two passes over a huge table cost more than one small write
+    if input_bytes(df) > PIN_BYTES:
+        keyed = pin(keyed, "hashes")
     counts = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
     by_bucket = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     table = counts.select(

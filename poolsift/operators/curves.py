@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsift.operators.runs import drop_base_rows, extract_metric
+from poolsift.session import pin
 
 BASELINE = "random_sampling"
 METRICS = ["accuracy", "macro_f1"]
@@ -15,9 +16,9 @@ FULL_ACCURACY, FULL_F1, FULL_LABELS = 0.716, 0.725, 1000
 def learning_curve(results: DataFrame) -> DataFrame:
     """``method, train_data_size, accuracy, macro_f1``: per size the latest row, missing values 0."""
     rows = extract_metric(drop_base_rows(results).filter(F.col("method").isNotNull()), METRICS)
-    values = F.struct(*[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in METRICS])
-    latest = rows.groupBy("method", "train_data_size").agg(F.max_by(values, "id").alias("_v"))
-    return latest.select("method", "train_data_size", "_v.accuracy", "_v.macro_f1")
+    # plain numbers as aggregation buffers keep this a hash aggregate
+    latest = [F.max_by(F.coalesce(F.col(m), F.lit(0.0)), "id").alias(m) for m in METRICS]
+    return rows.groupBy("method", "train_data_size").agg(*latest)
 
 
 def common_sizes(curve: DataFrame, baseline: str = BASELINE) -> DataFrame:
@@ -63,6 +64,7 @@ def labels_to_target(curve: DataFrame, targets=TARGETS) -> DataFrame:
 
 def data_savings(curve: DataFrame, targets=TARGETS, baseline: str = BASELINE) -> DataFrame:
     """Mean and largest share of labels saved at targets both reach; 0 where there are none."""
+    curve = pin(curve, "curve")  # read four times below
     reached = labels_to_target(curve, targets).filter(F.col("labels") > 0)
     base = reached.filter(F.col("method") == baseline).select("metric", "target", F.col("labels").alias("_base"))
     saved = (
@@ -87,8 +89,8 @@ def data_savings(curve: DataFrame, targets=TARGETS, baseline: str = BASELINE) ->
 
 def final_points(curve: DataFrame) -> DataFrame:
     """The point of each method at its largest train size."""
-    last = F.max_by(F.struct("accuracy", "macro_f1", "train_data_size"), "train_data_size")
-    return curve.groupBy("method").agg(last.alias("_f")).select("method", "_f.*")
+    last = [F.max_by(m, "train_data_size").alias(m) for m in METRICS]
+    return curve.groupBy("method").agg(*last, F.max("train_data_size").alias("train_data_size"))
 
 
 def gap_to_full(curve: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from poolsift.functions.columns import is_random
 from poolsift.functions.ranking import positions, with_previous
 from poolsift.operators.runs import labels_used
 from poolsift.operators.significance import scored_rows
+from poolsift.session import pin
 
 # Shares of the best macro-F1, unit of label counts.
 LEVELS = [0.7, 0.8, 0.9, 0.95]
@@ -23,7 +24,7 @@ def curve_auc(results: DataFrame) -> DataFrame:
     Neighbouring rows meet by position, so no method has to fit into one task.
     """
     rows = scored_rows(results).withColumn("_labels", labels_used())
-    pairs = with_previous(rows, "id", {"_x": "iteration_no", "_y": "macro_f1"}, ["method"])
+    pairs = with_previous(rows, "id", {"_x": "iteration_no", "_y": "macro_f1"}, ["method"], pinned=True)
     strip = (F.col("iteration_no") - F.col("_x")) * (F.col("macro_f1") + F.col("_y")) / 2.0
     summed = pairs.groupBy("method").agg(
         F.count("*").alias("_n"), F.sum(strip).alias("auc"), F.max_by("_labels", "id").alias("total_labels")
@@ -35,26 +36,32 @@ def curve_auc(results: DataFrame) -> DataFrame:
 
 def convergence(results: DataFrame, levels=LEVELS) -> DataFrame:
     """``method, level, iteration, labels, macro_f1`` where a share of the best value is first reached."""
-    rows = scored_rows(results)
+    rows = pin(scored_rows(results), "scored")
     best = rows.agg(F.max("macro_f1")).scalar()
     seen = rows.withColumn("_best", best)
-    hit = F.struct(
-        F.col("iteration_no").cast("long").alias("iteration"), labels_used().alias("labels"), F.col("macro_f1")
-    )
+    found = {"iteration": F.col("iteration_no").cast("long"), "labels": labels_used(), "macro_f1": F.col("macro_f1")}
+    # plain numbers as aggregation buffers keep this a hash aggregate
     firsts = [
-        F.min_by(hit, F.when(F.col("macro_f1") >= F.col("_best") * level, F.col("id"))).alias(f"_l{i}")
+        F.min_by(c, F.when(F.col("macro_f1") >= F.col("_best") * level, F.col("id"))).alias(f"_{name}{i}")
         for i, level in enumerate(levels)
+        for name, c in found.items()
     ]
     wide = seen.groupBy("method").agg(*firsts)
-    cells = [F.struct(F.lit(float(level)).alias("level"), F.col(f"_l{i}").alias("hit")) for i, level in enumerate(levels)]
-    long = wide.select("method", F.explode(F.array(*cells)).alias("_c"))
-    return long.filter(F.col("_c.hit").isNotNull()).select("method", "_c.level", "_c.hit.*")
+    cells = [
+        F.struct(F.lit(float(level)).alias("level"), *[F.col(f"_{name}{i}").alias(name) for name in found])
+        for i, level in enumerate(levels)
+    ]
+    long = wide.select("method", F.explode(F.array(*cells)).alias("_c")).select("method", "_c.*")
+    return long.filter(F.col("macro_f1").isNotNull())
 
 
 def final_rows(rows: DataFrame) -> DataFrame:
     """Last row of each method, with the id of its first."""
-    last = F.max_by(F.struct("macro_f1", labels_used().alias("labels")), "id")
-    return rows.groupBy("method").agg(F.min("id").alias("first_id"), last.alias("_f")).select("method", "first_id", "_f.*")
+    return rows.groupBy("method").agg(
+        F.min("id").alias("first_id"),
+        F.max_by("macro_f1", "id").alias("macro_f1"),
+        F.max_by(labels_used(), "id").alias("labels"),
+    )
 
 
 def label_efficiency(results: DataFrame) -> DataFrame:
@@ -67,10 +74,10 @@ def label_efficiency(results: DataFrame) -> DataFrame:
 
 def early_performance(results: DataFrame) -> DataFrame:
     """Macro-F1 a quarter into the log of a method, for methods with at least four rows."""
-    rows = scored_rows(results).select("id", "method", "macro_f1")
+    rows = pin(scored_rows(results).select("id", "method", "macro_f1"), "scored")
     sizes = rows.groupBy("method").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 4)
     quarter = sizes.select("method", F.floor(F.col("_n") / 4).alias("early_iteration"))
-    placed = positions(rows, "id", ["method"], pinned=True)
+    placed = positions(rows, "id", ["method"])
     return placed.join(quarter, "method").filter(F.col("position") == F.col("early_iteration") + 1).select(
         "method", "early_iteration", F.col("macro_f1").alias("early_performance")
     )
@@ -78,7 +85,7 @@ def early_performance(results: DataFrame) -> DataFrame:
 
 def cost_benefit(results: DataFrame) -> DataFrame:
     """Final values against the first method with ``random`` in its name."""
-    finals = final_rows(scored_rows(results))
+    finals = pin(final_rows(scored_rows(results)), "finals")
     base = finals.filter(is_random("method")).agg(F.min_by(F.struct("method", "macro_f1", "labels"), "first_id")).scalar()
     rows = finals.withColumn("_b", base).filter(F.col("method") != F.col("_b.method"))
     f1, labels = F.col("macro_f1"), F.col("labels")

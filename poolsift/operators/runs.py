@@ -7,8 +7,9 @@ by a bucketed running sum over the log id, and everything per run is an aggregat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolsift.functions.columns import is_base, metric, parse_metrics
+from poolsift.functions.columns import is_base, metrics_named, parse_metrics
 from poolsift.functions.ranking import running
+from poolsift.session import pin
 
 # Display names of methods, size from which a random run counts as full labelling.
 METHOD_TITLES = {
@@ -25,8 +26,14 @@ LABELS_PER_ITERATION = 1000
 
 def extract_metric(results: DataFrame, keys) -> DataFrame:
     """The named metrics as double columns, null where missing."""
-    parsed = results.withColumn("_metrics", parse_metrics("metrics"))
-    return parsed.select(*results.columns, *[metric("_metrics", k).alias(k) for k in keys])
+    found = metrics_named("metrics", keys)
+    return results.select(*results.columns, *[found[k].alias(k) for k in keys])
+
+
+def prepare_log(results: DataFrame, keys) -> DataFrame:
+    """The log with ``run`` and the metrics as columns, written once: stop rules read it several times."""
+    kept = results.drop("metrics", "params").columns
+    return pin(extract_metric(split_runs(results), keys).select(*kept, "run", *keys), "log")
 
 
 def drop_base_rows(results: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ ids only, never on how the data is partitioned.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from poolsift.functions.columns import present, stripped
+from poolsift.functions.columns import not_blank, present, stripped
 from poolsift.functions.ranking import (
     first_by_hash,
     hash_cut,
@@ -63,7 +63,7 @@ def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 def balancing_rows(df: DataFrame, labels, label_col: str = "label", text_col: str = "description") -> DataFrame:
     """Rows whose stripped label is allowed and whose text is not blank; the label is stored stripped."""
     return df.withColumn(label_col, stripped(label_col)).filter(
-        F.col(label_col).isin(list(labels)) & present(stripped(text_col))
+        F.col(label_col).isin(list(labels)) & not_blank(text_col)
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from poolsift.functions.columns import (
     LOG_EPS,
+    array_total,
+    bind,
     entropy,
     normalize_probs,
     normalized_entropy,
@@ -56,24 +58,25 @@ def committee_scores(committee: DataFrame) -> DataFrame:
     summed = F.aggregate(
         F.slice("_probs", 2, F.size("_probs")), first, lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b)
     )
-    mean = probs.withColumn("_members", members).withColumn("_sum", summed)
-    mean = mean.withColumn("_mean", F.transform("_sum", lambda x: x / F.col("_members")))
 
-    def divergence(p):
+    def divergence(p, mean):
         terms = F.zip_with(
             p,
-            "_mean",
+            mean,
             lambda a, m: F.when(a > 0, a * F.log(a / (m + F.lit(LOG_EPS)) + F.lit(LOG_EPS))).otherwise(0.0),
         )
-        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-
-    total = F.aggregate(F.transform("_probs", divergence), F.lit(0.0), lambda acc, x: acc + x)
-    return mean.select(
-        "id",
-        rounded(total / F.col("_members")).alias("js"),
-        rounded(entropy("_mean")).alias("mean_entropy"),
-        rounded(normalized_entropy("_mean")).alias("normalized_entropy"),
-    )
+        return array_total(terms)
+
+    def measures(mean):
+        total = array_total(F.transform("_probs", lambda p: divergence(p, mean)))
+        return F.struct(
+            rounded(total / members).alias("js"),
+            rounded(entropy(mean)).alias("mean_entropy"),
+            rounded(normalized_entropy(mean)).alias("normalized_entropy"),
+        )
+
+    mean = F.transform(summed, lambda x: x / members)
+    return probs.select("id", bind(mean, measures).alias("_m")).select("id", "_m.*")
 
 
 def _unlabelled_members(committee: DataFrame, pool: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from poolsift.functions.columns import significance_stars
 from poolsift.functions.ranking import positions
 from poolsift.functions.tails import f_tail, t_tail
 from poolsift.operators.runs import drop_base_rows, extract_metric
+from poolsift.session import pin
 
 # Names of the baseline in order of preference, share of the best value aimed at.
 BASELINES = ["random_sampling", "random"]
@@ -33,8 +34,9 @@ def baseline_name(rows: DataFrame) -> Column:
 
 def paired(rows: DataFrame) -> DataFrame:
     """``method, position, f1, base_f1``."""
-    base = baseline_name(rows)
-    placed = positions(rows.select("id", "method", "macro_f1"), "id", ["method"], pinned=True).withColumn("_base", base)
+    narrow = pin(rows.select("id", "method", "macro_f1"), "scored")
+    base = baseline_name(narrow)
+    placed = positions(narrow, "id", ["method"]).withColumn("_base", base)
     mine = placed.filter(F.col("method") != F.col("_base"))
     theirs = placed.filter(F.col("method") == F.col("_base"))
     return mine.select("method", "position", F.col("macro_f1").alias("f1")).join(
@@ -126,7 +128,7 @@ def iterations_to_target(results: DataFrame) -> DataFrame:
     Only methods that get there, and nothing unless the baseline does. The ratio to
     iteration 0 is null.
     """
-    rows = scored_rows(results)
+    rows = pin(scored_rows(results), "scored")
     best = rows.agg(F.max("macro_f1")).scalar()
     base = baseline_name(rows)
     reached = (

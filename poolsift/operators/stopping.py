@@ -1,4 +1,4 @@
-"""Stop rules and reports over the rows of a results log that has a ``run`` column.
+"""Stop rules and reports over the rows of a prepared log (``runs.prepare_log``).
 
 Neighbours within a run meet by position and streaks come from a bucketed running
 maximum, so one run may hold any share of the log.
@@ -28,7 +28,7 @@ def stop_plateau(
     if patience == 0:
         return log.withColumn("streak", F.lit(0).cast("long")).withColumn("plateau", F.lit(False))
     known = log.filter(F.col(value).isNotNull()).select("id", "run", F.col(value).alias("_value"))
-    placed = positions(known, "id", ["run"], "_pos", pinned=True)
+    placed = positions(known, "id", ["run"], "_pos")
     before = placed.select("run", (F.col("_pos") + 1).alias("_pos"), F.col("_value").alias("_before"))
     pairs = placed.join(before, ["run", "_pos"], "left")
     flat = F.coalesce(F.col("_before") - F.col("_value") < eps, F.lit(False))

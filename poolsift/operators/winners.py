@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from poolsift.functions.columns import is_random
 from poolsift.operators.runs import drop_base_rows, extract_metric, labels_used
+from poolsift.session import pin
 
 # Minority class recalls, compared metrics, share aimed at, label counts assumed if unknown.
 MINORITY = ["recall_contract", "recall_internship", "recall_volunteer", "recall_temporary"]
@@ -52,7 +53,7 @@ def best_by_combined(results: DataFrame) -> DataFrame:
 def objectives(results: DataFrame) -> DataFrame:
     """The best other method against the random baseline, one row; empty without either."""
     rows = _combined(results)
-    finals = best_by_combined(results)
+    finals = pin(best_by_combined(results), "best")  # one row per method
     whole = F.struct("method", "final_f1", "final_accuracy", "final_labels", "combined_score")
     best = finals.filter(~is_random("method")).agg(
         F.max_by(whole, F.struct(F.col("combined_score"), -F.col("first_id")))
@@ -154,6 +155,7 @@ def method_extremes(best: DataFrame) -> DataFrame:
 
 def best_vs_random(best: DataFrame) -> DataFrame:
     """Per metric the method with the largest positive gain over the baseline, nulls if none gains."""
+    best = pin(best, "best")  # one row per method
     base = _baseline(best, ["final_labels", *COMPARED])
     long = _long(best.filter(~is_random("method")), COMPARED, "metric").withColumn("_r", base)
     base_value = F.coalesce(*[F.when(F.col("metric") == m, F.col(f"_r.{m}")) for m in COMPARED])
@@ -180,6 +182,7 @@ def best_vs_random(best: DataFrame) -> DataFrame:
 
 def minority_vs_random(best: DataFrame) -> DataFrame:
     """Per minority class the largest gain in recall over the baseline; a missing recall counts 0."""
+    best = pin(best, "best")  # one row per method
     base = _baseline(best, MINORITY)
     long = _long(best.filter(~is_random("method")), MINORITY, "class_recall").withColumn("_r", base)
     base_value = F.coalesce(
@@ -208,6 +211,7 @@ def minority_vs_random(best: DataFrame) -> DataFrame:
 
 def overall_winner(best: DataFrame) -> DataFrame:
     """The non-baseline method with the highest mean of the compared metrics, and where it leads."""
+    best = pin(best, "best")  # one row per method
     mean = (F.col("final_accuracy") + F.col("final_f1") + F.col("avg_minority_recall")) / 3.0
     scored = best.filter(~is_random("method")).withColumn("score", mean).filter(F.col("score") > 0)
     winner = scored.agg(

@@ -798,7 +798,7 @@ def overall_winner(t):
 
 def _log(t) -> DataFrame:
     keys = ["accuracy", "macro_f1", "avg_uncertainty_pool", "selected_samples_avg_uncertainty"]
-    return runs.extract_metric(runs.split_runs(t.results), keys)
+    return runs.prepare_log(t.results, keys)
 
 
 @query
