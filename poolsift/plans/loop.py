@@ -39,9 +39,13 @@ class LoopParams:
 
 @dataclass
 class Context:
-    """What a strategy may use. ``pool`` carries the current scores and flags."""
+    """What a strategy may use: ``pool`` with the current scores, ``rows`` without them.
+
+    Plans over texts should start from ``rows``, which joins nothing large.
+    """
 
     pool: DataFrame
+    rows: DataFrame
     test: DataFrame
     labels: list
     params: LoopParams
@@ -51,11 +55,11 @@ class Context:
     extra: dict = field(default_factory=dict)
 
     def open_rows(self) -> DataFrame:
-        return pools.page(pools.usable(pools.unlabelled_rows(self.pool)), self.params.max_samples)
+        return pools.page(pools.usable(pools.unlabelled_rows(self.rows)), self.params.max_samples)
 
     def committee(self) -> DataFrame:
         """Outputs of the current model and of a second learner on the open rows."""
-        known = pools.labelled_rows(self.pool)
+        known = pools.labelled_rows(self.rows)
         second = scoring.train_classifier(known, self.labels, self.params.features, algorithm="bayes")
         return scoring.committee_predict(self.open_rows(), {0: self.model, 1: second}, self.labels)
 
@@ -92,13 +96,13 @@ class _State:
     def revealed(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/revealed").select("id")
 
-    def pool(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         known = self.revealed().withColumn("_known", F.lit(True))
-        return (
-            self.texts.join(known, "id", "left")
-            .join(self.scores, "id", "left")
-            .select("id", "description", F.col("_known").isNotNull().alias("is_labelled"), "label", "model_prediction", "uncertainty_score")
-        )
+        marked = self.texts.join(known, "id", "left")
+        return marked.select("id", "description", F.col("_known").isNotNull().alias("is_labelled"), "label")
+
+    def pool(self) -> DataFrame:
+        return self.rows().join(self.scores, "id", "left").select(*pools.POOL_COLUMNS)
 
     def reveal(self, ids: DataFrame, step: int) -> int:
         return self._write(ids.select("id"), "revealed", step).count()
@@ -113,7 +117,7 @@ class _State:
 
 
 def _train(state: _State, labels, params: LoopParams):
-    return scoring.train_classifier(pools.labelled_rows(state.pool()), labels, params.features, params.train_iterations)
+    return scoring.train_classifier(pools.labelled_rows(state.rows()), labels, params.features, params.train_iterations)
 
 
 def _evaluate(test: DataFrame, model, labels, state: _State, step: int) -> dict:
@@ -166,7 +170,7 @@ def active_learning_loop(
 
     state = _State(pool)
     if state.revealed().isEmpty():
-        seeds = sampling.random_sampling(pools.usable(state.pool()), params.base_train_size, params.seed)
+        seeds = sampling.random_sampling(pools.usable(state.rows()), params.base_train_size, params.seed)
         state.reveal(seeds, -1)
     model = _train(state, labels, params)
     log_path = f"{state.folder}/results"
@@ -194,16 +198,16 @@ def active_learning_loop(
     labelled, before, streak, iteration = 0, None, 0, 1
 
     while True:
-        open_rows = pools.page(pools.usable(pools.unlabelled_rows(state.pool())), params.max_samples)
+        open_rows = pools.page(pools.usable(pools.unlabelled_rows(state.rows())), params.max_samples)
         state.rescore(scoring.predict_many(open_rows.select("id", "description"), model, labels), iteration)
 
         wanted = params.n * (params.candidate_factor if params.stratified_batch else 1)
-        ctx = Context(state.pool(), test, labels, params, model, wanted, iteration, {"embeddings": embeddings})
+        ctx = Context(state.pool(), state.rows(), test, labels, params, model, wanted, iteration, {"embeddings": embeddings})
         # only rows with text and label can be revealed, whatever the strategy returns
         chosen = select(ctx).filter(present("description") & present("label"))
         chosen = state.batch(chosen, 2 * iteration)
         if chosen.isEmpty():
-            chosen = state.batch(sampling.fallback_random(chosen, state.pool(), params.n, params.seed), 2 * iteration + 1)
+            chosen = state.batch(sampling.fallback_random(chosen, state.rows(), params.n, params.seed), 2 * iteration + 1)
         if params.stratified_batch:
             if "rank" not in chosen.columns:
                 chosen = hash_positions(chosen, "id", params.seed, alias="rank")

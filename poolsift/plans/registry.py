@@ -23,7 +23,7 @@ from poolsift.operators import (
 )
 from poolsift.plans.fixtures import LABELS, MEMBERS, Tables
 from poolsift.plans.loop import LoopParams, active_learning_loop
-from poolsift.session import fresh_path
+from poolsift.session import fresh_path, pin
 from poolsift.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -830,10 +830,9 @@ def iteration_report(t):
     return stopping.iteration_report(_log(t))
 
 
-@query
-def active_learning_loop_report(t):
-    """Two iterations of uncertainty sampling; the log the loop writes."""
-    test, rest = pool.split_test(t.pool, 0.2)
+def _run_loop(t):
+    """Two iterations of uncertainty sampling on stored parts; the log the loop writes."""
+    test, rest = (pin(part, "part") for part in pool.split_test(t.pool, 0.2))
     params = LoopParams(n=20, max_iterations=2, features=512, train_iterations=5)
     log = active_learning_loop(rest, test, "uncertainty_sampling", LABELS, params)
     return runs.extract_metric(log, ["accuracy", "macro_f1"]).select(
@@ -841,7 +840,8 @@ def active_learning_loop_report(t):
     )
 
 
-QUERIES["active_learning_loop"] = QUERIES.pop("active_learning_loop_report")
+_run_loop.__name__ = "active_learning_loop"
+query(_run_loop)
 
 
 # --- other ---------------------------------------------------------------------------
