@@ -207,13 +207,15 @@ def active_learning_loop(
         chosen = select(ctx).filter(present("description") & present("label"))
         chosen = state.batch(chosen, 2 * iteration)
         if chosen.isEmpty():
-            chosen = state.batch(sampling.fallback_random(chosen, state.rows(), params.n, params.seed), 2 * iteration + 1)
+            chosen = state.batch(sampling.fallback_random(chosen, state.pool(), params.n, params.seed), 2 * iteration + 1)
         if params.stratified_batch:
             if "rank" not in chosen.columns:
                 chosen = hash_positions(chosen, "id", params.seed, alias="rank")
             chosen = sampling.stratified_subsample(chosen, params.n, params.seed)
         if chosen.isEmpty():
             break
+        if "uncertainty_score" not in chosen.columns:
+            chosen = chosen.withColumn("uncertainty_score", F.lit(None).cast("double"))
         mean = evaluation.batch_mean_uncertainty(chosen, state.scores).first()[0]
         if params.plateau_patience and mean is not None:
             streak = streak + 1 if before is not None and before - mean < params.plateau_eps else 0
