@@ -113,9 +113,9 @@ def normalized_entropy(probs) -> Column:
     return entropy(probs) / F.log(classes + F.lit(LOG_EPS))
 
 
-def _json_tries(text, schema) -> tuple[Column, Column]:
+def _json_tries(s: Column, schema) -> tuple[Column, Column]:
     """A JSON object in the given shape, as it is and with doubled single quotes folded."""
-    raw = F.when(_col(text).rlike(r"^\s*\{"), _col(text))
+    raw = F.when(s.rlike(r"^\s*\{"), s)
     folded = F.when(raw.contains("''"), F.replace(raw, F.lit("''"), F.lit("'")))
     return F.from_json(raw, schema, _STRICT_JSON), F.from_json(folded, schema, _STRICT_JSON)
 
@@ -125,19 +125,24 @@ def parse_metrics(text) -> Column:
 
     Entries whose value is not a number stay in the map as null.
     """
-    tries = _json_tries(text, T.MapType(T.StringType(), T.StringType()))
-    found = F.coalesce(*tries, F.create_map().cast("map<string,string>"))
-    return F.transform_values(found, lambda _, v: v.try_cast("double"))
+    anything = T.MapType(T.StringType(), T.StringType())
+    found = bind(_col(text), lambda s: F.coalesce(*_json_tries(s, anything)))
+    known = F.coalesce(found, F.create_map().cast("map<string,string>"))
+    return F.transform_values(known, lambda _, v: v.try_cast("double"))
 
 
-def metrics_named(text, keys) -> dict[str, Column]:
-    """The named entries of a JSON object as doubles, null where missing or not a number.
+def metrics_named(text, keys) -> Column:
+    """Struct of the named entries of a JSON object as doubles, null where missing or not a number.
 
     Only these keys are read from the text.
     """
     wanted = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    first, second = _json_tries(text, wanted)
-    return {k: F.coalesce(first[k], second[k]).try_cast("double") for k in keys}
+
+    def read(s):
+        first, second = _json_tries(s, wanted)
+        return F.struct(*[F.coalesce(first[k], second[k]).try_cast("double").alias(k) for k in keys])
+
+    return bind(_col(text), read)
 
 
 def is_base(method) -> Column:

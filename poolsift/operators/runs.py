@@ -26,8 +26,8 @@ LABELS_PER_ITERATION = 1000
 
 def extract_metric(results: DataFrame, keys) -> DataFrame:
     """The named metrics as double columns, null where missing."""
-    found = metrics_named("metrics", keys)
-    return results.select(*results.columns, *[found[k].alias(k) for k in keys])
+    found = results.select("*", metrics_named("metrics", keys).alias("_m"))
+    return found.select(*results.columns, *[F.col("_m")[k].alias(k) for k in keys])
 
 
 def prepare_log(results: DataFrame, keys) -> DataFrame:

@@ -20,10 +20,10 @@ TARGET_SHARE = 0.95
 
 
 def scored_rows(results: DataFrame) -> DataFrame:
-    rows = extract_metric(drop_base_rows(results), ["macro_f1"])
-    return rows.filter(F.col("macro_f1").isNotNull() & F.col("method").isNotNull()).select(
-        "id", "method", "iteration_no", "train_data_size", "macro_f1"
-    )
+    """The narrow rows all comparisons start from, written once: JSON is read a single time."""
+    rows = extract_metric(drop_base_rows(results).filter(F.col("method").isNotNull()), ["macro_f1"])
+    narrow = rows.select("id", "method", "iteration_no", "train_data_size", "macro_f1")
+    return pin(narrow, "scored").filter(F.col("macro_f1").isNotNull())
 
 
 def baseline_name(rows: DataFrame) -> Column:
@@ -34,9 +34,8 @@ def baseline_name(rows: DataFrame) -> Column:
 
 def paired(rows: DataFrame) -> DataFrame:
     """``method, position, f1, base_f1``."""
-    narrow = pin(rows.select("id", "method", "macro_f1"), "scored")
-    base = baseline_name(narrow)
-    placed = positions(narrow, "id", ["method"]).withColumn("_base", base)
+    base = baseline_name(rows)
+    placed = positions(rows.select("id", "method", "macro_f1"), "id", ["method"]).withColumn("_base", base)
     mine = placed.filter(F.col("method") != F.col("_base"))
     theirs = placed.filter(F.col("method") == F.col("_base"))
     return mine.select("method", "position", F.col("macro_f1").alias("f1")).join(
@@ -128,7 +127,7 @@ def iterations_to_target(results: DataFrame) -> DataFrame:
     Only methods that get there, and nothing unless the baseline does. The ratio to
     iteration 0 is null.
     """
-    rows = pin(scored_rows(results), "scored")
+    rows = scored_rows(results)
     best = rows.agg(F.max("macro_f1")).scalar()
     base = baseline_name(rows)
     reached = (

@@ -20,9 +20,12 @@ def _valid(results: DataFrame, keys) -> DataFrame:
 
 def _best_row(rows: DataFrame, score: str, fields) -> DataFrame:
     """Per method the row with the highest score (the earliest of equals) and the method's first id."""
-    best = F.max_by(F.struct(*fields), F.struct(F.col(score), -F.col("id")))
-    kept = rows.filter(F.col(score).isNotNull())
-    return kept.groupBy("method").agg(F.min("id").alias("first_id"), best.alias("_b")).select("method", "first_id", "_b.*")
+    # rows without a score are passed over here; as a filter the JSON would be read twice
+    scored = F.col(score).isNotNull()
+    best = F.max_by(F.struct(*fields), F.when(scored, F.struct(F.col(score), -F.col("id"))))
+    first = F.min(F.when(scored, F.col("id")))
+    found = rows.groupBy("method").agg(first.alias("first_id"), best.alias("_b")).filter(F.col("first_id").isNotNull())
+    return found.select("method", "first_id", "_b.*")
 
 
 # --- combined score ------------------------------------------------------------------
@@ -217,10 +220,8 @@ def overall_winner(best: DataFrame) -> DataFrame:
     winner = scored.agg(
         F.max_by(F.struct("method", "score"), F.struct(F.col("score"), -F.col("first_id"))).alias("_w")
     ).filter(F.col("_w").isNotNull())
-    leads = method_extremes(best)
-
-    def leader(m: str) -> Column:
-        return leads.filter(F.col("metric") == m).select("best_method").scalar()
-
-    flags = [(F.col("_w.method") == leader(m)).alias(f"leads_{m}") for m in COMPARED]
-    return winner.select(F.col("_w.method").alias("method"), F.col("_w.score").alias("score"), *flags)
+    leads = method_extremes(best).agg(F.map_from_entries(F.collect_list(F.struct("metric", "best_method")))).scalar()
+    flags = [(F.col("_w.method") == F.try_element_at("_leads", F.lit(m))).alias(f"leads_{m}") for m in COMPARED]
+    return winner.withColumn("_leads", leads).select(
+        F.col("_w.method").alias("method"), F.col("_w.score").alias("score"), *flags
+    )
