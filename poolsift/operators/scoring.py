@@ -18,7 +18,6 @@ from poolsift.functions.columns import (
     present,
     rounded,
     softmax,
-    truncate_tokens,
 )
 from poolsift.operators.pool import label_filter, page, save_predictions, unlabelled_rows
 from poolsift.operators.sampling import label_table
@@ -52,7 +51,8 @@ def _text_stages(features: int):
 
 
 def _with_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("_text", truncate_tokens("description"))
+    """Whole texts: the learners here have no token limit (``columns.truncate_tokens`` is for those that do)."""
+    return df.withColumn("_text", F.col("description"))
 
 
 def train_classifier(labelled: DataFrame, labels, features: int = 4096, max_iter: int = 20, algorithm: str = "logistic"):

@@ -28,12 +28,11 @@ def small(**more):
 
 @pytest.mark.parametrize("strategy", sorted(STRATEGIES))
 def test_strategies(data, strategy):
-    log = active_learning_loop(*data, strategy, LABELS, small()).orderBy("id").collect()
-    assert [r.iteration_no for r in log] == [0, 1, 2]
+    log = active_learning_loop(*data, strategy, LABELS, small(max_iterations=1)).orderBy("id").collect()
+    assert [r.iteration_no for r in log] == [0, 1]
     assert (log[0].method, log[0].notes) == ("BASE", "base_classifier")
-    sizes = [r.train_data_size for r in log]
-    assert sizes[0] == 0 and sizes[1] <= 10 and sizes == sorted(sizes)
-    assert log[-1].notes == "max_iterations_reached (2)"
+    assert log[0].train_data_size == 0 and 0 < log[1].train_data_size <= 10
+    assert log[-1].notes == "max_iterations_reached (1)"
     metrics = json.loads(log[-1].metrics)
     assert metrics["accuracy"] == 1.0 and {"macro_f1", "recall_a", "recall_b", "avg_uncertainty_pool"} <= set(metrics)
 
