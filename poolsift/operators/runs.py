@@ -32,8 +32,8 @@ def extract_metric(results: DataFrame, keys) -> DataFrame:
 
 def prepare_log(results: DataFrame, keys) -> DataFrame:
     """The log with ``run`` and the metrics as columns, written once: stop rules read it several times."""
-    kept = results.drop("metrics", "params").columns
-    return pin(extract_metric(split_runs(results), keys).select(*kept, "run", *keys), "log")
+    # the JSON is read where the rows lie, and only narrow rows are numbered
+    return pin(split_runs(extract_metric(results, keys).drop("metrics", "params")), "log")
 
 
 def drop_base_rows(results: DataFrame) -> DataFrame:
