@@ -12,7 +12,9 @@ def _dot(a, b) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    """Cosine of two vectors; 0 where one of them has no length."""
+    lengths = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(lengths > 0, _dot(a, b) / lengths).otherwise(0.0)
 
 
 def column_similarity(

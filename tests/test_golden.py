@@ -209,6 +209,8 @@ def test_intelligent_quotas(spark):
     assert quotas(spark, [3, 5, 8, 20, 30], 36) == [3, 5, 8, 10, 10]
     assert quotas(spark, [3, 5, 8, 20, 30], 37) == [3, 5, 8, 20, 1]
     assert quotas(spark, [10, 10, 10, 10, 10], 9) == [2, 2, 2, 2, 1]
+    assert quotas(spark, [3, 5], 100) == [3, 5]
+    assert quotas(spark, [3, 5, 1, 2, 4, 6], 100) == [3, 5, 1, 2, 4, 6]
 
 
 def test_stratified_subsample_fills_from_leftovers(spark):

@@ -203,6 +203,8 @@ def test_column_similarity(spark):
     got = [(r.column_name, round(r.similarity, 6)) for r in similarity.column_similarity(df, "t", ["a", "b"]).collect()]
     assert got == [("a", 0.853553), ("b", 0.0)]
     assert similarity.column_similarity(df, "t", ["a", "b"], limit=1).first().similarity == 1.0
+    flat = spark.createDataFrame([(1, [0.0], [1.0])], "id long, t array<double>, a array<double>")
+    assert similarity.column_similarity(flat, "t", ["a"]).first().similarity == 0.0
 
 
 # --- scoring -------------------------------------------------------------------------
