@@ -1,8 +1,6 @@
 """Session defaults and the shared folder for data that must outlive an executor."""
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,22 +21,14 @@ def local_session(cpus="*", shuffle_partitions=8, memory="8g") -> SparkSession:
     return spark
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="poolsift-")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; elsewhere a
-    machine-local path would be lost together with its machine.
+    Where that is unset, as in tests, the warehouse is used: every executor reaches it too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = _local_root()
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/poolsift_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
