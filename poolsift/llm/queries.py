@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolsift.llm import packing, simhash
+from poolsift.llm import decontamination, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("row", "ids")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
+    items = F.coalesce(F.array_compact(items), F.array().cast("array<string>"))
+    hit = decontamination.hit_words("spans")
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -23,7 +38,35 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_decontamination": r"""
+        with w as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws
+          from documents),
+        b as (
+          select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws
+          from benchmark),
+        bw as (
+          select distinct item_id, least(10, len(ws)) n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') gram
+          from (select *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) i from b where len(ws) > 0)),
+        sizes as (select distinct n from bw),
+        dw as (
+          select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') gram
+          from (select *, unnest(range(1, len(ws) - n + 2)) i from w, sizes where len(ws) >= n)),
+        hits as (select doc_id, i, n, item_id from dw join bw using (n, gram)),
+        placed as (select distinct doc_id, unnest(range(i, i + n)) p from hits),
+        counts as (select doc_id, count(*) n_hit from placed group by doc_id),
+        items as (
+          select doc_id, count(distinct item_id) n_items,
+                 string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids
+          from hits group by doc_id)
+        select w.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit,
+               cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(ids, '')) items_sha256,
+               coalesce(n_hit, 0) > 0 contaminated
+        from w left join counts using (doc_id) left join items using (doc_id)
+    """,
+}
