@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolsift.llm import decontamination, packing, simhash
+from poolsift.llm import ctw, decontamination, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = ctw.scores(docs, docs.filter(~ctw.held_out()))
+    return found.withColumn("held_out", ctw.held_out()).drop("row")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op8_ctw": op8_ctw,
 }
 
 ORACLES = {
