@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolsift.llm import ctw, decontamination, packing, simhash
+from poolsift.llm import ctw, decontamination, line_dedup, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = ctw.scores(docs, docs.filter(~ctw.held_out()))
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_ctw": op8_ctw,
 }
 
