@@ -25,6 +25,7 @@ from poolsift.session import pin
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(WORD)
 #: The list that holds a document's word count, so that documents without postings stay in.
 LENGTH = -1
@@ -84,6 +85,12 @@ def _windows(terms: DataFrame, frequencies: DataFrame, width: int) -> DataFrame:
     return best.select("item", "start", a["term"].alias("a"), a["place"].alias("a_place"), b["term"].alias("b"), b["place"].alias("b_place"))
 
 
+def _of_rows(lists: DataFrame, rows: DataFrame) -> DataFrame:
+    """Lists of the documents in ``rows`` (a written table): by broadcast of at most so many numbers, else by a shuffle."""
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return lists.join(rows, "row", "left_semi")
+
+
 def _begins(postings: DataFrame, anchors: DataFrame) -> DataFrame:
     """(row, item, begin): where ``anchors`` (item, term, place) say that an item would begin."""
     met = postings.join(F.broadcast(anchors), "term")
@@ -103,15 +110,15 @@ def phrase_matches(postings: DataFrame, terms: DataFrame, width: int = WINDOW) -
     begins = _begins(lists, rarest)
     # the second list, only in documents that the first one found, must agree on the beginning
     second = windows.filter("b is not null").select("item", F.col("b").alias("term"), F.col("b_place").alias("place")).distinct()
-    found = begins.select("row").distinct()
     begins = pin(begins, "begins")
-    agreed = begins.join(_begins(lists.join(found, "row", "left_semi"), second), ["row", "item", "begin"], "left_semi")
+    found = pin(begins.select("row").distinct(), "found")
+    agreed = begins.join(_begins(_of_rows(lists, found), second), ["row", "item", "begin"], "left_semi")
     single = begins.join(F.broadcast(windows.filter("b is null").select("item").distinct()), "item", "left_semi")
     candidates = pin(agreed.union(single.select(agreed.columns)).distinct(), "candidates")
     # all other lists: every word of the item against the document's word at its place
     expected = candidates.join(F.broadcast(terms.select("item", "term", "place", "item_words")), "item")
     expected = expected.withColumn("at", F.col("begin") + F.col("place"))
-    near = lists.join(candidates.select("row").distinct(), "row", "left_semi").select("row", "term", F.explode("places").alias("at"))
+    near = _of_rows(lists, pin(candidates.select("row").distinct(), "found")).select("row", "term", F.explode("places").alias("at"))
     same = expected.join(near, ["row", "term", "at"])
     order = Window.partitionBy("row", "item", "begin").orderBy("at")
     runs = same.withColumn("run", F.col("at") - F.row_number().over(order))

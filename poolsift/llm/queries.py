@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolsift.llm import ctw, decontamination, line_dedup, packing, simhash
+from poolsift.llm import ctw, decontamination, line_dedup, packing, quality_gam, simhash, toxicity
+from poolsift.llm.labelled import learnable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("row", "ids")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_gam.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
@@ -47,12 +53,19 @@ def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", ctw.held_out()).drop("row")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_ctw": op8_ctw,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
