@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolsift.llm import ctw, decontamination, line_dedup, packing, quality_gam, simhash, toxicity
+from poolsift.llm import ctw, decontamination, license_scan, line_dedup, packing, quality_gam, quality_rules, sharding, simhash, toxicity
 from poolsift.llm.labelled import learnable
 
 
@@ -13,6 +13,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.labels_of(base).alias("base_labels"),
+        license_scan.labels_of(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("row", "ids")
 
@@ -42,6 +58,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*base, "rule")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", "text")
@@ -53,22 +75,60 @@ def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", ctw.held_out()).drop("row")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {
+    "op1_license": op1_license,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_ctw": op8_ctw,
+    "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _license_sql() -> str:
+    """The scan again: pairs by text instead of hash, diagonals merged by a running sum."""
+    rows = license_scan.pair_table()
+    values = ", ".join(f"('{label}', {exact}, {pairs}, {place}, '{a} {b}')" for label, exact, pairs, place, a, b in rows)
+    return rf"""
+        with t(label, exact, pairs, place, pair) as (values {values}),
+        w as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+        p as (select doc_id, i - 1 as place_at, ws[i] || ' ' || ws[i + 1] pair from (select *, unnest(range(1, len(ws))) i from w)),
+        v as (select doc_id, label, exact, pairs, place, place_at, place_at - place as diagonal from p join t using (pair)),
+        f as (
+          select *, case when diagonal - lag(diagonal) over o <= case when exact then 0 else {license_scan.DRIFT} end then 0 else 1 end fresh
+          from v window o as (partition by doc_id, label order by diagonal, place_at)),
+        g as (
+          select *, sum(fresh) over (partition by doc_id, label order by diagonal, place_at rows unbounded preceding) as copy_no from f),
+        c as (
+          select doc_id, label, exact, min(place_at) as begins, count(distinct place) / any_value(pairs) as cover
+          from g group by doc_id, label, exact, copy_no),
+        s as (select * from c where cover >= case when exact then 1 else {license_scan.COVER} end)
+        select w.doc_id, cast(len(any_value(ws)) as bigint) n_words, count(begins) filter (exact) as n_base,
+               cast(min(begins) filter (exact) as bigint) as first_word, cast(max(begins) filter (exact) as bigint) as last_word,
+               coalesce(string_agg(distinct label, ',' order by label) filter (exact), '') base_labels,
+               coalesce(string_agg(distinct label, ',' order by label), '') labels, coalesce(max(cover), 0.0) score
+        from w left join s using (doc_id) group by w.doc_id
+    """
+
+
 ORACLES = {
+    "op1_license": _license_sql(),
     "op4_decontamination": r"""
         with w as (
           select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws
