@@ -1,34 +1,33 @@
 """Benchmark passages in documents, by a distributed positional inverted index.
 
-The index stores, for every document, the positions of each word that a benchmark item uses
-(other words cannot match). Phrase search goes through its lists from the rarest term on: a
-window's two rarest terms, shifted by their places in the item, must agree on where the item would
-begin; what is left is compared with the lists of all its other words. Phrase matches are windows
-of ten consecutive words, proximity matches are pairs of an item's rare terms a few words apart.
-
-The index is written once. Benchmark words are handed to the indexing tasks, so benchmarks of more
-than ``BLOCK_WORDS`` different words are taken in blocks, each with an index of its own.
+The index is partitioned by document: each of its rows holds a document's posting lists, the
+positions of every word that a benchmark item uses (other words cannot match). A search needs no
+shuffle: a window's lists are intersected where the document's lists lie, shifted by the words'
+places in the item, from the window's rarest term in the whole corpus on, so that nearly all false
+beginnings fall at the second list. Phrase matches are windows of ten consecutive words, proximity
+matches are an item's two rarest terms a few words apart.
+
+The index is written once. Benchmark words are handed to the tasks, so benchmarks of more than
+``BLOCK_WORDS`` words are taken in blocks, each with an index of its own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from poolsift.llm.texts import WORD, numbered
+from poolsift.llm.texts import WORD, numbered, slices, without
 from poolsift.session import pin
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
-BROADCAST_ROWS = 1_000_000
+BLOCK_WORDS = 100_000
 _WORD = re.compile(WORD)
-#: The list that holds a document's word count, so that documents without postings stay in.
-LENGTH = -1
 
 
 def words_of(text: str) -> list[str]:
@@ -44,147 +43,177 @@ def item_terms(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     return rows.select("item", "item_id", F.size("words").alias("item_words"), F.posexplode("words").alias("place", "word"))
 
 
-def index(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (row, doc_id, term, places): where in each document the vocabulary's words stand."""
-    rows = numbered(docs, id_col, text_col)
-    fields = [T.StructField("row", T.LongType()), rows.schema["doc_id"], T.StructField("term", T.IntegerType())]
-    fields.append(T.StructField("places", T.ArrayType(T.IntegerType())))
+def index(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(row, doc_id, text_hash, n_words, terms, places) of numbered rows: where the vocabulary's words stand."""
+    rows = rows.select("row", "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    fields = [T.StructField("row", T.LongType()), rows.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType())]
+    fields.append(T.StructField("terms", T.ArrayType(T.IntegerType())))
+    fields.append(T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))))
 
     def post(batches):
         get = vocabulary.get
-        for batch in batches:
-            at, terms, places = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = words_of(text)
-                lists = {LENGTH: [len(words)]}
+        for batch in slices(batches):
+            sizes, terms, places = [], [], []
+            for text in batch.column(2).to_pylist():
+                words, lists = words_of(text), defaultdict(list)
                 for place, term in enumerate(map(get, words)):
                     if term is not None:
-                        if term in lists:
-                            lists[term].append(place)
-                        else:
-                            lists[term] = [place]
-                at += [i] * len(lists)
-                terms += lists
-                places += lists.values()
-            at = pa.array(at, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at)]
-            columns += [pa.array(terms, pa.int32()), pa.array(places, pa.list_(pa.int32()))]
+                        lists[term].append(place)
+                sizes.append(len(words))
+                terms.append(list(lists))
+                places.append(list(lists.values()))
+            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64())]
+            columns += [pa.array(terms, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return rows.mapInArrow(post, T.StructType(fields))
 
 
-def _windows(terms: DataFrame, frequencies: DataFrame, width: int) -> DataFrame:
-    """(item, start, a, a_place, b, b_place): each window's two rarest places; b is null if it has one."""
-    known = terms.join(frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("place") - width + 1), F.least(F.col("place"), F.greatest(F.lit(0), F.col("item_words") - width)))
-    in_windows = known.select("item", "place", "term", "n", F.explode(starts).alias("start"))
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct("n", "place", "term"))), 1, 2)
-    best = in_windows.groupBy("item", "start").agg(rarest.alias("r"))
-    a, b = F.col("r")[0], F.get("r", F.lit(1))
-    return best.select("item", "start", a["term"].alias("a"), a["place"].alias("a_place"), b["term"].alias("b"), b["place"].alias("b_place"))
+def frequencies(postings: DataFrame) -> dict[int, int]:
+    """How often each term of the block stands in the corpus."""
+    sizes = postings.select("terms", F.transform("places", F.size).alias("sizes"))
+    each = sizes.select(F.explode(F.arrays_zip("terms", "sizes")).alias("x"))
+    counts = each.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.sizes").alias("n"))
+    return {r["term"]: r["n"] for r in counts.collect()}  # bounded by the block
+
+
+def _has(places: list[int], at: int) -> bool:
+    k = bisect_left(places, at)
+    return k < len(places) and places[k] == at
+
+
+class Phrases:
+    """Every window of the items, filed under its rarest term."""
+
+    def __init__(self, items: dict[int, list[int]], counts: dict[int, int], width: int):
+        self.items, self.counts, self.width = items, counts, width
+        self.windows = defaultdict(list)  # rarest term: (item, start, place)
+        for item, terms in items.items():
+            for start in range(max(1, len(terms) - width + 1)):
+                place = self._by_rarity(item, start)[0]
+                if terms[place] in counts:
+                    self.windows[terms[place]].append((item, start, place))
+
+    def _by_rarity(self, item: int, start: int) -> list[int]:
+        terms = self.items[item]
+        return sorted(range(start, min(start + self.width, len(terms))), key=lambda p: (self.counts.get(terms[p], 0), p))
+
+    def search(self, lists: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+        """(item, first, last) of a document: runs of matching windows, in its words."""
+        hits, orders = defaultdict(set), {}
+        for term in lists.keys() & self.windows.keys():
+            for item, start, place in self.windows[term]:
+                if (item, start) not in orders:
+                    orders[item, start] = self._by_rarity(item, start)[1:]
+                terms = self.items[item]
+                for at in lists[term]:
+                    begin = at - place
+                    if all(_has(lists.get(terms[p], ()), begin + p) for p in orders[item, start]):
+                        hits[item, begin].add(start)
+        found = []
+        for (item, begin), starts in hits.items():
+            size = min(self.width, len(self.items[item]))
+            run = None
+            for start in sorted(starts):
+                if run and start == run[1] + 1:
+                    run[1] = start
+                else:
+                    run = [start, start]
+                    found.append((item, begin, run))
+        return sorted((item, begin + run[0], begin + run[1] + min(self.width, len(self.items[item])) - 1) for item, begin, run in found)
+
+
+class Proximities:
+    """Each item's two rarest different terms, to be found near each other."""
+
+    def __init__(self, items: dict[int, list[int]], counts: dict[int, int], distance: int):
+        self.distance, self.pairs = distance, []
+        for item, terms in items.items():
+            rarest = sorted({t for t in terms if t in counts}, key=lambda t: (counts[t], t))[:2]
+            if len(rarest) == 2:
+                self.pairs.append((item, *rarest))
+
+    def search(self, lists: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+        """(item, first, last): each place of the rarest term with the nearest place of the other."""
+        found = []
+        for item, a, b in self.pairs:
+            if a in lists and b in lists:
+                for x in lists[a]:
+                    k = bisect_left(lists[b], x)
+                    y = min(lists[b][max(0, k - 1) : k + 1], key=lambda y: abs(y - x))
+                    if abs(y - x) <= self.distance:
+                        found.append((item, min(x, y), max(x, y)))
+        return sorted(found)
+
+
+def matches(postings: DataFrame, query, names: dict[int, object], id_type) -> DataFrame:
+    """(row, doc_id, text_hash, n_words, spans): what ``query`` finds in each document, (item_id, first, last)."""
+    span = T.StructType([T.StructField("item_id", id_type), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+    schema = T.StructType([*postings.select("row", "doc_id", "text_hash", "n_words").schema.fields, T.StructField("spans", T.ArrayType(span))])
+
+    def find(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        for batch in batches:
+            spans = []
+            for terms, places in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                spans.append([{"item_id": names[i], "first": a, "last": b} for i, a, b in query.search(dict(zip(terms, places)))])
+            columns = [*batch.columns[:4], pa.array(spans, to_arrow_type(schema["spans"].dataType))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-def _of_rows(lists: DataFrame, rows: DataFrame) -> DataFrame:
-    """Lists of the documents in ``rows`` (a written table): by broadcast of at most so many numbers, else by a shuffle."""
-    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    return lists.join(rows, "row", "left_semi")
+    return postings.mapInArrow(find, schema)
 
 
-def _begins(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(row, item, begin): where ``anchors`` (item, term, place) say that an item would begin."""
-    met = postings.join(F.broadcast(anchors), "term")
-    return met.select("row", "item", F.explode("places").alias("at"), "place").select("row", "item", (F.col("at") - F.col("place")).alias("begin")).distinct()
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> tuple[int, DataFrame]:
+    """Into how many blocks of at most about ``block_words`` words the items fall, and their words."""
+    terms = pin(item_terms(benchmark, id_col, text_col), "item_terms")
+    return -(-terms.agg(F.count("*")).first()[0] // block_words) or 1, terms
 
 
-def phrase_matches(postings: DataFrame, terms: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(row, item, begin, first, last): maximal runs of matching words, at least a window long.
-
-    ``first`` and ``last`` are word places in the document. ``terms`` is a block of ``item_terms``
-    with term numbers: what is broadcast is at most as large as that block.
-    """
-    lists = postings.filter(F.col("term") != LENGTH)
-    frequencies = lists.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
-    windows = pin(_windows(terms, frequencies, width), "windows")
-    rarest = windows.select("item", F.col("a").alias("term"), F.col("a_place").alias("place")).distinct()
-    begins = _begins(lists, rarest)
-    # the second list, only in documents that the first one found, must agree on the beginning
-    second = windows.filter("b is not null").select("item", F.col("b").alias("term"), F.col("b_place").alias("place")).distinct()
-    begins = pin(begins, "begins")
-    found = pin(begins.select("row").distinct(), "found")
-    agreed = begins.join(_begins(_of_rows(lists, found), second), ["row", "item", "begin"], "left_semi")
-    single = begins.join(F.broadcast(windows.filter("b is null").select("item").distinct()), "item", "left_semi")
-    candidates = pin(agreed.union(single.select(agreed.columns)).distinct(), "candidates")
-    # all other lists: every word of the item against the document's word at its place
-    expected = candidates.join(F.broadcast(terms.select("item", "term", "place", "item_words")), "item")
-    expected = expected.withColumn("at", F.col("begin") + F.col("place"))
-    near = _of_rows(lists, pin(candidates.select("row").distinct(), "found")).select("row", "term", F.explode("places").alias("at"))
-    same = expected.join(near, ["row", "term", "at"])
-    order = Window.partitionBy("row", "item", "begin").orderBy("at")
-    runs = same.withColumn("run", F.col("at") - F.row_number().over(order))
-    runs = runs.groupBy("row", "item", "begin", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("item_words").alias("item_words"))
-    return runs.filter(F.col("last") - F.col("first") + 1 >= F.least(F.lit(width), "item_words")).drop("run", "item_words")
-
-
-def proximity_matches(postings: DataFrame, terms: DataFrame, distance: int = 20) -> DataFrame:
-    """(row, item, first, last): an item's two rarest different terms at most ``distance`` words apart.
-
-    For each place of the rarest term the nearest place of the other one counts.
-    """
-    lists = postings.filter(F.col("term") != LENGTH)
-    frequencies = lists.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
-    ranked = terms.select("item", "term").distinct().join(frequencies, "term")
-    rarest = F.sort_array(F.collect_list(F.struct("n", "term")))
-    pairs = ranked.groupBy("item").agg(F.slice(rarest, 1, 2).alias("r")).filter(F.size("r") == 2)
-    pairs = pairs.select("item", F.col("r")[0]["term"].alias("a"), F.col("r")[1]["term"].alias("b"))
-    first = lists.join(F.broadcast(pairs), F.col("term") == F.col("a")).select("row", "item", "b", F.explode("places").alias("x"))
-    other = lists.select("row", F.col("term").alias("b"), F.col("places").alias("ys"))
-    met = first.join(other, ["row", "b"])
-    gap = F.array_min(F.transform("ys", lambda y: F.struct(F.abs(y - F.col("x")).alias("gap"), y.alias("y"))))
-    met = met.select("row", "item", "x", gap.alias("near")).filter(F.col("near.gap") <= distance)
-    return met.select("row", "item", F.least("x", "near.y").alias("first"), F.greatest("x", "near.y").alias("last"))
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS):
-    """(terms, vocabulary) for each block of the benchmark, none of which has too many words."""
-    terms = pin(item_terms(benchmark, id_col, text_col), "item_terms")
-    parts = -(-terms.agg(F.count("*")).first()[0] // block_words) or 1
-    for k in range(parts):
-        own = terms.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        words = [r["word"] for r in own.select("word").distinct().collect()]  # bounded by the block
-        vocabulary = {w: i for i, w in enumerate(sorted(words))}
-        numbers = own.sparkSession.createDataFrame(list(vocabulary.items()), "word string, term int")
-        yield pin(own.join(F.broadcast(numbers), "word"), "terms"), vocabulary
+def block(terms: DataFrame, parts: int, k: int):
+    """(items, vocabulary, names) of a block: items as lists of the vocabulary's numbers."""
+    own = terms.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
+    vocabulary, items, names = {}, defaultdict(list), {}
+    for r in own.orderBy("item", "place").toLocalIterator():  # bounded by the block
+        items[r["item"]].append(vocabulary.setdefault(r["word"], len(vocabulary)))
+        names[r["item"]] = r["item_id"]
+    return dict(items), vocabulary, names
 
 
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = WINDOW,
+    distance: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(row, doc_id, n_words, spans) of every row of ``docs``.
+    """(row, doc_id, text_hash, n_words, spans) of every row of ``docs``.
 
-    ``spans`` lists (item_id, first, last) of matching runs, null if there are none. An item of
-    fewer words than a window is one window; an item without words, null or empty, matches
-    nothing. Rows with equal or null ids are documents of their own. Items with a null id match,
-    too, and have a null item_id in their spans.
+    ``spans`` lists (item_id, first, last) of runs of matching windows, word places counted from 0;
+    with ``distance`` it lists proximity matches instead. An item of fewer words than a window is
+    one window; an item without words, null or empty, matches nothing. Rows with equal or null ids
+    are documents of their own. Items with a null id match, too, with a null item_id.
     """
-    lengths = found = None
-    for terms, vocabulary in blocks(benchmark, item_col, item_text_col, block_words):
-        postings = pin(index(docs, vocabulary, id_col, text_col), "postings")
-        if lengths is None:
-            lengths = postings.filter(F.col("term") == LENGTH).select("row", "doc_id", F.col("places")[0].cast("long").alias("n_words"))
-        matches = phrase_matches(postings, terms, width)
-        names = F.broadcast(terms.select("item", "item_id").distinct())
-        matches = matches.join(names, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "first", "last")).alias("spans"))
-        found = matches if found is None else found.union(matches)
-    spans = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return lengths.join(spans, "row", "left")
+    id_type, found = benchmark.schema[item_col].dataType, []
+    rows = numbered(docs, id_col, text_col)
+    parts, terms = blocks(benchmark, item_col, item_text_col, block_words)
+    if parts > 1:  # several indexes are joined by row
+        rows = pin(rows, "rows")
+    for k in range(parts):
+        items, vocabulary, names = block(terms, parts, k)
+        postings = pin(index(rows, vocabulary), "postings")
+        counts = frequencies(postings)
+        query = Phrases(items, counts, width) if distance is None else Proximities(items, counts, distance)
+        found.append(matches(postings, query, names, id_type))
+    whole = found[0]
+    for more in found[1:]:
+        more = more.select("row", F.col("spans").alias("more"))
+        whole = whole.join(more, "row").withColumn("spans", F.concat("spans", "more")).drop("more")
+    return whole
 
 
 def hit_words(spans) -> F.Column:
@@ -203,8 +232,7 @@ def hit_words(spans) -> F.Column:
     return F.coalesce(step, F.lit(0)).cast("long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without a benchmark window; columns stay as they are."""
-    docs = docs.select("*", F.struct(F.monotonically_increasing_id().alias("row")).alias("__numbered"))
-    bad = contamination(docs.drop("__numbered"), benchmark, **options).filter("spans is not null").select("row")
-    return docs.join(bad, docs["__numbered.row"] == bad["row"], "left_anti").drop("__numbered")
+    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    return without(docs, found.filter("size(spans) > 0").select("doc_id", "text_hash").distinct(), id_col, text_col)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolsift.session import pin
+
 # A null text is an empty one. Words after A-Z are lowered; upper case is in the class instead.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -13,8 +15,9 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text): only what an operator reads, so other columns can bear any name.
 
-    ``row`` tells rows with equal or null ids apart. It follows from the partitions of the
-    input, which are the same in every attempt when the input is a written table.
+    ``row`` tells rows with equal or null ids apart. It is the same in every attempt of a task, but
+    another scan may be cut into other partitions: rows may only be joined with what was derived
+    from the same written numbers.
     """
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -23,6 +26,30 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut small: a task holds so many texts, and what it makes of them, at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """(row, doc): the whole rows of ``docs`` with their numbers, written, so that joins can rely on them."""
+    return pin(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "stored")
+
+
+def numbered_in(table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``numbered`` for a table made by ``stored``."""
+    return table.select("row", F.col("doc")[id_col].alias("doc_id"), F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text"))
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text are not in ``bad`` (doc_id, text_hash); null ids match each other."""
+    key = [F.col(id_col).eqNullSafe(F.col("__id")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash")]
+    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return docs.join(bad, key, "left_anti")
+
+
 def once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once per row however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
