@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolsift.llm.texts import numbered, remainder, tokens
+from poolsift.llm.texts import numbered, remainder, slices, tokens
 from poolsift.session import pin
 
 DEPTH = 4
@@ -65,7 +65,7 @@ def _count(batches):
         kinds = pa.array(np.full(len(values), kind, np.int32))
         return pa.RecordBatch.from_arrays([kinds, pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["kind", "key", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             words.update(tokens(text))
             ends += 1
@@ -235,7 +235,7 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
 
     def score(batches):
         table, model, cache = lookup.value, tree.value, {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(2).to_pylist():
                 found = Counter(tokens(text))

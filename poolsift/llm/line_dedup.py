@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolsift.llm.texts import numbered
+from poolsift.llm.texts import numbered_in, slices, stored
 from poolsift.session import pin
 
 WINDOW = 3
@@ -45,14 +45,13 @@ def window_hashes(lines: list[str], width: int = WINDOW, min_words: int = MIN_WO
             yield part[0][0], part[-1][0], xxhash.xxh64_intdigest(joined.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def windows(docs: DataFrame, width: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, first, last, hash): every window with the lines it covers."""
-    rows = numbered(docs, id_col, text_col)
+def windows(rows: DataFrame, width: int, min_words: int) -> DataFrame:
+    """(row, doc_id, first, last, hash) of numbered rows: every window with the lines it covers."""
     fields = [T.StructField("row", T.LongType()), rows.schema["doc_id"]]
     fields += [T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("hash", T.LongType())]
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at, found = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = list(window_hashes(lines_of(text), width, min_words))
@@ -67,9 +66,9 @@ def windows(docs: DataFrame, width: int, min_words: int, id_col: str, text_col:
     return rows.mapInArrow(cut, T.StructType(fields))
 
 
-def repeats(docs: DataFrame, width: int = WINDOW, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(rows: DataFrame, width: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, spans): lines that later occurrences cover, as (first, last), for rows that have any."""
-    found = pin(windows(docs, width, min_words, id_col, text_col), "windows")
+    found = pin(windows(rows, width, min_words), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "first")
     groups = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1")
     # a window that very many rows share is one key of this join; adaptive execution splits it
@@ -94,18 +93,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text stays null with no lines; a text whose lines all go becomes empty; the row remains.
     New columns of the same names as old ones replace them.
     """
-    numbers = F.struct(F.monotonically_increasing_id().alias("row"))
-    spans = repeats(docs, width, min_words, id_col, text_col)
-    marked = docs.withColumn("__numbered", numbers).join(
-        spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), F.col("__numbered.row") == F.col("__row"), "left"
-    )
+    table = stored(docs)
+    spans = repeats(numbered_in(table, id_col, text_col), width, min_words)
     result = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("gone", T.LongType())])
 
     @F.udf(result, useArrow=True)
     def kept(text, found):
         return _kept_text(text, found)
 
-    done = marked.withColumn("__kept", kept(F.col(text_col), F.col("__spans")))
-    text = F.when(F.col(text_col).isNotNull(), F.col("__kept.text"))
-    done = done.withColumns({text_col: text, "n_lines": F.col("__kept.lines"), "n_removed": F.col("__kept.gone")})
-    return done.drop("__numbered", "__row", "__spans", "__kept")
+    text = F.col("doc")[text_col]
+    done = table.join(spans, "row", "left").withColumn("kept", kept(text, F.col("spans")))
+    done = done.select("doc.*", F.struct(F.when(text.isNotNull(), F.col("kept.text")).alias("text"), "kept.lines", "kept.gone").alias("__kept"))
+    return done.withColumns({text_col: F.col("__kept.text"), "n_lines": F.col("__kept.lines"), "n_removed": F.col("__kept.gone")}).drop("__kept")

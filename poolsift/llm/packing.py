@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from poolsift.llm.texts import numbered
+from poolsift.llm.texts import numbered, slices
 from poolsift.session import pin
 
 SEQ_LEN = 2048
@@ -77,7 +77,7 @@ def cut_pieces(
 
     def cut(batches):
         encode = encoder(public_tokenizers.path(tokenizer), ranks and public_tokenizers.path(ranks))
-        for batch in batches:
+        for batch in slices(batches):
             at, out = [], {n: [] for n in ("start", "length", "ids_crc32", "doc_tokens", "ids")}
             for i, text in enumerate(batch.column(2).to_pylist()):
                 ids = np.append(encode(text), END_ID).astype("<u4")

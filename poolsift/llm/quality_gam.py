@@ -14,11 +14,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift.llm import labelled
-from poolsift.llm.texts import numbered
+from poolsift.llm.texts import numbered, slices
 from poolsift.session import pin
 
 FEATURES = [
@@ -64,7 +63,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = numbered(docs, id_col, text_col)
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([describe(t) for t in batch.column(2).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             columns = [batch.column(0), batch.column(1), *(pa.array(values[:, k]) for k in range(len(FEATURES)))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", *FEATURES])

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from poolsift.llm.components import components
-from poolsift.llm.texts import numbered, tokens
+from poolsift.llm.texts import numbered, numbered_in, slices, stored, tokens
 from poolsift.session import pin
 
 LIMIT = 3
@@ -50,14 +50,13 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         values = pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["row", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, fp) of every row; ``fp`` is the fingerprint as a signed number."""
-    rows = numbered(docs, id_col, text_col)
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, fp) of numbered rows; ``fp`` is the fingerprint as a signed number."""
     schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], T.StructField("fp", T.LongType())])
     return rows.mapInArrow(_fingerprints, schema)
 
@@ -150,7 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last, and the first such row. Empty and null texts share the fingerprint zero and so one
     group. Rows with equal ids are rows of their own.
     """
-    prints = pin(fingerprints(docs, id_col, text_col), "fingerprints")
+    return _near_duplicates(numbered(docs, id_col, text_col))
+
+
+def _near_duplicates(rows: DataFrame) -> DataFrame:
+    prints = pin(fingerprints(rows), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     groups = pin(prints.groupBy("fp").agg(best.alias("best")), "groups")
     roots = components(fingerprint_links(groups))
@@ -164,6 +167,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with one row of each near-duplicate component; columns stay as they are."""
-    docs = docs.select("*", F.struct(F.monotonically_increasing_id().alias("row")).alias("__numbered"))
-    stay = near_duplicates(docs.drop("__numbered"), id_col, text_col).filter("stays").select("row")
-    return docs.join(stay, docs["__numbered.row"] == stay["row"], "left_semi").drop("__numbered")
+    table = stored(docs)
+    stay = _near_duplicates(numbered_in(table, id_col, text_col)).filter("stays").select("row")
+    return table.join(stay, "row", "left_semi").select("doc.*")

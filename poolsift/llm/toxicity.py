@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift.llm import labelled
-from poolsift.llm.texts import WORD, numbered
+from poolsift.llm.texts import WORD, numbered, slices, without
 from poolsift.session import pin
 
 #: Lexicon entries at most, log-odds from which a unit is one, toxic texts it must be found in, and
@@ -113,22 +113,23 @@ def describe(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, FEATURES...) of every row."""
-    rows = numbered(docs, id_col, text_col)
-    names = ["row", "doc_id", *FEATURES]
+    """(row, doc_id, text_hash, FEATURES...) of every row."""
+    rows = numbered(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    names = ["row", "doc_id", "text_hash", *FEATURES]
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([describe(t, lexicon) for t in batch.column(2).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(values[:, k]) for k in range(len(FEATURES)))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(values[:, k]) for k in range(len(FEATURES)))], names)
 
-    return rows.mapInArrow(compute, T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], *(T.StructField(n, T.DoubleType()) for n in FEATURES)]))
+    own = [rows.schema[n] for n in ("row", "doc_id", "text_hash")]
+    return rows.mapInArrow(compute, T.StructType([*own, *(T.StructField(n, T.DoubleType()) for n in FEATURES)]))
 
 
 def scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = labelled.MAX_ROWS
 ) -> DataFrame:
-    """(row, doc_id, FEATURES..., score, predicted) of every row of ``docs``.
+    """(row, doc_id, text_hash, FEATURES..., score, predicted) of every row of ``docs``.
 
     Learns from at most ``max_rows`` labelled rows. A null text is an empty one; rows with equal
     ids are scored one by one. With labels of one kind only, or none, every score is 0.
@@ -158,8 +159,7 @@ def scores(
     return scored.withColumns({"score": score, "predicted": (score >= THRESHOLD).cast("int")}).drop("margin")
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic; columns stay as they are."""
-    docs = docs.select("*", F.struct(F.monotonically_increasing_id().alias("row")).alias("__numbered"))
-    bad = scores(docs.drop("__numbered"), labels, **options).filter("predicted = 1").select("row")
-    return docs.join(bad, docs["__numbered.row"] == bad["row"], "left_anti").drop("__numbered")
+    bad = scores(docs, labels, id_col, text_col, **options).filter("predicted = 1").select("doc_id", "text_hash").distinct()
+    return without(docs, bad, id_col, text_col)
