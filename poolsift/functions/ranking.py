@@ -1,32 +1,25 @@
 """Order-dependent work without a window over a whole table or a hot group.
 
-A table whose counted size is small is ranked by the plain window function. Beyond that
-every helper splits the order into buckets, aggregates per bucket (map-side combined),
-accumulates over the small bucket table, and only then looks inside the buckets. Both
-ways give the same result.
+One plan for all sizes: narrow rows are range-partitioned on their whole order and written, each
+partition is worked through by a window of its own, and a table of one row per group and partition
+carries what lies before it.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolsift.session import input_bytes, pin, shared_dir
+from poolsift.session import pin
 
-# 4096 buckets of a hash prefix; up to 1024 equal-depth buckets of a numeric order.
+# 4096 buckets of a hash prefix; only one of them per group is ever sorted.
 HASH_PREFIX = 3
-CELLS = 1024
-# Rows up to which one sorted pass may hold a table.
-SMALL = 100_000
-# Input size from which (hash, id) of the eligible rows is written once instead of read twice.
-PIN_BYTES = 16 << 30
 # Largest n that is taken with one sorted top-n per partition and a merge.
 TOP_LIMIT = 50_000
 
 
 def seeded_hash(id_col, seed) -> Column:
-    """The random order of this library: md5 of ``seed:id``, then the id."""
+    """The random order of this library: md5 of ``seed:id``, then the id; null ids come last."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string"))), F.lit("~"))
 
 
 def hash_int(h: Column) -> Column:
@@ -34,109 +27,97 @@ def hash_int(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
-# --- numeric order -------------------------------------------------------------------
+# --- ordered rows ----------------------------------------------------------------------
 
 
-def _cuts(df: DataFrame, order: str, small: int) -> list[float] | None:
-    """Bounds of equal-depth buckets, so gaps in the ids do not skew them; None for a small table.
+class Ordered:
+    """Rows in a written order: running folds and previous values, per group, null groups included.
 
-    One aggregate returns the row count and at most ``CELLS`` numbers. Being values, they
-    are the same in every pass over the rows.
+    ``df`` should be narrow, as it is written once. ``order`` names columns that are unique
+    together; a null in the first of them raises. Every method returns new rows in the same order.
     """
-    shares = F.split(F.lit(",".join(str(i / CELLS) for i in range(1, CELLS))), ",").cast("array<double>")
-    spread = F.percentile_approx(F.col(order).cast("double"), shares, 10_000)
-    n, bounds = df.agg(F.count("*"), spread).first()
-    if n <= small:
-        return None
-    return [float("-inf"), *sorted(set(bounds)), float("inf")]
 
+    def __init__(self, df: DataFrame, order, groups=(), placed: bool = False):
+        self.order = [order] if isinstance(order, str) else list(order)
+        self.groups = list(groups)
+        if placed:
+            self._rows = df
+            return
+        first = self.order[0]
+        checked = F.coalesce(first, F.raise_error(F.lit(f"null in the order column {first}")).cast(df.schema[first].dataType))
+        rows = df.withColumn(first, checked).repartitionByRange(*self.order)
+        self._rows = pin(rows.withColumn("_part", F.spark_partition_id()), "ordered")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._rows.drop("_part")
+
+    def _next(self, df: DataFrame) -> "Ordered":
+        return Ordered(df, self.order, self.groups, placed=True)
+
+    def _carried(self, inside: DataFrame, carried: DataFrame, out) -> "Ordered":
+        """Rows joined with what their group carried into their partition; null groups meet, too."""
+        left, right = inside.alias("l"), carried.alias("r")
+        same = F.col("l._part") == F.col("r._part")
+        for g in self.groups:
+            same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+        return self._next(left.join(right, same, "left").select(*[F.col(f"l.{c}") for c in self._rows.columns], *out))
+
+    def running(self, values: dict) -> "Ordered":
+        """``values`` maps an output name to ``(column, "sum" | "max")``."""
+        fold = {"sum": F.sum, "max": F.max}
+        keys = [*self.groups, "_part"]
+        named = self._rows.select("*", *[c.alias(f"_in_{a}") for a, (c, _) in values.items()])
+        along = Window.partitionBy(*keys).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        inside = named.select("*", *[fold[how](f"_in_{a}").over(along).alias(f"_own_{a}") for a, (_, how) in values.items()])
+        parts = named.groupBy(*keys).agg(*[fold[how](f"_in_{a}").alias(f"_sum_{a}") for a, (_, how) in values.items()])
+        before = Window.partitionBy(*self.groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(*keys, *[fold[how](f"_sum_{a}").over(before).alias(f"_off_{a}") for a, (_, how) in values.items()])
+
+        def both(a, how):
+            own, off = F.col(f"_own_{a}"), F.col(f"_off_{a}")
+            return F.coalesce(own + off, own, off) if how == "sum" else F.greatest(own, off)
+
+        return self._carried(inside, parts, [both(a, how).alias(a) for a, (_, how) in values.items()])
+
+    def positions(self, alias: str = "position") -> "Ordered":
+        """``row_number``."""
+        return self.running({alias: (F.lit(1).cast("long"), "sum")})
+
+    def previous(self, columns: dict) -> "Ordered":
+        """``lag`` by one row: ``columns`` maps an output name to the column of the row before."""
+        keys = [*self.groups, "_part"]
+        along = Window.partitionBy(*keys).orderBy(*self.order)
+        inside = self._rows.select(
+            "*", F.row_number().over(along).alias("_nth"), *[F.lag(c).over(along).alias(f"_own_{a}") for a, c in columns.items()]
+        )
+        place = F.struct(*self.order)
+        parts = self._rows.groupBy(*keys).agg(*[F.max_by(F.col(c), place).alias(f"_last_{a}") for a, c in columns.items()])
+        before = Window.partitionBy(*self.groups).orderBy("_part")
+        parts = parts.select(*keys, *[F.lag(f"_last_{a}").over(before).alias(f"_off_{a}") for a in columns])
+        first = F.col("_nth") == 1
+        return self._carried(inside, parts, [F.when(first, F.col(f"_off_{a}")).otherwise(F.col(f"_own_{a}")).alias(a) for a in columns])
 
-def _bucketed(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
-    keyed = df.withColumn("_order", F.col(order).cast("double"))
-    bucketizer = Bucketizer(splits=cuts, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
-    return bucketizer.transform(keyed).drop("_order")
 
+def running(df: DataFrame, order, values: dict, groups=()) -> DataFrame:
+    """Running ``sum`` or ``max`` over a unique order, per group."""
+    return Ordered(df, order, groups).running(values).rows
 
-def running(
-    df: DataFrame, order: str, values: dict, groups=(), pinned: bool = False, small: int | None = None
-) -> DataFrame:
-    """Running ``sum`` or ``max`` over a numeric, unique order, per group.
 
-    ``values`` maps an output name to ``(column, "sum" | "max")``. ``pinned`` says that
-    the input is worth writing once rather than computing it for each pass.
-    """
-    source = pin(df, "ordered") if pinned else df
-    cuts = _cuts(source, order, SMALL if small is None else small)
-    if cuts is None:
-        fold = {"sum": F.sum, "max": F.max}
-        upto = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return source.select("*", *[fold[how](c).over(upto).alias(a) for a, (c, how) in values.items()])
-    return _accumulate(_bucketed(source, order, cuts), [order], values, list(groups))
+def positions(df: DataFrame, order, groups=(), alias: str = "position") -> DataFrame:
+    """``row_number`` over a unique order, per group."""
+    return Ordered(df, order, groups).positions(alias).rows
 
 
-def positions(
-    df: DataFrame, order: str, groups=(), alias: str = "position", pinned: bool = False, small: int | None = None
-) -> DataFrame:
-    """``row_number`` over a numeric, unique order, per group."""
-    return running(df, order, {alias: (F.lit(1).cast("long"), "sum")}, groups, pinned, small)
+def with_previous(df: DataFrame, order, columns: dict, groups=()) -> DataFrame:
+    """``lag`` by one row over a unique order, per group."""
+    return Ordered(df, order, groups).previous(columns).rows
 
 
 def hash_positions(df: DataFrame, id_col: str, seed, groups=(), alias: str = "position") -> DataFrame:
-    """``row_number`` in seeded hash order, per group."""
-    keyed = df.withColumn("_hash", seeded_hash(id_col, seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, HASH_PREFIX)
-    )
-    values = {alias: (F.lit(1).cast("long"), "sum")}
-    return _accumulate(keyed, ["_hash", id_col], values, list(groups)).drop("_hash")
-
-
-def _accumulate(df: DataFrame, order, values: dict, groups) -> DataFrame:
-    keys = groups + ["_bucket"]
-    fold = {"sum": F.sum, "max": F.max}
-    named = df.select("*", *[c.alias(f"_in_{a}") for a, (c, _) in values.items()])
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        named.groupBy(*keys)
-        .agg(*[fold[how](f"_in_{a}").alias(f"_off_{a}") for a, (_, how) in values.items()])
-        .select(*keys, *[fold[how](f"_off_{a}").over(before).alias(f"_off_{a}") for a, (_, how) in values.items()])
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = named.select("*", *[fold[how](f"_in_{a}").over(inside).alias(f"_loc_{a}") for a, (_, how) in values.items()])
-
-    def combine(alias, how):
-        mine, earlier = F.col(f"_loc_{alias}"), F.col(f"_off_{alias}")
-        if how == "sum":
-            return F.coalesce(mine, F.lit(0)) + F.coalesce(earlier, F.lit(0))
-        return F.greatest(mine, earlier)
-
-    # null groups must meet their own offsets, hence the null-safe comparison
-    left, right = local.alias("l"), offsets.alias("r")
-    same = F.col("l._bucket") == F.col("r._bucket")
-    for g in groups:
-        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    out = [F.col(f"l.{c}") for c in df.columns if c != "_bucket"]
-    return left.join(right, same).select(*out, *[combine(a, how).alias(a) for a, (_, how) in values.items()])
-
-
-def with_previous(
-    df: DataFrame, order: str, columns: dict, groups=(), pinned: bool = False, small: int | None = None
-) -> DataFrame:
-    """``lag`` by one row: ``columns`` maps an output name to the column of the row before.
-
-    Beyond a small table neighbours meet by an equi-join on (group, position), so a group
-    of any size spreads.
-    """
-    source = pin(df, "ordered") if pinned else df
-    cuts = _cuts(source, order, SMALL if small is None else small)
-    if cuts is None:
-        along = Window.partitionBy(*groups).orderBy(order)
-        return source.select("*", *[F.lag(c).over(along).alias(a) for a, c in columns.items()])
-    counted = {"_pos": (F.lit(1).cast("long"), "sum")}
-    placed = _accumulate(_bucketed(source, order, cuts), [order], counted, list(groups))
-    before = placed.select(
-        *groups, (F.col("_pos") + 1).alias("_pos"), *[F.col(c).alias(a) for a, c in columns.items()]
-    )
-    return placed.join(before, [*groups, "_pos"], "left").select(*df.columns, *columns)
+    """``row_number`` in seeded hash order, per group; narrow rows in, as for the others."""
+    keyed = df.withColumn("_hash", seeded_hash(id_col, seed))
+    return positions(keyed, ["_hash", id_col], groups, alias).drop("_hash")
 
 
 # --- exact cuts in seeded hash order -------------------------------------------------
@@ -154,9 +135,7 @@ def hash_cut(df: DataFrame, id_col: str, seed, quota, groups=()) -> DataFrame:
     keyed = df.select(*groups, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_hash")).withColumn(
         "_bucket", F.substring("_hash", 1, HASH_PREFIX)
     )
-    # eligibility may look at texts, so two passes over a huge table cost more than one small write
-    if input_bytes(df) > PIN_BYTES:
-        keyed = pin(keyed, "hashes")
+    keyed = pin(keyed, "hashes")  # eligibility may look at texts: they are read once
     counts = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
     by_bucket = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     table = counts.select(
@@ -209,13 +188,16 @@ def top_n(df: DataFrame, n: int, order, alias: str = "rank", limit: int = TOP_LI
 
     Pass narrow rows. A batch-sized n is a top-n per partition and one merge of n rows.
     A larger n is range-partitioned on the full sort key, so equal scores still split
-    by id, and ranked per partition; the checkpoint pins the partition of each row.
+    by id, and ranked per partition. ``limit`` is the n up to which the merge is used.
     """
     if n <= limit:
         return df.orderBy(*order).limit(n).withColumn(
             alias, F.row_number().over(Window.orderBy(*order)).cast("long")
         )
-    shared_dir(df.sparkSession)
-    placed = df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()).checkpoint()
-    ranked = _accumulate(placed, order, {alias: (F.lit(1).cast("long"), "sum")}, [])
-    return ranked.filter(F.col(alias) <= n)
+    placed = pin(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long")
+    ranked = placed.withColumn("_own", own).join(offsets, "_part").withColumn(alias, F.col("_own") + F.col("_off"))
+    return ranked.filter(F.col(alias) <= n).drop("_part", "_own", "_off")

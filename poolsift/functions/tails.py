@@ -30,7 +30,8 @@ def _simpson(lower: Column, upper: Column, d1: Column, d2: Column) -> Column:
 
 
 def f_tail(f: Column, d1: Column, d2: Column) -> Column:
-    """P(F(d1, d2) > f)."""
+    """P(F(d1, d2) > f); null without degrees of freedom."""
+    d2 = F.when(d2 > 0, d2)
     d1, d2 = d1.cast("double"), d2.cast("double")
     upper = F.least(F.lit(1.5707963267948966), (F.sqrt(d1) + F.lit(12.0)) / F.sqrt(d2))
     lower = F.least(F.atan(F.sqrt(d1 * f / d2)), upper)

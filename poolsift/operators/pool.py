@@ -4,11 +4,11 @@ A pool is ``id, description, is_labelled, label, model_prediction, uncertainty_s
 Every change is a function from pool to pool.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsift.functions.columns import label_code, label_name, present
-from poolsift.functions.ranking import first_by_hash, hash_cut, top_n, up_to_cut
+from poolsift.functions.ranking import hash_cut, top_n, up_to_cut
 
 POOL_COLUMNS = ["id", "description", "is_labelled", "label", "model_prediction", "uncertainty_score"]
 # Fixed value: at most this share of the pool becomes the random seed set.
@@ -66,7 +66,7 @@ def label_rejects(df: DataFrame, labels, text_col: str = "description", label_co
     known = present(text_col) & present(label_col)
     out = df.filter(known & ~F.col(label_col).isin(list(labels)))
     per_label = out.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("dropped"))
-    return per_label.select("*", (out.agg(F.count("*")).scalar()).alias("dropped_in_all"))
+    return per_label.withColumn("dropped_in_all", F.sum("dropped").over(Window.partitionBy()))  # one row per label
 
 
 def label_encode(df: DataFrame, labels, label_col: str = "label", alias: str = "label_code") -> DataFrame:
@@ -88,13 +88,14 @@ def remaining_pool(pool: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def save_predictions(pool: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Store ``model_prediction`` and ``uncertainty_score`` of the scored ids; others keep theirs."""
-    new = predictions.select(
-        "id",
-        F.col("model_prediction").cast("string").alias("_prediction"),
-        F.col("uncertainty_score").alias("_score"),
-        F.lit(True).alias("_scored"),
-    )
+    """Store ``model_prediction`` and ``uncertainty_score`` of the scored ids; others keep theirs.
+
+    No id is repeated by it, however often it was scored.
+    """
+    # an id scored twice counts once: the highest score, then the last prediction by name
+    best = F.max(F.struct(F.col("uncertainty_score").alias("s"), F.col("model_prediction").cast("string").alias("p")))
+    new = predictions.groupBy("id").agg(best.alias("_new"))
+    new = new.select("id", F.col("_new.p").alias("_prediction"), F.col("_new.s").alias("_score"), F.lit(True).alias("_scored"))
     scored = F.col("_scored").isNotNull()
     return (
         pool.join(new, "id", "left")
@@ -105,8 +106,8 @@ def save_predictions(pool: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def apply_labels(pool: DataFrame, labels: DataFrame) -> DataFrame:
-    """Reveal ``id, label`` pairs. A pair without a label changes nothing."""
-    new = labels.filter(present("label")).select("id", F.col("label").alias("_label"))
+    """Reveal ``id, label`` pairs. A pair without a label changes nothing; of several the last by name holds."""
+    new = labels.filter(present("label")).groupBy("id").agg(F.max("label").alias("_label"))  # one row per id
     given = F.col("_label").isNotNull()
     return (
         pool.join(new, "id", "left")
@@ -118,7 +119,7 @@ def apply_labels(pool: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mark_labelled(pool: DataFrame, ids: DataFrame) -> DataFrame:
     """Set the flag of the ids and keep their label."""
-    new = ids.select("id", F.lit(True).alias("_marked"))
+    new = ids.select("id").distinct().withColumn("_marked", F.lit(True))
     return (
         pool.join(new, "id", "left")
         .withColumn("is_labelled", F.col("is_labelled") | F.col("_marked").isNotNull())
@@ -187,7 +188,3 @@ def committee_upsert(outputs: DataFrame, sequence: str = "seq") -> DataFrame:
     rest = [c for c in outputs.columns if c not in ("member", "id", sequence)]
     latest = F.max_by(F.struct(*rest), sequence)
     return outputs.groupBy("member", "id").agg(latest.alias("_row")).select("member", "id", "_row.*")
-
-
-def random_rows(df: DataFrame, n: int, seed=42, key: str = "id") -> DataFrame:
-    return first_by_hash(df, key, seed, n)

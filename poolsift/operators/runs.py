@@ -1,7 +1,7 @@
 """Shaping a results log: metrics as columns, runs, series.
 
 A log may hold one run or millions, and one run may hold most rows. Runs are numbered
-by a bucketed running sum over the log id, and everything per run is an aggregate.
+by a running sum over the log id, and everything per run is an aggregate.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -55,9 +55,10 @@ def starts_run() -> Column:
 def split_runs(results: DataFrame) -> DataFrame:
     """Adds ``run``, counted from 1 in id order; the first row always opens run 1."""
     first = results.agg(F.min("id")).scalar()
-    flagged = results.withColumn("_first", first)
-    opens = (starts_run() | (F.col("id") == F.col("_first"))).cast("long")
-    return running(flagged, "id", {"run": (opens, "sum")}).drop("_first")
+    flags = results.select("id", starts_run().alias("_starts")).withColumn("_first", first)
+    opens = (F.col("_starts") | (F.col("id") == F.col("_first"))).cast("long")
+    numbers = running(flags, "id", {"run": (opens, "sum")}).select("id", "run")
+    return results.join(numbers, "id").select(*results.columns, "run")  # only (id, flag) is ordered
 
 
 def _named_method() -> Column:

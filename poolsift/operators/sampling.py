@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from poolsift.functions.columns import not_blank, present, stripped
 from poolsift.functions.ranking import (
+    Ordered,
     first_by_hash,
     hash_cut,
     hash_int,
     hash_positions,
-    positions,
     seeded_hash,
     up_to_cut,
 )
@@ -109,14 +109,15 @@ def balance_fixed(
 
     short = counts.filter(F.col("n") < target).select(F.col("label").alias(label_col), "n")
     short_rows = rows.join(F.broadcast(short.select(label_col)), label_col, "left_semi")
-    ranked = hash_positions(short_rows, key, seed, [label_col], alias="_rank")
+    ranked = hash_positions(short_rows.select(key, label_col), key, seed, [label_col], alias="_rank")
     numbers = rows.sparkSession.range(1, target + 1).withColumnRenamed("id", "draw")
     per_label = numbers.select("draw", F.explode(F.array(*[F.lit(x) for x in labels])).alias(label_col))
     point = seeded_hash(F.concat_ws(":", F.col(label_col), F.col("draw").cast("string")), seed)
     draws = per_label.join(F.broadcast(short), label_col).select(
         label_col, "draw", (hash_int(point) % F.col("n") + 1).alias("_rank")
     )
-    over = draws.join(ranked, [label_col, "_rank"]).select(*under.columns)
+    drawn = draws.join(ranked, [label_col, "_rank"]).select(key, "draw")
+    over = short_rows.join(drawn, key).select(*under.columns)
     return under.unionByName(over)
 
 
@@ -182,8 +183,9 @@ def stratified_subsample(ranked: DataFrame, n: int, seed=42, rank: str = "rank",
     rows are returned when there are at most ``n``. Class sizes come from one row per
     class; ranks inside a class do not need the class in one task.
     """
-    placed = positions(ranked, rank, [label_col], "_in_class", pinned=True)
-    sizes = ranked.groupBy(label_col).agg(F.count("*").alias("_n"), F.min(rank).alias("_seen"))
+    ordered = Ordered(ranked, rank, [label_col])
+    placed = ordered.positions("_in_class").rows
+    sizes = ordered.rows.groupBy(label_col).agg(F.count("*").alias("_n"), F.min(rank).alias("_seen"))
     name = F.coalesce(F.col(label_col).cast("string"), F.lit(""))
     drawn = Window.orderBy(seeded_hash(name, seed), name)
     everyone = Window.partitionBy()
@@ -227,5 +229,8 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed=42, key: str = "id", label_
 
 
 def _fold(df, k, seed, key, groups):
-    placed = hash_positions(df, key, seed, groups, alias="_pos")
-    return placed.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_pos")
+    numbers = hash_positions(df.filter(F.col(key).isNotNull()).select(key, *groups), key, seed, groups, alias="_pos")
+    fold = ((F.col("_pos") - 1) % k).cast("int")
+    folds = numbers.select(F.col(key).alias("_key"), fold.alias("fold"))
+    # rows without a key have no place in the order; they go to the first fold
+    return df.join(folds, df[key] == folds["_key"], "left").select(*df.columns, F.coalesce("fold", F.lit(0)).alias("fold"))

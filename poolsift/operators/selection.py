@@ -16,24 +16,33 @@ from poolsift.functions.columns import (
     present,
     rounded,
 )
-from poolsift.functions.ranking import top_n
+from poolsift.functions.ranking import TOP_LIMIT, top_n
 from poolsift.operators.pool import page, unlabelled_rows, usable
+from poolsift.session import pin
 
 
-def with_rank(pool: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Whole pool rows of a narrow ranked selection."""
-    return pool.join(ranked, "id")
+def with_rank(pool: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """Whole pool rows of a narrow ranked selection of at most ``n`` rows.
+
+    The selection is written once. Its ids, a bounded number up to ``TOP_LIMIT``, are broadcast as
+    a semi-join, which passes below the joins that a pool may consist of: no text is shuffled.
+    """
+    ranked = pin(ranked, "selection")
+    if n > TOP_LIMIT:
+        return pool.join(ranked, "id")
+    chosen = pool.join(F.broadcast(ranked.select("id")), "id", "left_semi")
+    return chosen.join(F.broadcast(ranked), "id")
 
 
 def uncertainty_ids(pool: DataFrame, n: int) -> DataFrame:
     """``id, rank`` of the unlabelled scored rows with the highest score, ties by id."""
-    scored = unlabelled_rows(pool).filter(F.col("uncertainty_score").isNotNull())
+    scored = unlabelled_rows(pool).filter(F.col("uncertainty_score").isNotNull() & ~F.isnan("uncertainty_score"))
     narrow = scored.select("id", rounded(F.col("uncertainty_score")).alias("_score"))
     return top_n(narrow, n, [F.desc("_score"), F.asc("id")]).drop("_score")
 
 
 def uncertainty_sampling(pool: DataFrame, n: int) -> DataFrame:
-    return with_rank(pool, uncertainty_ids(pool, n))
+    return with_rank(pool, uncertainty_ids(pool, n), n)
 
 
 # --- committee -----------------------------------------------------------------------
@@ -88,7 +97,7 @@ def committee_js(committee: DataFrame, pool: DataFrame, n: int) -> DataFrame:
     """The ``n`` unlabelled rows the members disagree on most; ties by entropy of the mean, then id."""
     scores = committee_scores(_unlabelled_members(committee, pool))
     order = [F.desc("js"), F.desc("mean_entropy"), F.asc("id")]
-    return with_rank(pool, top_n(scores.select("id", "js", "mean_entropy"), n, order))
+    return with_rank(pool, top_n(scores.select("id", "js", "mean_entropy"), n, order), n)
 
 
 def vote_scores(committee: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def committee_vote(committee: DataFrame, pool: DataFrame, n: int) -> DataFrame:
     """The ``n`` unlabelled rows with most distinct predictions; ties by mean entropy, then id."""
     scores = vote_scores(_unlabelled_members(committee, pool))
     order = [F.desc("votes"), F.desc("vote_entropy"), F.asc("id")]
-    return with_rank(pool, top_n(scores, n, order))
+    return with_rank(pool, top_n(scores, n, order), n)
 
 
 # --- diversity -----------------------------------------------------------------------

@@ -1,14 +1,14 @@
 """Stop rules and reports over the rows of a prepared log (``runs.prepare_log``).
 
-Neighbours within a run meet by position and streaks come from a bucketed running
-maximum, so one run may hold any share of the log.
+Previous values and streaks come from the log in its written order, so one run may hold any
+share of the log.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolsift.functions.columns import is_base
-from poolsift.functions.ranking import positions, running, with_previous
+from poolsift.functions.ranking import Ordered, with_previous
 
 CONTINUE = "continue"
 
@@ -28,12 +28,9 @@ def stop_plateau(
     if patience == 0:
         return log.withColumn("streak", F.lit(0).cast("long")).withColumn("plateau", F.lit(False))
     known = log.filter(F.col(value).isNotNull()).select("id", "run", F.col(value).alias("_value"))
-    placed = positions(known, "id", ["run"], "_pos")
-    before = placed.select("run", (F.col("_pos") + 1).alias("_pos"), F.col("_value").alias("_before"))
-    pairs = placed.join(before, ["run", "_pos"], "left")
+    steps = Ordered(known, "id", ["run"]).previous({"_before": "_value"}).positions("_pos")
     flat = F.coalesce(F.col("_before") - F.col("_value") < eps, F.lit(False))
-    resets = pairs.select("id", "run", "_pos", F.when(~flat, F.col("_pos")).alias("_reset"))
-    marked = running(resets, "id", {"_last": (F.col("_reset"), "max")}, ["run"], pinned=True)
+    marked = steps.running({"_last": (F.when(~flat, F.col("_pos")), "max")}).rows
     streaks = marked.select("id", (F.col("_pos") - F.col("_last")).alias("streak"))
     out = log.join(streaks, "id", "left")
     return out.withColumn("plateau", F.coalesce(F.col("streak") >= patience, F.lit(False)))
@@ -57,9 +54,8 @@ def stop_budget(
 
 
 def _with_gain(log: DataFrame) -> DataFrame:
-    return with_previous(log, "id", {"previous_accuracy": "accuracy"}, ["run"]).withColumn(
-        "gain", F.col("accuracy") - F.col("previous_accuracy")
-    )
+    steps = with_previous(log, "id", {"previous_accuracy": "accuracy"}, ["run"])
+    return steps.withColumn("gain", F.col("accuracy") - F.col("previous_accuracy"))
 
 
 def stop_classic(
@@ -94,9 +90,8 @@ def stop_min_gain(log: DataFrame, min_gain: float = 0.001, unlabelled: str = "un
 
 def iteration_report(log: DataFrame) -> DataFrame:
     """Per row: iteration, rows labelled in it, accuracy before and after, stop flag and reason."""
-    steps = with_previous(
-        log, "id", {"previous_accuracy": "accuracy", "_size_before": "train_data_size"}, ["run"]
-    )
+    narrow = log.select("id", "run", "iteration_no", "method", "train_data_size", "accuracy", "notes")
+    steps = with_previous(narrow, "id", {"previous_accuracy": "accuracy", "_size_before": "train_data_size"}, ["run"])
     base = is_base("method")
     added = F.col("train_data_size") - F.coalesce(F.col("_size_before"), F.lit(0))
     stops = ~F.coalesce(F.col("notes").isin(CONTINUE, "base_classifier"), F.lit(True))

@@ -20,13 +20,21 @@ def _metric(key):
     return f"""try_cast(json_extract_string(case when json_valid(metrics) then metrics end, '$."{key}"') as double)"""
 
 
+def _logits_sql():
+    """Four sums per member: every twelfth of the 64 dimensions, from a start that the member gives."""
+    sums = [
+        " + ".join(f"coalesce(cast(embedding[{12 * k + j + 1} + 4 * m] as double), 0)" for k in range(6)) for j in range(4)
+    ]
+    return "[" + ", ".join(sums) + "]"
+
+
 VIEWS = {
     "fx_rows": "select doc_id id, text description, lang as label, source from documents",
     "fx_scores": """
         select id, member, list_transform(e, lambda x: x / list_sum(e)) probs from (
           select vec_id id, m member,
-            list_transform(embedding[4*m+1:4*m+4], lambda x: exp(16 * cast(x as double))) e
-          from embeddings, (select unnest([0, 1, 2]) m))""",
+            list_transform(_LOGITS_, lambda x: exp(16 * x)) e
+          from embeddings, (select unnest([0, 1, 2]) m))""".replace("_LOGITS_", _logits_sql()),
     "fx_pred": f"""
         select s.id, s.member, s.probs, r.label, r.description,
           list_position(s.probs, list_max(s.probs)) - 1 predicted_class,
@@ -202,9 +210,12 @@ _RAW = {
     # sources and sinks
     "read_postings_csv": """select cast(doc_id as varchar) job_id, text description, lang formatted_work_type,
         source company_name from documents""",
-    "read_results": """select * replace (cast(iteration_no as bigint) as iteration_no, nullif(model_name, '') as model_name)
-        from fx_results""",
-    "read_jsonl": "select cast(props::json->>'k' as bigint) k from events where event_type <> 'error'",
+    "read_results": """select * replace (cast(iteration_no as bigint) as iteration_no, nullif(model_name, '') as model_name,
+          null::double as t, null::varchar as run_by), cast(2024 as bigint) created_at, 'h' || id as host from fx_results""",
+    "read_results_unnamed": "select id, method, metrics, notes, null::bigint train_data_size from fx_results",
+    "read_jsonl": """select case when event_type <> 'signup' then cast(props::json->>'k' as bigint) end k
+        from events where event_type <> 'error'""",
+    "read_jsonl_keys": "select props::json->>'k' k from events",
     "head_rows": "select id, description, label, source from fx_rows order by id limit 100",
     "write_table_csv": f"""
         select 'pool' as name, count(*) as rows, cast(sum(id) as bigint) ids, cast(sum(length(description)) as bigint) chars,
@@ -248,12 +259,12 @@ _RAW = {
         select id, missing, case when missing then null else round(x / s, 6) + 0.0 end p from (
           select id, s, s <= 0 missing, unnest(case when s <= 0 then [null::double] else v end) x from (
             select vec_id id, v, list_sum(v) s from (
-              select vec_id, list_transform(embedding[1:4], lambda x: cast(x as double) + 0.05) v from embeddings)))""",
+              select vec_id, list_transform(embedding, lambda x: cast(x as double) + 0.05) v from embeddings)))""",
     "softmax_predict": f"""
         select id, list_position(p, list_max(p)) - 1 predicted_class, {r6('list_max(p)', 'confidence')},
           {r6('1 - list_max(p)', 'uncertainty')}
         from (select id, list_transform(e, lambda x: x / list_sum(e)) p from (
-          select vec_id id, list_transform(embedding[1:8], lambda x: exp(cast(x as double))) e from embeddings))""",
+          select vec_id id, list_transform(embedding, lambda x: exp(cast(x as double))) e from embeddings))""",
     "entropy": f"""
         select id, cast(member as bigint) as member, {r6('h', 'entropy')}, {r6('h / ln(4 + 1e-12)', 'normalized')}
         from (select id, member, -list_sum(list_transform(probs, lambda p: p * ln(p + 1e-12))) h from fx_scores)""",
@@ -274,7 +285,7 @@ _RAW = {
         where id not in (select doc_id from labels)""",
     "committee_by_id": f"""select id, count(*) over (partition by id) members,
         row_number() over (partition by id order by member) - 1 place, cast(member as bigint) as member,
-        {r6('probs[1]', 'p0')}, {r6('probs[4]', 'p3')} from fx_scores""",
+        {r6('probs[1]', 'p0')}, {r6('probs[2]', 'p1')}, {r6('probs[3]', 'p2')}, {r6('probs[4]', 'p3')} from fx_scores""",
     "common_sizes": f"""select c.train_data_size, c.method, {r6('c.accuracy', 'accuracy')}, {r6('c.macro_f1', 'macro_f1')},
         {r6('b.accuracy', 'base_accuracy')}, {r6('b.macro_f1', 'base_macro_f1')}
         from fx_curve c join fx_base_curve b on b.train_data_size = c.train_data_size where c.method <> 'random_sampling'""",
@@ -284,7 +295,9 @@ _RAW = {
             else p.model_prediction end model_prediction,
           round(case when s.id is not null then 1 - list_max(s.probs) else p.uncertainty_score end, 6) + 0.0 uncertainty_score,
           p.is_labelled
-        from fx_pool p left join fx_scores s on s.id = p.id and s.member = 1""",
+        from fx_pool p left join (
+          select * from fx_scores where member > 0 qualify row_number() over (
+            partition by id order by round(1 - list_max(probs), 6) desc, list_position(probs, list_max(probs)) desc) = 1) s on s.id = p.id""",
     "apply_labels": """select r.id, coalesce(l.quality = 1, false) is_labelled,
         case when l.quality = 1 then 'good' else r.label end as label from fx_rows r left join labels l on l.doc_id = r.id""",
     "mark_labelled": """select p.id, p.is_labelled or e.vec_id is not null is_labelled, p.label

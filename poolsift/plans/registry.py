@@ -68,21 +68,40 @@ def read_postings_csv(t):
 
 @query
 def read_results(t):
+    """A tab-separated log with shuffled, missing and further columns, read by name."""
     path = fresh_path(t.spark, "results.tsv")
-    files.write_csv(t.results, path, sep="\t")
-    return files.read_results(t.spark, path)
+    stamp = F.lit("2024-05-06 07:08:09")
+    log = t.results.drop("t", "run_by").withColumns({"created_at": stamp, "host": F.concat(F.lit("h"), F.col("id"))})
+    files.write_csv(log.select(*reversed(log.columns)), path, sep="\t")
+    return files.read_results(t.spark, path).withColumn("created_at", F.year("created_at"))
+
+
+@query
+def read_results_unnamed(t):
+    """The same from a file without a known extension, comma-separated."""
+    path = fresh_path(t.spark, "results.log")
+    files.write_csv(t.results.select("notes", "method", "id", "metrics"), path)
+    return files.read_results(t.spark, path).select("id", "method", "metrics", "notes", "train_data_size")
 
 
 @query
 def read_jsonl(t):
-    """Events' JSON text as a line file, with every ``error`` event's line broken."""
+    """Events' JSON text as a line file: ``error`` lines are broken, ``signup`` lines have a text for a number."""
     path = fresh_path(t.spark, "props.jsonl")
-    events = t.raw("events")
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
-    events.select(line.alias("value")).write.text(path)
+    broken = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), F.col("props")))
+    line = broken.when(F.col("event_type") == "signup", F.lit('{"k": "none"}')).otherwise(F.col("props"))
+    t.raw("events").select(line.alias("value")).write.text(path)
     return files.read_jsonl(t.spark, path, "k long")
 
 
+@query
+def read_jsonl_keys(t):
+    """Without a schema: the first object's keys, all text."""
+    path = fresh_path(t.spark, "props.jsonl")
+    t.raw("events").select(F.col("props").alias("value")).write.text(path)
+    return files.read_jsonl(t.spark, path)
+
+
 @query
 def head_rows(t):
     return files.head_rows(t.rows, 100, "id")
@@ -96,7 +115,7 @@ def write_table_csv(t):
     pool_ddl = "id long, description string, is_labelled boolean, label string, model_prediction string, uncertainty_score double"
     parts = []
     for name in ("pool", "test_data"):
-        back = files.read_results(t.spark, paths[name], pool_ddl)
+        back = files.read_results(t.spark, paths[name], pool_ddl, multi_line=True)
         parts.append(
             back.agg(
                 F.lit(name).alias("name"),
@@ -143,7 +162,9 @@ def results_append(t):
         "metrics": {"accuracy": 0.5},
         "notes": "continue",
     }
-    out = files.results_append(t.results, row)
+    path = fresh_path(t.spark, "results.parquet")
+    t.results.write.parquet(path)
+    out = files.append_to_log(t.spark, path, row)
     return runs.extract_metric(out, ["accuracy"]).select("id", "test_id", "iteration_no", "method", "accuracy", "notes")
 
 
@@ -215,8 +236,8 @@ def truncate_tokens(t):
 
 @query
 def normalize_probs(t):
-    """Embedding slices shifted to mostly non-negative; sums at or below zero give null."""
-    part = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") + 0.05)
+    """Embeddings shifted to mostly non-negative; sums at or below zero give null."""
+    part = F.transform("embedding", lambda x: x.cast("double") + 0.05)
     return t.embeddings.select("id", c.normalize_probs(part).alias("probs")).select(
         "id", F.col("probs").isNull().alias("missing"), F.explode_outer("probs").alias("p")
     )
@@ -224,7 +245,7 @@ def normalize_probs(t):
 
 @query
 def softmax_predict(t):
-    probs = c.softmax(F.slice("embedding", 1, 8))
+    probs = c.softmax("embedding")
     return t.embeddings.select("id", probs.alias("probs")).select(
         "id",
         c.predicted_class("probs").alias("predicted_class"),
@@ -286,7 +307,7 @@ def remaining_pool(t):
 def committee_by_id(t):
     outputs = selection.committee_by_id(t.scores)
     return outputs.select("id", F.size("outputs").alias("members"), F.posexplode("outputs").alias("place", "o")).select(
-        "id", "members", "place", "o.member", F.col("o.probs")[0].alias("p0"), F.col("o.probs")[3].alias("p3")
+        "id", "members", "place", "o.member", *[F.col("o.probs")[k].alias(f"p{k}") for k in range(4)]
     )
 
 
@@ -300,7 +321,8 @@ def common_sizes(t):
 
 @query
 def save_predictions(t):
-    new = t.scores.filter("member = 1").select(
+    """Two members score every row; an id counts once, with its highest score."""
+    new = t.scores.filter("member > 0").select(
         "id",
         c.predicted_class("probs").cast("string").alias("model_prediction"),
         c.rounded(c.uncertainty("probs")).alias("uncertainty_score"),
@@ -310,10 +332,10 @@ def save_predictions(t):
 
 @query
 def apply_labels(t):
-    """Quality as a label; quality 0 comes without one and must change nothing."""
-    new = t.raw("labels").select(
-        F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, F.lit("good")).alias("label")
-    )
+    """Quality as a label; quality 0 comes without one and must change nothing. Every id comes twice."""
+    named = F.explode(F.array(F.lit("fine"), F.lit("good"))).alias("name")
+    new = t.raw("labels").select(F.col("doc_id").alias("id"), "quality", named)
+    new = new.select("id", F.when(F.col("quality") == 1, F.col("name")).alias("label"))
     hidden = t.pool.withColumn("is_labelled", F.lit(False))
     return pool.apply_labels(hidden, new).select("id", "is_labelled", "label")
 
@@ -321,6 +343,7 @@ def apply_labels(t):
 @query
 def mark_labelled(t):
     ids = t.embeddings.filter("cluster = 3")
+    ids = ids.union(ids)
     return pool.mark_labelled(t.pool, ids).select("id", "is_labelled", "label")
 
 

@@ -44,12 +44,3 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a DataFrame reads, as the planner knows it; runs nothing."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:
-        return 0

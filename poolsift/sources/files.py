@@ -6,24 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from poolsift.functions.columns import parse_metrics, present
+from poolsift.functions.columns import present
 from poolsift.functions.ranking import positions, top_n
 
-# Columns of the raw postings file, all text.
-POSTINGS_COLUMNS = [
-    "job_id", "company_name", "title", "description", "max_salary", "pay_period", "location",
-    "company_id", "views", "med_salary", "min_salary", "formatted_work_type", "applies",
-    "original_listed_time", "remote_allowed", "job_posting_url", "application_url",
-    "application_type", "expiry", "closed_time", "formatted_experience_level", "skills_desc",
-    "listed_time", "posting_domain", "sponsored", "work_type", "currency", "compensation_type",
-    "normalized_salary", "zip_code", "fips",
-]
-# The results log.
+# The results log, and columns that some logs have besides.
 RESULTS_SCHEMA = (
     "id long, test_id string, iteration_no int, model_name string, train_data_size long, "
     "method string, data_size long, n long, t double, i double, metrics string, params string, "
     "run_by string, notes string"
 )
+RESULTS_EXTRA = {"created_at": "timestamp"}
 # Quoted CSV with doubled quotes; fields may span lines and keep their blanks.
 # The line separator is pinned so that carriage returns inside a text survive.
 CSV_READ = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "lineSep": "\n"}
@@ -49,33 +41,68 @@ def read_postings_csv(
     label_col: str = "formatted_work_type",
     text_col: str = "description",
     columns=None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Quoted CSV with a header, every column text. Missing label or text column raises.
 
-    ``columns`` skips the extra read of the header line.
+    ``columns`` skips the extra read of the header line. Texts with line breaks need
+    ``multi_line``, which makes every file one task: convert such files to Parquet once.
     """
     header = columns or spark.read.options(**{**CSV_READ, "multiLine": False}).csv(path).columns
     missing = [c for c in (label_col, text_col) if c not in header]
     if missing:
         raise KeyError(f"columns {missing} not found; the file has {list(header)}")
-    return spark.read.options(**CSV_READ).schema(text_schema(header)).csv(path)
+    return spark.read.options(**{**CSV_READ, "multiLine": multi_line}).schema(text_schema(header)).csv(path)
 
 
-def read_results(spark: SparkSession, path: str, schema: str = RESULTS_SCHEMA, fmt: str | None = None) -> DataFrame:
-    """A results log. The format follows the extension; unknown ones are tab- or comma-separated."""
+def _typed(df: DataFrame, schema: str, extra: dict[str, str]) -> DataFrame:
+    """Columns by name: those of ``schema`` with null for absent ones, then what else there is."""
+    wanted = [(f.name, f.dataType) for f in StructType.fromDDL(schema).fields]
+    names = {n for n, _ in wanted}
+
+    def value(name, kind):
+        return (F.col(f"`{name}`").try_cast(kind) if name in df.columns else F.lit(None).cast(kind)).alias(name)
+
+    more = [value(c, extra[c]) if c in extra else F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*[value(n, k) for n, k in wanted], *more)
+
+
+def read_results(
+    spark: SparkSession, path: str, schema: str = RESULTS_SCHEMA, fmt: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A results log, its columns found by name in the header whatever their order.
+
+    The format follows the extension; unknown ones are tab- or comma-separated. A column of
+    ``schema`` that the file lacks is null, a value that does not fit its type too; further columns
+    of the file stay, as text if it is a text file. A log has no line breaks inside a field, so
+    files are split; other tables may need ``multi_line``.
+    """
     kind = fmt or os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
-    if kind in ("parquet", "json"):
-        return getattr(spark.read.schema(schema), kind)(path)
+    if kind == "parquet":
+        return _typed(spark.read.parquet(path), schema, RESULTS_EXTRA)
+    if kind == "json":
+        more = ", ".join(f"{c} string" for c in RESULTS_EXTRA)
+        return _typed(spark.read.schema(f"{schema}, {more}").json(path), schema, RESULTS_EXTRA)
     if kind not in ("csv", "tsv"):
         first = spark.read.text(path).first()
         kind = "tsv" if first is not None and "\t" in first[0] else "csv"
-    sep = "\t" if kind == "tsv" else ","
-    return spark.read.options(**CSV_READ, sep=sep).schema(schema).csv(path)
+    options = {**CSV_READ, "sep": "\t" if kind == "tsv" else ",", "multiLine": multi_line}
+    header = spark.read.options(**{**options, "multiLine": False}).csv(path).columns
+    return _typed(spark.read.options(**options).schema(text_schema(header)).csv(path), schema, RESULTS_EXTRA)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """One JSON object per line; lines that are not are skipped."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One JSON object per line; lines that are not are skipped, values of a wrong type are null.
+
+    Without a schema the keys of the first object are the columns, all text.
+    """
+    objects = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("o")).filter("o is not null")
+    if schema is None:
+        first = objects.select(F.map_keys("o").alias("k")).first()
+        fields = text_schema(first["k"] if first else []).fields
+    else:
+        fields = StructType.fromDDL(schema).fields
+    return objects.select(*[F.try_element_at("o", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def head_rows(df: DataFrame, n: int, key) -> DataFrame:
@@ -109,12 +136,14 @@ def pool_from_postings(
 ) -> DataFrame:
     """A fresh pool: dense ids in key order, label known but hidden, nothing predicted.
 
-    Keys must be unique numbers, as the load order of the raw table is.
+    Keys must be unique numbers, as the load order of the raw table is. Only keys are ordered;
+    the texts meet their ids by one join.
     """
     kept = postings.filter(present(text_col) & present(label_col)).select(
         F.col(key).cast("long").alias("_key"), F.col(text_col).alias("description"), F.col(label_col).alias("label")
     )
-    return positions(kept, "_key", alias="id").select(
+    ids = positions(kept.select("_key"), "_key", alias="id")
+    return kept.join(ids, "_key").select(
         "id",
         "description",
         F.lit(False).alias("is_labelled"),
@@ -143,6 +172,14 @@ def results_append(results: DataFrame, row: dict) -> DataFrame:
     return results.unionByName(added)
 
 
+def append_to_log(spark: SparkSession, path: str, row: dict) -> DataFrame:
+    """Append ``row`` with the next id to a Parquet log and return the whole log."""
+    log = spark.read.parquet(path)
+    last = log.agg(F.max("id")).first()[0] or 0
+    results_append(log, row).filter(F.col("id") > last).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def next_test_id(results: DataFrame) -> DataFrame:
     """One more than the largest numeric ``test_id``; 1 for an empty log."""
     numeric = results.filter(F.col("test_id").rlike("^[0-9]+$"))
@@ -153,8 +190,3 @@ def next_test_id(results: DataFrame) -> DataFrame:
 def union_results(first: DataFrame, second: DataFrame) -> DataFrame:
     """Stack two logs; a column only one of them has is null in the other."""
     return first.unionByName(second, allowMissingColumns=True)
-
-
-def with_metrics(results: DataFrame) -> DataFrame:
-    """The log with its ``metrics`` text parsed into a map of doubles."""
-    return results.withColumn("metrics", parse_metrics("metrics"))

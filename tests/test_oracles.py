@@ -4,7 +4,6 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
-from poolsift.functions import ranking
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,16 +19,6 @@ def test_query_matches_sql(spark, con, name):
     assert problem is None
 
 
-SPREAD = ["split_runs", "pool_from_postings", "stop_plateau", "iteration_report", "paired_t_test", "curve_auc", "early_performance"]
-
-
-@pytest.mark.parametrize("name", SPREAD)
-def test_bucketed_ranking_matches_sql(spark, con, name, monkeypatch):
-    monkeypatch.setattr(ranking, "SMALL", 50)
-    problem, _ = compare(spark, con, FOLDER, name)
-    assert problem is None
-
-
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 

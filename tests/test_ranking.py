@@ -1,4 +1,4 @@
-"""Both ways of every order-dependent helper against the plain window or Python."""
+"""Every order-dependent helper against the plain window or Python."""
 
 import hashlib
 import math
@@ -31,27 +31,23 @@ def pairs(df, *cols):
 
 
 @pytest.mark.parametrize("groups", [[], ["g"]])
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_positions_equal_row_number(skewed, groups, small):
+def test_positions_equal_row_number(skewed, groups):
     plain = skewed.withColumn("p", F.row_number().over(Window.partitionBy(*groups).orderBy("id")).cast("long"))
-    mine = R.positions(skewed, "id", groups, "p", small=small)
+    mine = R.positions(skewed, "id", groups, "p")
     assert pairs(mine, "id", "p") == pairs(plain, "id", "p")
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_running_sum_and_max(skewed, small):
+def test_running_sum_and_max(skewed):
     rare = F.when(F.col("v") % 17 == 0, F.col("v"))
     upto = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     plain = skewed.withColumn("s", F.sum("v").over(upto)).withColumn("m", F.max(rare).over(upto))
-    mine = R.running(skewed, "id", {"s": (F.col("v"), "sum"), "m": (rare, "max")}, ["g"], small=small)
+    mine = R.running(skewed, "id", {"s": (F.col("v"), "sum"), "m": (rare, "max")}, ["g"])
     assert pairs(mine, "id", "s", "m") == pairs(plain, "id", "s", "m")
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_with_previous_equals_lag(skewed, small):
-    known = skewed.filter("g is not null")
-    plain = known.withColumn("b", F.lag("v").over(Window.partitionBy("g").orderBy("id")))
-    mine = R.with_previous(known, "id", {"b": "v"}, ["g"], pinned=True, small=small)
+def test_with_previous_equals_lag(skewed):
+    plain = skewed.withColumn("b", F.lag("v").over(Window.partitionBy("g").orderBy("id")))
+    mine = R.with_previous(skewed, "id", {"b": "v"}, ["g"])
     assert pairs(mine, "id", "b") == pairs(plain, "id", "b")
 
 
@@ -68,10 +64,26 @@ def test_first_by_hash_is_exact(skewed, n):
     assert {r.id for r in R.first_by_hash(skewed, "id", 3, n).collect()} == set(ids[:n])
 
 
-def test_hash_cut_written_once_gives_the_same(skewed, monkeypatch):
-    before = pairs(R.first_by_hash(skewed, "id", 3, 100), "id")
-    monkeypatch.setattr(R, "PIN_BYTES", -1)
-    assert pairs(R.first_by_hash(skewed, "id", 3, 100), "id") == before
+def test_null_order_raises(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "b")], "id long, g string")
+    with pytest.raises(Exception, match="null in the order column id"):
+        R.positions(rows, "id").collect()
+
+
+def test_steps_follow_one_another_in_one_huge_group(spark):
+    rows = spark.range(20_000).select("id", F.lit(None).cast("string").alias("g"), (F.col("id") % 7).alias("v")).repartition(9)
+    steps = R.Ordered(rows, "id", ["g"]).previous({"b": "v"}).positions("p").running({"s": (F.col("b"), "sum")}).rows
+    total = 0
+    for r in sorted(steps.collect(), key=lambda r: r.id):
+        before = (r.id - 1) % 7 if r.id else None
+        total += before or 0
+        assert (r.b, r.p, r.s) == (before, r.id + 1, total if r.id else None)
+
+
+def test_no_window_over_table_rows_in_one_task(spark):
+    plan = R.positions(spark.range(100), "id")._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("SinglePartition")[1:]:
+        assert "_part" in line
 
 
 def test_hash_choice_ignores_partitioning(skewed):
@@ -87,9 +99,7 @@ def test_top_n_with_hot_ties(skewed, limit):
     assert pairs(R.top_n(tied, 3000, order, limit=limit), "id", "rank") == pairs(want, "id", "rank")
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_plateau_streaks_match_a_plain_loop(spark, small, monkeypatch):
-    monkeypatch.setattr(R, "SMALL", small)
+def test_plateau_streaks_match_a_plain_loop(spark):
     rows = [(i, 1 + i // 40, None if i % 11 == 5 else math.sin(i * i) / 3 + 0.5) for i in range(400)]
     log = spark.createDataFrame(rows, "id long, run long, selected_samples_avg_uncertainty double").repartition(5)
     got = {r.id: (r.streak, r.plateau) for r in stopping.stop_plateau(log, eps=0.1, patience=2).collect()}
