@@ -1,13 +1,14 @@
-"""Training and scoring text classifiers with Spark ML, and a centroid scorer on embeddings."""
+"""Training and scoring text classifiers with Spark ML or by hashed words, and a centroid scorer on embeddings."""
 
 import logging
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsift.functions.columns import (
@@ -21,6 +22,7 @@ from poolsift.functions.columns import (
 )
 from poolsift.operators.pool import label_filter, page, save_predictions, unlabelled_rows
 from poolsift.operators.sampling import label_table
+from poolsift.session import pin
 
 log = logging.getLogger(__name__)
 
@@ -29,11 +31,10 @@ def class_weights(df: DataFrame, labels, label_col: str = "label") -> DataFrame:
     """``label, code, weight``: total / count, or the total for a class without rows."""
     known = df.filter(F.col(label_col).isin(list(labels)))
     counts = known.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("_n"))
-    total = known.agg(F.count("*")).scalar()
     return (
         label_table(df.sparkSession, labels)
         .join(counts, "label", "left")
-        .withColumn("_total", total)
+        .withColumn("_total", F.coalesce(F.sum("_n").over(Window.partitionBy()), F.lit(0)))  # one row per label
         .select(
             "label",
             "code",
@@ -55,8 +56,67 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("_text", F.col("description"))
 
 
+def hashed_words(text: str, features: int) -> Column:
+    """A word array as bucket numbers: lowered words between blanks, md5 modulo ``features``."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \\t\\n\\r]+"), lambda w: w != "")
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % features).cast("int"))
+
+
+@dataclass(frozen=True)
+class HashedBayes:
+    """Multinomial naive Bayes over hashed words: log-probabilities by bucket and class, one small table."""
+
+    logs: DataFrame
+    features: int
+    classes: int
+
+    def predict(self, df: DataFrame, labels) -> DataFrame:
+        """As ``predict_many``. The table, ``features`` rows, travels as one value: no text is shuffled."""
+        packed = self.logs.agg(F.array_sort(F.collect_list(F.struct("bucket", "logs")))).scalar()
+        rows = df.withColumn("_logs", packed).withColumn("_buckets", hashed_words("description", self.features))
+        zeros = F.array_repeat(F.lit(0.0), self.classes)
+
+        def add(acc, b):
+            return F.zip_with(acc, F.col("_logs")[b]["logs"], lambda x, y: x + y)
+
+        scored = rows.withColumn("probs", softmax(F.aggregate("_buckets", zeros, add)))
+        return scored.select(
+            *df.columns,
+            predicted_class("probs").alias("predicted_class"),
+            label_name(predicted_class("probs"), labels).alias("predicted_label"),
+            confidence("probs").alias("confidence"),
+            "probs",
+        )
+
+
+def train_hashed_bayes(labelled: DataFrame, labels, features: int = 1024, smoothing: float = 1.0) -> HashedBayes:
+    """Naive Bayes with every class weighted by total / count, so that all are equally likely beforehand."""
+    rows = label_filter(labelled, labels).withColumn("_code", label_code("label", labels))
+    weights = class_weights(rows, labels).select(F.col("code").alias("_code"), "weight")
+    found = rows.select("_code", F.explode(hashed_words("description", features)).alias("bucket"))
+    counts = found.groupBy("_code", "bucket").agg(F.count("*").alias("_n"))
+    weighted = counts.join(F.broadcast(weights), "_code").withColumn("_n", F.col("_n") * F.col("weight"))
+    totals = weighted.groupBy("_code").agg(F.sum("_n").alias("_n"))
+    whole = totals.agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n")))).scalar()
+    per_bucket = weighted.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n"))).alias("_by"))
+    every = rows.sparkSession.range(features).select(F.col("id").cast("int").alias("bucket")).join(per_bucket, "bucket", "left")
+
+    def log(k):
+        n = F.coalesce(F.try_element_at("_by", F.lit(k)), F.lit(0.0))
+        of = F.coalesce(F.try_element_at("_whole", F.lit(k)), F.lit(0.0))
+        return F.log((n + smoothing) / (of + smoothing * features))
+
+    logs = every.withColumn("_whole", whole).select("bucket", F.array(*map(log, range(len(labels)))).alias("logs"))
+    return HashedBayes(pin(logs, "hashed_bayes"), features, len(labels))
+
+
 def train_classifier(labelled: DataFrame, labels, features: int = 4096, max_iter: int = 20, algorithm: str = "logistic"):
-    """A fitted pipeline over all labelled rows, every class weighted by total / count."""
+    """A fitted model over all labelled rows, every class weighted by total / count.
+
+    ``algorithm`` is ``logistic`` or ``bayes`` on TF-IDF, or ``hashed`` for naive Bayes on word hashes.
+    """
+    if algorithm == "hashed":
+        return train_hashed_bayes(labelled, labels, features)
     rows = label_filter(labelled, labels).withColumn("_code", label_code("label", labels).cast("double"))
     weights = class_weights(rows, labels).select("label", "weight")
     weighted = _with_text(rows).join(F.broadcast(weights), "label").select("_text", "_code", "weight")
@@ -71,6 +131,8 @@ def train_classifier(labelled: DataFrame, labels, features: int = 4096, max_iter
 
 def predict_many(df: DataFrame, model, labels) -> DataFrame:
     """Adds ``predicted_class, predicted_label, confidence, probs``; a map over the rows."""
+    if isinstance(model, HashedBayes):
+        return model.predict(df, labels)
     keep = df.columns
     scored = model.transform(_with_text(df))
     probs = vector_to_array("_probability")
@@ -108,17 +170,16 @@ def committee_predict(df: DataFrame, models: dict, labels) -> DataFrame:
     """Long output ``id, member, predicted_class, probs`` of several models.
 
     ``models`` maps a member to a model or to a function that loads one. A member that
-    cannot be loaded is skipped.
+    cannot be loaded, or fails while it scores, is skipped: each one's output is written on its own.
     """
     parts = []
     for member, model in models.items():
         try:
             loaded = model() if callable(model) else model
+            scored = predict_many(df.select("id", "description"), loaded, labels)
+            parts.append(pin(scored.select("id", F.lit(member).alias("member"), "predicted_class", "probs"), "member"))
         except Exception as reason:  # any failure of one member leaves the others working
             log.warning("committee member %s skipped: %s", member, reason)
-            continue
-        scored = predict_many(df.select("id", "description"), loaded, labels)
-        parts.append(scored.select("id", F.lit(member).alias("member"), "predicted_class", "probs"))
     if not parts:
         raise ValueError("no committee member could be loaded")
     whole = parts[0]

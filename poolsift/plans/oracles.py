@@ -28,6 +28,29 @@ def _logits_sql():
     return "[" + ", ".join(sums) + "]"
 
 
+def _bayes_sql(features):
+    """(id, probs): naive Bayes over hashed words, trained on the revealed rows of the pool."""
+    return f"""
+        (with tok as (
+          select r.id, r.label, p.is_labelled, w, ('0x' || substr(md5(w), 1, 6))::bigint % {features} b
+          from (select id, label, description, unnest(string_split_regex(lower(description), '[ \\t\\n\\r]+')) w from fx_rows) r
+          join fx_pool p on p.id = r.id where w <> ''),
+        seen as (select id, label from fx_pool where is_labelled and description <> '' and label <> ''),
+        cls as (select unnest({LABELS_SQL}) label),
+        wt as (select label, (select count(*) from seen) / greatest(count(seen.id), 1) weight from cls left join seen using (label) group by label),
+        cnt as (select label, b, count(*) * any_value(weight) n from tok join seen using (id, label) join wt using (label) group by label, b),
+        tot as (select label, coalesce(sum(n), 0) s from cls left join cnt using (label) group by label),
+        lg as (
+          select tot.label, r.b, ln((coalesce(n, 0) + 1) / (s + {features})) l
+          from tot cross join (select unnest(range({features})) b) r left join cnt on cnt.label = tot.label and cnt.b = r.b),
+        tf as (select id, b, count(*) n from tok group by id, b),
+        sc as (
+          select fx_rows.id, cls.label, coalesce(sum(n * l), 0) s from fx_rows cross join cls
+          left join tf on tf.id = fx_rows.id left join lg on lg.b = tf.b and lg.label = cls.label group by fx_rows.id, cls.label),
+        ex as (select id, label, exp(s - max(s) over (partition by id)) e from sc)
+        select id, list(e / t order by label) probs from (select *, sum(e) over (partition by id) t from ex) group by id)"""
+
+
 VIEWS = {
     "fx_rows": "select doc_id id, text description, lang as label, source from documents",
     "fx_scores": """
@@ -390,6 +413,24 @@ _RAW = {
         select label, cast(code as bigint) code, round(total / coalesce(n, 1), 6) + 0.0 weight from (
           select unnest(['de','en','es','fr','it']) label, unnest(range(0, 5)) code) l
         left join fx_counts using (label), (select count(*) total from fx_rows)""",
+    "train_classifier": f"""
+        select p.label, ({LABELS_SQL})[list_position(probs, list_max(probs))] predicted_label, count(*) as rows
+        from fx_pool p join {_bayes_sql(256)} s on s.id = p.id
+        where not p.is_labelled and p.description <> '' and p.label <> '' group by 1, 2""",
+    "model_predict": f"""
+        select p.id, p.is_labelled,
+          case when s.id is null then p.model_prediction else cast(list_position(probs, list_max(probs)) - 1 as varchar) end model_prediction,
+          round(case when s.id is null then p.uncertainty_score else 1 - list_max(probs) end, 6) + 0.0 uncertainty_score
+        from fx_pool p left join {_bayes_sql(256)} s on s.id = p.id and not p.is_labelled and p.description <> ''""",
+    "predict_many": f"""
+        select r.id, r.label, list_position(probs, list_max(probs)) - 1 predicted_class,
+          ({LABELS_SQL})[list_position(probs, list_max(probs))] predicted_label, {r6('list_max(probs)', 'confidence')}
+        from fx_rows r join {_bayes_sql(256)} s on s.id = r.id""",
+    "committee_predict": f"""
+        select p.id, cast(member as bigint) as member, list_position(probs, list_max(probs)) - 1 predicted_class, {r6('list_max(probs)', 'confidence')}
+        from fx_pool p join (
+          select 0 as member, id, probs from {_bayes_sql(256)} union all select 1, id, probs from {_bayes_sql(64)}) s on s.id = p.id
+        where not p.is_labelled""",
     "centroid_predict": f"""
         known as (select e.vec_id id, list_position({LABELS_SQL}, p.label) - 1 code, p.is_labelled, e.embedding
           from embeddings e join fx_pool p on p.id = e.vec_id),

@@ -499,41 +499,40 @@ def _known(t) -> DataFrame:
     return pool.labelled_rows(t.pool)
 
 
+def _model(t, features=256):
+    return scoring.train_classifier(_known(t), LABELS, features=features, algorithm="hashed")
+
+
 @query
 def train_classifier(t):
-    """Confusion counts of the fitted model on its own training rows."""
-    known = _known(t)
-    model = scoring.train_classifier(known, LABELS, features=1024, max_iter=10)
-    pred = scoring.predict_many(known.select("id", "description", "label"), model, LABELS)
+    """Confusion counts of the fitted model on rows it has not seen."""
+    rest = pool.unlabelled_with_labels(t.pool)
+    pred = scoring.predict_many(rest.select("id", "description", "label"), _model(t), LABELS)
     return pred.groupBy("label", "predicted_label").agg(F.count("*").alias("rows"))
 
 
 @query
 def model_predict(t):
-    model = scoring.train_classifier(_known(t), LABELS, features=1024, max_iter=10)
-    return scoring.model_predict(t.pool, model, LABELS).select("id", "is_labelled", "model_prediction", "uncertainty_score")
+    return scoring.model_predict(t.pool, _model(t), LABELS).select("id", "is_labelled", "model_prediction", "uncertainty_score")
 
 
 @query
 def predict_many(t):
-    model = scoring.train_classifier(_known(t), LABELS, features=1024, max_iter=10)
-    return scoring.predict_many(t.rows.select("id", "description", "label"), model, LABELS).drop("description")
+    scored = scoring.predict_many(t.rows.select("id", "description", "label"), _model(t), LABELS)
+    return scored.drop("description", "probs")
 
 
 @query
 def committee_predict(t):
-    """Two learners and a member that cannot be loaded."""
+    """Two learners, a member that cannot be loaded, and one that fails while it scores."""
 
     def broken():
         raise OSError("no such model")
 
-    known = _known(t)
-    models = {
-        0: scoring.train_classifier(known, LABELS, features=1024, max_iter=10),
-        1: scoring.train_classifier(known, LABELS, features=1024, algorithm="bayes"),
-        2: broken,
-    }
-    return scoring.committee_predict(pool.unlabelled_rows(t.pool), models, LABELS)
+    wrong = scoring.HashedBayes(t.raw("labels"), 256, len(LABELS))
+    models = {0: _model(t), 1: _model(t, 64), 2: broken, 3: wrong}
+    scored = scoring.committee_predict(pool.unlabelled_rows(t.pool), models, LABELS)
+    return scored.select("id", "member", "predicted_class", c.confidence("probs").alias("confidence"))
 
 
 @query
