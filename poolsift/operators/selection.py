@@ -16,22 +16,25 @@ from poolsift.functions.columns import (
     present,
     rounded,
 )
-from poolsift.functions.ranking import TOP_LIMIT, top_n
+from poolsift.functions.ranking import top_n
 from poolsift.operators.pool import page, unlabelled_rows, usable
 from poolsift.session import pin
 
+#: Ids of a batch that travel in the plan; a batch is a few thousand rows to be labelled by hand.
+ID_LIST = 10_000
+
 
 def with_rank(pool: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
     """Whole pool rows of a narrow ranked selection of at most ``n`` rows.
 
-    The selection is written once. Its ids, a bounded number up to ``TOP_LIMIT``, are broadcast as
-    a semi-join, which passes below the joins that a pool may consist of: no text is shuffled.
+    The selection is written once. Up to ``ID_LIST`` ids become a filter, which reaches the texts
+    below the joins that a pool may consist of: then no text is shuffled. More ids are joined.
     """
     ranked = pin(ranked, "selection")
-    if n > TOP_LIMIT:
+    if n > ID_LIST:
         return pool.join(ranked, "id")
-    chosen = pool.join(F.broadcast(ranked.select("id")), "id", "left_semi")
-    return chosen.join(F.broadcast(ranked), "id")
+    ids = [r["id"] for r in ranked.select("id").collect()]
+    return pool.filter(F.col("id").isin(ids)).join(F.broadcast(ranked), "id")
 
 
 def uncertainty_ids(pool: DataFrame, n: int) -> DataFrame:

@@ -35,6 +35,13 @@ class LoopParams:
     candidate_factor: int = 5
     features: int = 4096
     train_iterations: int = 20
+    algorithm: str = "logistic"
+    # which rule ends the loop: budget (plateau, accuracy, labels, iterations), classic or min_gain
+    stop_rule: str = "budget"
+    min_uncertainty: float = 0.0
+    success_rate: float | None = 0.85
+    min_gain: float | None = None
+    run_by: str | None = None
 
 
 @dataclass
@@ -61,9 +68,12 @@ class Context:
         """Outputs of the current model and of a second learner on the open rows."""
         known = pools.labelled_rows(self.rows)
         second = scoring.train_classifier(known, self.labels, self.params.features, algorithm="bayes")
-        return scoring.committee_predict(self.open_rows(), {0: self.model, 1: second}, self.labels)
+        return scoring.committee_predict(self.open_rows(), dict(enumerate([self.model, second])), self.labels)
 
 
+#: Members of the loop's committee, in the order of their numbers.
+COMMITTEE = ["model", "tfidf-bayes"]
+
 # A strategy returns rows with ``id`` and, if it has an order, ``rank``.
 Strategy = Callable[[Context], DataFrame]
 
@@ -117,7 +127,8 @@ class _State:
 
 
 def _train(state: _State, labels, params: LoopParams):
-    return scoring.train_classifier(pools.labelled_rows(state.rows()), labels, params.features, params.train_iterations)
+    known = pools.labelled_rows(state.rows())
+    return scoring.train_classifier(known, labels, params.features, params.train_iterations, params.algorithm)
 
 
 def _evaluate(test: DataFrame, model, labels, state: _State, step: int) -> dict:
@@ -133,16 +144,63 @@ def _evaluate(test: DataFrame, model, labels, state: _State, step: int) -> dict:
     return {**totals.asDict(), "macro_f1": sum(r.f1 for r in per_class) / len(labels), "recalls": recalls}
 
 
-def _stop_reason(params: LoopParams, plateau: bool, accuracy, labelled: int, iteration: int) -> str:
-    if plateau:
+@dataclass
+class Step:
+    """What a stop rule may look at after an iteration."""
+
+    iteration: int
+    labelled: int
+    accuracy: float | None
+    previous_accuracy: float | None
+    pool_uncertainty: float | None
+    plateau: bool
+    pool_left: bool
+
+    @property
+    def gain(self) -> float | None:
+        known = self.accuracy is not None and self.previous_accuracy is not None
+        return self.accuracy - self.previous_accuracy if known else None
+
+
+def _budget_rule(params: LoopParams, step: Step) -> str | None:
+    if step.plateau:
         return "uncertainty_plateau"
-    if params.accuracy_threshold is not None and accuracy is not None and accuracy >= params.accuracy_threshold:
+    if params.accuracy_threshold is not None and step.accuracy is not None and step.accuracy >= params.accuracy_threshold:
         return f"accuracy_threshold ({params.accuracy_threshold})"
-    if params.label_budget and labelled >= params.label_budget:
+    if params.label_budget and step.labelled >= params.label_budget:
         return "label_budget"
-    if params.max_iterations and iteration >= params.max_iterations:
+    if params.max_iterations and step.iteration >= params.max_iterations:
         return f"max_iterations_reached ({params.max_iterations})"
-    return "continue"
+    return None
+
+
+def _classic_rule(params: LoopParams, step: Step) -> str | None:
+    if step.pool_uncertainty is None:
+        return "pool_empty"
+    if step.pool_uncertainty < params.min_uncertainty:
+        return "T_threshold_reached"
+    if params.max_iterations is not None and step.iteration >= params.max_iterations:
+        return "max_iterations_reached"
+    if params.success_rate is not None and step.accuracy is not None and step.accuracy >= params.success_rate:
+        return "success_rate_reached"
+    if params.min_gain is not None and step.gain is not None and 0 < step.gain < params.min_gain:
+        return "improvement_below_I"
+    return None
+
+
+def _min_gain_rule(params: LoopParams, step: Step) -> str | None:
+    if step.gain is None:
+        return None
+    if params.min_gain is not None and step.gain < params.min_gain:
+        return "min_improvement_not_met"
+    return None if step.pool_left else "pool_empty"
+
+
+STOP_RULES: dict[str, Callable[[LoopParams, Step], str | None]] = {
+    "budget": _budget_rule,
+    "classic": _classic_rule,
+    "min_gain": _min_gain_rule,
+}
 
 
 def active_learning_loop(
@@ -158,6 +216,7 @@ def active_learning_loop(
 
     ``strategy`` is a name of ``STRATEGIES`` or any function from :class:`Context` to
     selected rows. ``results`` is an earlier log the numbering continues.
+    ``params.stop_rule`` names one of ``STOP_RULES``.
     """
     params = params or LoopParams()
     spark = pool.sparkSession
@@ -175,18 +234,28 @@ def active_learning_loop(
     model = _train(state, labels, params)
     log_path = f"{state.folder}/results"
 
-    def write_row(iteration, name, size, metrics, notes):
+    def write_row(iteration, name, size, metrics, notes, previous=None):
         row = {
             "id": first_id + iteration,
             "test_id": test_id,
             "iteration_no": iteration,
-            "model_name": "tfidf-logistic",
+            "model_name": {"logistic": "tfidf-logistic", "bayes": "tfidf-bayes"}.get(params.algorithm, "hashed-bayes"),
             "train_data_size": size,
             "method": name,
             "data_size": params.max_samples,
             "n": params.n if iteration else None,
             "metrics": json.dumps(metrics),
-            "params": json.dumps({"method": name, "DATA_SIZE": params.max_samples, "N": params.n}),
+            "params": json.dumps(
+                {
+                    "method": name,
+                    "DATA_SIZE": params.max_samples,
+                    "N": params.n,
+                    "previous_accuracy": previous,
+                    "accuracy_threshold": params.accuracy_threshold,
+                    "committee": COMMITTEE if name in ("query_by_comitee", "committee_vote") else None,
+                }
+            ),
+            "run_by": params.run_by,
             "notes": notes,
         }
         columns = [f.split()[0] for f in RESULTS_SCHEMA.split(", ")]
@@ -196,6 +265,7 @@ def active_learning_loop(
     base = _evaluate(test, model, labels, state, 0)
     write_row(0, "BASE", 0, {"accuracy": base["accuracy"], "avg_uncertainty": base["avg_uncertainty"]}, "base_classifier")
     labelled, before, streak, iteration = 0, None, 0, 1
+    previous = base["accuracy"]
 
     while True:
         open_rows = pools.page(pools.usable(pools.unlabelled_rows(state.rows())), params.max_samples)
@@ -225,8 +295,10 @@ def active_learning_loop(
         model = _train(state, labels, params)
         found = _evaluate(test, model, labels, state, iteration)
         plateau = bool(params.plateau_patience) and mean is not None and streak >= params.plateau_patience
-        reason = _stop_reason(params, plateau, found["accuracy"], labelled, iteration)
         pool_mean = state.scores.agg(F.avg("uncertainty_score")).first()[0]
+        left = not pools.usable(pools.unlabelled_rows(state.rows())).isEmpty()
+        step = Step(iteration, labelled, found["accuracy"], previous, pool_mean, plateau, left)
+        reason = STOP_RULES[params.stop_rule](params, step) or "continue"
         metrics = {
             "accuracy": found["accuracy"],
             "avg_uncertainty": pool_mean,
@@ -235,7 +307,8 @@ def active_learning_loop(
             "macro_f1": found["macro_f1"],
             **found["recalls"],
         }
-        write_row(iteration, method, labelled, metrics, reason)
+        write_row(iteration, method, labelled, metrics, reason, previous)
+        previous = found["accuracy"]
         if reason != "continue":
             break
         iteration += 1

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from poolsift.operators import runs
-from poolsift.plans.loop import STRATEGIES, LoopParams, active_learning_loop
+from poolsift.plans.loop import STOP_RULES, STRATEGIES, LoopParams, Step, active_learning_loop
 
 LABELS = ["A", "B"]
 DDL = "id long, description string, is_labelled boolean, label string, model_prediction string, uncertainty_score double"
@@ -73,3 +73,36 @@ def test_accuracy_and_plateau_stops(data):
     assert log[-1].notes == "accuracy_threshold (0.9)" and len(log) == 2
     flat = active_learning_loop(*data, "random_sampling", LABELS, small(plateau_eps=5.0, plateau_patience=1, max_iterations=5))
     assert flat.orderBy("id").collect()[-1].notes == "uncertainty_plateau"
+
+
+def test_classic_and_min_gain_stops(data):
+    easy = small(stop_rule="classic", success_rate=0.9, algorithm="hashed", max_iterations=4)
+    log = active_learning_loop(*data, "random_sampling", LABELS, easy).orderBy("id").collect()
+    assert [r.notes for r in log] == ["base_classifier", "success_rate_reached"]
+    assert {"previous_accuracy", "accuracy_threshold", "committee"} <= set(json.loads(log[1].params))
+    gain = small(stop_rule="min_gain", min_gain=0.5, algorithm="hashed", run_by="tests")
+    log = active_learning_loop(*data, "random_sampling", LABELS, gain).orderBy("id").collect()
+    assert log[-1].notes == "min_improvement_not_met" and log[-1].run_by == "tests"
+
+
+@pytest.mark.parametrize(
+    "rule, facts, reason",
+    [
+        ("classic", dict(pool_uncertainty=None), "pool_empty"),
+        ("classic", dict(pool_uncertainty=0.1), "T_threshold_reached"),
+        ("classic", dict(iteration=20), "max_iterations_reached"),
+        ("classic", dict(accuracy=0.9), "success_rate_reached"),
+        ("classic", dict(accuracy=0.51), "improvement_below_I"),
+        ("classic", dict(accuracy=0.4), None),
+        ("min_gain", dict(accuracy=0.4), "min_improvement_not_met"),
+        ("min_gain", dict(accuracy=0.6, pool_left=False), "pool_empty"),
+        ("min_gain", dict(accuracy=0.6), None),
+        ("min_gain", dict(previous_accuracy=None, pool_left=False), None),
+        ("budget", dict(plateau=True), "uncertainty_plateau"),
+        ("budget", dict(), None),
+    ],
+)
+def test_stop_rules(rule, facts, reason):
+    params = LoopParams(min_uncertainty=0.2, min_gain=0.05, max_iterations=20)
+    step = Step(**{**dict(iteration=1, labelled=10, accuracy=0.5, previous_accuracy=0.5, pool_uncertainty=0.4, plateau=False, pool_left=True), **facts})
+    assert STOP_RULES[rule](params, step) == reason

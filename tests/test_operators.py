@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from poolsift.functions import tails
 from poolsift.operators import pool as P
 from poolsift.operators import sampling as S
 from poolsift.operators import scoring, selection, similarity
@@ -311,3 +312,59 @@ def test_pool_ids_are_dense_in_key_order(spark):
 def test_hash_order_is_md5_of_seed_and_id(spark):
     want = sorted(range(50), key=lambda i: hashlib.md5(f"9:{i}".encode()).hexdigest())[:10]
     assert ids(S.sample_n(spark.range(50), 10, 9)) == sorted(want)
+
+
+def test_repeated_ids_do_not_repeat_rows(spark):
+    pool = spark.createDataFrame([(1, "a", False, "X", None, None), (2, "b", False, "Y", None, None)], DDL)
+    scores = spark.createDataFrame([(1, "0", 0.2), (1, "1", 0.4)], "id long, model_prediction string, uncertainty_score double")
+    assert {r.id: r.model_prediction for r in P.save_predictions(pool, scores).collect()} == {1: "1", 2: None}
+    labels = spark.createDataFrame([(1, "A"), (1, "B")], "id long, label string")
+    assert P.apply_labels(pool, labels).count() == 2 and P.mark_labelled(pool, labels).count() == 2
+
+
+def test_nan_scores_are_no_scores(spark):
+    pool = spark.createDataFrame([(1, "a", False, "X", "0", float("nan")), (2, "b", False, "Y", "0", 0.3)], DDL)
+    assert [r.id for r in selection.uncertainty_sampling(pool, 1).collect()] == [2]
+
+
+def test_folds_keep_rows_without_an_id(spark):
+    rows = spark.createDataFrame([(1, "X"), (None, "X"), (None, None), (2, None)], "id long, label string")
+    for folds in (S.kfold(rows, 2), S.stratified_kfold(rows, 2)):
+        assert folds.count() == 4 and folds.filter("fold is null").isEmpty()
+
+
+def test_tails_without_degrees_of_freedom(spark):
+    tail = tails.t_tail(F.lit(2.0), F.lit(0.0))
+    assert spark.range(1).select(tail.alias("p")).first().p is None
+
+
+def test_log_is_read_by_name(spark, tmp_path):
+    path = str(tmp_path / "log.csv")
+    (tmp_path / "log.csv").write_text('method,id,extra,metrics,train_data_size\nA,7,x,"{""accuracy"": 0.5}",many\n')
+    row = files.read_results(spark, path).first()
+    assert (row.id, row.method, row.metrics, row.train_data_size, row.extra, row.test_id) == (7, "A", '{"accuracy": 0.5}', None, "x", None)
+
+
+def test_append_writes_one_row(spark, tmp_path):
+    path = str(tmp_path / "log.parquet")
+    spark.createDataFrame([], files.RESULTS_SCHEMA).write.parquet(path)
+    for k in (1, 2):
+        log = files.append_to_log(spark, path, {"test_id": str(k)})
+    assert sorted((r.id, r.test_id) for r in log.collect()) == [(1, "1"), (2, "2")]
+
+
+def test_batches_are_fetched_without_shuffling_texts(spark):
+    texts = spark.range(50).select("id", F.lit("text").alias("description"), F.lit("X").alias("label"))
+    flags = spark.range(10).withColumn("is_labelled", F.lit(True))
+    scores = spark.range(50).select("id", F.lit("0").alias("model_prediction"), (F.col("id") / 50).alias("uncertainty_score"))
+    joined = texts.join(flags, "id", "left").na.fill({"is_labelled": False}).join(scores, "id", "left")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = selection.uncertainty_sampling(joined, 5)
+        plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r.id for r in chosen.collect()) == [45, 46, 47, 48, 49]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert all(f"{k}" in line for line in plan.split("\n") if "Filter id" in line for k in range(45, 50))
+    assert plan.index("LeftOuter") < plan.index("Filter id")
