@@ -123,8 +123,19 @@ def hash_positions(df: DataFrame, id_col: str, seed, groups=(), alias: str = "po
 # --- exact cuts in seeded hash order -------------------------------------------------
 
 
+def eligible(df: DataFrame, id_col: str, seed, groups=()) -> DataFrame:
+    """``groups``, ``_id`` and ``_hash`` of every row, written once: eligibility may look at texts."""
+    narrow = df.select(*groups, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_hash"))
+    return pin(narrow, "eligible")
+
+
 def hash_cut(df: DataFrame, id_col: str, seed, quota, groups=()) -> DataFrame:
-    """Per group, the hash and id at which ``quota`` rows are reached.
+    """Per group, the hash and id at which ``quota`` rows are reached; see ``cut_of``."""
+    return cut_of(eligible(df, id_col, seed, groups), quota, groups)
+
+
+def cut_of(narrow: DataFrame, quota, groups=()) -> DataFrame:
+    """Per group of an ``eligible`` table, the hash and id at which ``quota`` rows are reached.
 
     ``quota`` is a function of the group's row count (a column), or a DataFrame of
     ``groups`` plus ``quota``. Taking rows up to the cut is then a plain filter: the
@@ -132,10 +143,7 @@ def hash_cut(df: DataFrame, id_col: str, seed, quota, groups=()) -> DataFrame:
     Groups whose quota is 0 have no row.
     """
     groups = list(groups)
-    keyed = df.select(*groups, F.col(id_col).alias("_id"), seeded_hash(id_col, seed).alias("_hash")).withColumn(
-        "_bucket", F.substring("_hash", 1, HASH_PREFIX)
-    )
-    keyed = pin(keyed, "hashes")  # eligibility may look at texts: they are read once
+    keyed = narrow.withColumn("_bucket", F.substring("_hash", 1, HASH_PREFIX))
     counts = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
     by_bucket = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     table = counts.select(

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from poolsift.functions.columns import not_blank, present, stripped
 from poolsift.functions.ranking import (
     Ordered,
+    cut_of,
+    eligible,
     first_by_hash,
     hash_cut,
     hash_int,
     hash_positions,
+    positions,
     seeded_hash,
     up_to_cut,
 )
@@ -75,9 +78,10 @@ def _checked_counts(rows: DataFrame, labels, label_col: str) -> DataFrame:
     return whole.select("label", "code", F.when(F.col("_n") > 0, F.col("_n")).otherwise(empty).alias("n"))
 
 
-def _undersample(rows: DataFrame, quotas: DataFrame, seed, key: str, label_col: str) -> DataFrame:
+def _undersample(rows: DataFrame, narrow: DataFrame, quotas: DataFrame, seed, key: str, label_col: str) -> DataFrame:
+    """Texts are read twice in all: once for the ``eligible`` table ``narrow``, once for the result."""
     named = quotas.select(F.col("label").alias(label_col), "quota")
-    cut = hash_cut(rows, key, seed, named, [label_col])
+    cut = cut_of(narrow, named, [label_col])
     return up_to_cut(rows, cut, key, seed, [label_col])
 
 
@@ -86,9 +90,10 @@ def balance_min_class(
 ) -> DataFrame:
     """Every class cut down at random to the size of the smallest."""
     rows = balancing_rows(df, labels, label_col, text_col)
-    counts = _checked_counts(rows, labels, label_col)
+    narrow = eligible(rows, key, seed, [label_col])
+    counts = _checked_counts(narrow, labels, label_col)
     smallest = counts.agg(F.min("n")).scalar()
-    return _undersample(rows, counts.select("label", smallest.alias("quota")), seed, key, label_col)
+    return _undersample(rows, narrow, counts.select("label", smallest.alias("quota")), seed, key, label_col)
 
 
 def balance_fixed(
@@ -103,20 +108,22 @@ def balance_fixed(
     if target <= 0:
         raise ValueError("target must be positive")
     rows = balancing_rows(df, labels, label_col, text_col)
-    counts = _checked_counts(rows, labels, label_col)
+    narrow = eligible(rows, key, seed, [label_col])
+    counts = _checked_counts(narrow, labels, label_col)
     enough = counts.filter(F.col("n") >= target).select("label", F.lit(target).cast("long").alias("quota"))
-    under = _undersample(rows, enough, seed, key, label_col).withColumn("draw", F.lit(None).cast("long"))
+    under = _undersample(rows, narrow, enough, seed, key, label_col).withColumn("draw", F.lit(None).cast("long"))
 
     short = counts.filter(F.col("n") < target).select(F.col("label").alias(label_col), "n")
-    short_rows = rows.join(F.broadcast(short.select(label_col)), label_col, "left_semi")
-    ranked = hash_positions(short_rows.select(key, label_col), key, seed, [label_col], alias="_rank")
+    few = F.broadcast(short.select(label_col))  # at most the label space
+    short_rows = rows.join(few, label_col, "left_semi")
+    ranked = positions(narrow.join(few, label_col, "left_semi"), ["_hash", "_id"], [label_col], "_rank")
     numbers = rows.sparkSession.range(1, target + 1).withColumnRenamed("id", "draw")
     per_label = numbers.select("draw", F.explode(F.array(*[F.lit(x) for x in labels])).alias(label_col))
     point = seeded_hash(F.concat_ws(":", F.col(label_col), F.col("draw").cast("string")), seed)
     draws = per_label.join(F.broadcast(short), label_col).select(
         label_col, "draw", (hash_int(point) % F.col("n") + 1).alias("_rank")
     )
-    drawn = draws.join(ranked, [label_col, "_rank"]).select(key, "draw")
+    drawn = draws.join(ranked, [label_col, "_rank"]).select(F.col("_id").alias(key), "draw")
     over = short_rows.join(drawn, key).select(*under.columns)
     return under.unionByName(over)
 
@@ -158,8 +165,9 @@ def balance_intelligent(
     if target_total <= 0:
         raise ValueError("target_total must be positive")
     rows = balancing_rows(df, labels, label_col, text_col)
-    quotas = intelligent_quotas(_checked_counts(rows, labels, label_col), target_total)
-    return _undersample(rows, quotas, seed, key, label_col)
+    narrow = eligible(rows, key, seed, [label_col])
+    quotas = intelligent_quotas(_checked_counts(narrow, labels, label_col), target_total)
+    return _undersample(rows, narrow, quotas, seed, key, label_col)
 
 
 def balanced_usable(

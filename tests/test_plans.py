@@ -2,6 +2,7 @@
 
 import pytest
 
+from poolsift.functions import ranking
 from poolsift.operators import curves, evaluation, pool, sampling, selection
 from poolsift.plans.fixtures import LABELS, Tables
 from poolsift.plans.registry import QUERIES
@@ -74,3 +75,22 @@ def test_aggregates_combine_before_the_shuffle(spark):
     ):
         assert "partial_" in plan(df)
     assert "SortAggregate" not in plan(curves.learning_curve(t.results))
+
+
+@pytest.mark.parametrize(
+    "choose, scans",
+    [
+        (lambda p: sampling.random_sampling(p, 50), 2),
+        (lambda p: pool.split_test(p, 0.2)[0], 2),
+        (lambda p: sampling.balance_min_class(p, LABELS), 2),
+        (lambda p: sampling.balance_intelligent(p, LABELS, 100), 2),
+        (lambda p: sampling.balance_fixed(p, LABELS, 30), 3),
+    ],
+)
+def test_seeded_choices_read_texts_once_more(stored, choose, scans, monkeypatch):
+    """One reading writes the eligible ids, the rest of ``scans`` returns the rows."""
+    written = []
+    monkeypatch.setattr(ranking, "pin", lambda df, name: written.append(plan(df)) or pin(df, name))
+    text = plan(choose(stored))
+    assert sum(part.count("description") > 0 for part in (x.split("ReadSchema: ")[1].split("\n")[0] for x in [*text.split("FileScan")[1:]])) == scans - 1
+    assert sum("description" in x for x in written) == 1
