@@ -40,9 +40,10 @@ FEATURES = [
     "near_person", "person", "capitals", "shouted", "exclamations", "punctuation", "obfuscated", "stretched", "unmasked",
 ]
 _WORD = re.compile(WORD)
-_SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-_MASKED = re.compile(r"[A-Za-z]+(?:[0-9@$*!]+[A-Za-z]+)+")
-_STRETCHED = re.compile(r"([A-Za-z])\1{2,}")
+_SHOUT = re.compile(r"[A-Z]{3,}")
+#: Digits or signs between letters: the end of a masked stretch, so that no letter run is tried twice.
+_MASKED = re.compile(r"(?<=[A-Za-z])[0-9@$*!]+(?=[A-Za-z])")
+_TOKEN = re.compile(r"[A-Za-z0-9@$*!]+")
 _UNMASK = str.maketrans("013457@$!", "oieastasi")
 _NEAR = 5
 
@@ -72,26 +73,43 @@ def _weight(word: str, get) -> float:
     return max(get(word, 0.0), *(get(word[:n] + "~", 0.0) for n in STEMS if len(word) > n), 0.0)
 
 
+def _unmasked_hits(text: str, masks, get) -> int:
+    """Words with masked stretches whose plain spelling is in the lexicon."""
+    hits, end = 0, -1
+    for mask in masks:
+        if mask.start() >= end:
+            start = mask.start()
+            while start and _TOKEN.match(text[start - 1]):
+                start -= 1
+            token = _TOKEN.match(text, start)
+            end = token.end()
+            hits += bool(_weight(token[0].rstrip("@$*!").lower().translate(_UNMASK), get))
+    return hits
+
+
 def describe(text: str, lexicon: dict[str, float]) -> list[float]:
     """The values of ``FEATURES`` for one text."""
-    lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    words = _WORD.findall(lowered)
-    get = lexicon.get
-    weights = {word: w for word in set(words) if (w := _weight(word, get))}
-    hits = [(i, weights[word]) for i, word in enumerate(words) if word in weights]
-    persons = [i for i, word in enumerate(words) if word in SECOND_PERSON]
+    data = text.encode("utf-8", "surrogatepass")
+    words = _WORD.findall(data.lower().decode("utf-8", "surrogatepass"))
+    get, different = lexicon.get, set(words)
+    weights = {word: w for word in different if (w := _weight(word, get))}
+    hits = [(i, weights[word]) for i, word in enumerate(words) if word in weights] if weights else []
+    persons = [i for i, word in enumerate(words) if word in SECOND_PERSON] if different & SECOND_PERSON else []
     near = 0
     if hits and persons:
         at = np.array(persons)
         for i, _ in hits:
             k = int(np.searchsorted(at, i))
             near += bool((k < len(at) and at[k] - i <= _NEAR) or (k and i - at[k - 1] <= _NEAR))
-    masked = _MASKED.findall(text)
-    unmasked = sum(bool(get(m.lower().translate(_UNMASK), 0.0)) for m in masked)
-    n, chars = max(len(words), 1), max(len(text), 1)
+    codes = np.frombuffer(data, np.uint8)
+    bytes_ = np.bincount(codes, minlength=256) if len(codes) else np.zeros(256, np.int64)
+    same = codes[1:] == codes[:-1]
+    thrice = same[1:] & same[:-1] & ((codes[2:] | 32) >= 97) & ((codes[2:] | 32) <= 122)
+    stretched = int(thrice.sum() - (thrice[1:] & thrice[:-1]).sum())  # runs, not places
+    masks = list(_MASKED.finditer(text)) if bytes_[[33, 36, 42, 64, *range(48, 58)]].any() else []
+    n, size = max(len(words), 1), max(len(codes), 1)
     strong = sum(w >= 5 for _, w in hits)
-    upper = sum(map(str.isupper, text)) if not text.isascii() else len(text) - len(re.sub("[A-Z]+", "", text))
-    marks = text.count("!") + text.count("?")
+    marks = int(bytes_[33] + bytes_[63])
     return [
         float(np.log1p(len(words))),
         len(hits) / n,
@@ -102,13 +120,13 @@ def describe(text: str, lexicon: dict[str, float]) -> list[float]:
         float(np.log1p(strong)),
         near / n,
         len(persons) / n,
-        upper / chars,
+        float(bytes_[65:91].sum()) / size,
         len(_SHOUT.findall(text)) / n,
         marks / n,
-        (marks + text.count(".") + text.count(",") + text.count(";")) / n,
-        len(masked) / n,
-        sum(1 for _ in _STRETCHED.finditer(text)) / n,
-        unmasked / n,
+        float(marks + bytes_[44] + bytes_[46] + bytes_[59]) / n,
+        len(masks) / n,
+        stretched / n,
+        _unmasked_hits(text, masks, get) / n,
     ]
 
 

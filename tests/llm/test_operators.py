@@ -175,6 +175,18 @@ def test_toxicity_learns_held_out(spark):
     assert toxicity.keep_civil(docs, known).columns == docs.columns
 
 
+def test_toxicity_features():
+    lexicon = {"idiot": 5.0, "loser": 6.0, "lowei~": 4.0}
+    text = "You utter l0s3r!! aaargh SSSTOP loweing, yyy (idiot)"
+    f = dict(zip(toxicity.FEATURES, toxicity.describe(text, lexicon)))
+    n = len(brute.words(text))
+    assert n == 8 and f["hits_any"] * n == 2 and f["hits_strong"] * n == 1 and f["most_weight"] == 5
+    assert f["person"] * n == 1 and f["near_person"] * n == pytest.approx(1) and f["exclamations"] * n == 2
+    assert f["obfuscated"] * n == 2 and f["unmasked"] * n == 1 and f["stretched"] * n == 3 and f["shouted"] * n == 1
+    assert toxicity.describe("", lexicon) == [0.0] * len(toxicity.FEATURES)
+    assert len(toxicity.describe("a" * 200_000, lexicon)) == len(toxicity.FEATURES)  # no step is quadratic
+
+
 @pytest.mark.parametrize("scores", [quality_gam.scores, toxicity.scores])
 def test_scores_of_odd_and_empty_tables(spark, odd, empty, no_labels, scores):
     one_kind = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
