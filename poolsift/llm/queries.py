@@ -14,6 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licence notices of every text; base places are exact spans of the scan."""
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["exact"])
     starts = F.transform(base, lambda s: s["first"])
@@ -30,15 +31,18 @@ def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in the training sequences."""
     return packing.pack(_table(spark, sf_dir, "documents")).drop("row", "ids")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text; learned from labels of ids that are not held out."""
     found = quality_gam.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
     items = F.coalesce(F.array_compact(items), F.array().cast("array<string>"))
@@ -54,33 +58,40 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the learned rules on every text."""
     found = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select(*base, "rule")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its repeated passages, with the number of lines and of removed ones."""
     done = line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree log-probabilities of every text, and its code length per byte."""
     docs = _table(spark, sf_dir, "documents")
     found = ctw.scores(docs, docs.filter(~ctw.held_out()))
-    return found.withColumn("held_out", ctw.held_out()).drop("row")
+    bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")
+    return found.withColumns({"held_out": ctw.held_out(), "bits_per_byte": bits}).drop("row")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row; row counts differ by one at most."""
     placed = sharding.assign(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text; learned from labels of ids that are not held out."""
     found = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
 
