@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolsift.llm.texts import numbered_in, slices, stored
+from poolsift.llm.texts import located, numbered_in, slices
 from poolsift.session import pin
 
 WINDOW = 3
@@ -47,7 +47,7 @@ def window_hashes(lines: list[str], width: int = WINDOW, min_words: int = MIN_WO
 
 def windows(rows: DataFrame, width: int, min_words: int) -> DataFrame:
     """(row, doc_id, first, last, hash) of numbered rows: every window with the lines it covers."""
-    fields = [T.StructField("row", T.LongType()), rows.schema["doc_id"]]
+    fields = [rows.schema["row"], rows.schema["doc_id"]]
     fields += [T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("hash", T.LongType())]
 
     def cut(batches):
@@ -89,11 +89,11 @@ def _kept_text(text: str, spans) -> tuple[str, int, int]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with its other columns, the text that stays, ``n_lines`` and ``n_removed``.
 
-    Null ids come last in the order of occurrences, rows with equal ids in table order. A null
+    Null ids come last in the order of occurrences; rows with equal ids follow their ``row`` name. A null
     text stays null with no lines; a text whose lines all go becomes empty; the row remains.
     New columns of the same names as old ones replace them.
     """
-    table = stored(docs)
+    table = located(docs)
     spans = repeats(numbered_in(table, id_col, text_col), width, min_words)
     result = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("gone", T.LongType())])
 

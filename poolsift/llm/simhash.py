@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from poolsift.llm.components import components
-from poolsift.llm.texts import numbered, numbered_in, slices, stored, tokens
+from poolsift.llm.texts import located, numbered, numbered_in, slices, tokens
 from poolsift.session import pin
 
 LIMIT = 3
@@ -57,7 +57,7 @@ def _fingerprints(batches):
 
 def fingerprints(rows: DataFrame) -> DataFrame:
     """(row, doc_id, fp) of numbered rows; ``fp`` is the fingerprint as a signed number."""
-    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], T.StructField("fp", T.LongType())])
+    schema = T.StructType([rows.schema["row"], rows.schema["doc_id"], T.StructField("fp", T.LongType())])
     return rows.mapInArrow(_fingerprints, schema)
 
 
@@ -167,6 +167,6 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with one row of each near-duplicate component; columns stay as they are."""
-    table = stored(docs)
+    table = located(docs)
     stay = _near_duplicates(numbered_in(table, id_col, text_col)).filter("stays").select("row")
     return table.join(stay, "row", "left_semi").select("doc.*")

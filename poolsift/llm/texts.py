@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,23 @@ def slices(batches, rows: int = 512):
             yield batch.slice(k, rows)
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(row, doc): the whole rows of ``docs`` with their numbers, written, so that joins can rely on them."""
-    return pin(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "stored")
+def located(docs: DataFrame) -> DataFrame:
+    """(row, doc): the whole rows of ``docs``, each with a name that any scan gives it again.
+
+    A row of Parquet files is named by its file and its index there, however the files are split.
+    Other inputs are numbered and written first.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+    try:
+        return docs.select(place.alias("row"), whole)
+    except AnalysisException:
+        number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("index"))
+        return pin(docs.select(number.alias("row"), whole), "located")
 
 
 def numbered_in(table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``numbered`` for a table made by ``stored``."""
+    """``numbered`` for a table made by ``located``."""
     return table.select("row", F.col("doc")[id_col].alias("doc_id"), F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text"))
 
 
