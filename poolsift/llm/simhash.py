@@ -19,7 +19,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from poolsift.llm.components import components
 from poolsift.llm.texts import located, numbered, numbered_in, slices, tokens
@@ -127,7 +126,8 @@ def _block_links(pdf):
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints that give the same components as all links."""
     keyed = _keys(fps.select("fp").distinct())
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = pin(keyed.join(shared, "key"), "keyed")
     few, many = keyed.filter(F.col("n") <= BLOCK), keyed.filter(F.col("n") > BLOCK)
     other = few.select("key", F.col("fp").alias("v"))
     mine = few.select("key", "start", F.col("fp").alias("u"))
