@@ -2,14 +2,17 @@
 
 A line ends at a line break, and also after a full stop, question or exclamation mark before white
 space, so that a passage is found inside a longer line and wherever its lines are broken. Three
-consecutive lines make a window. The first occurrence of a window in the order (id, row, line)
-stays; lines that any later occurrence covers go. A removed line's text always survives at the
-earliest place of its windows, so nothing disappears from the corpus altogether.
+consecutive lines make a window; where they have too few words for a passage, the lines beside them
+join it until there are enough, so that passages of short lines are found as well. The first
+occurrence of a window in the order (id, row, line) stays; lines that any later occurrence covers
+go. A removed line's text always survives at the earliest place of its windows, so nothing
+disappears from the corpus altogether.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -21,8 +24,12 @@ from poolsift.llm.texts import located, numbered_in, slices
 from poolsift.session import pin
 
 WINDOW = 3
-#: Windows of fewer words recur by chance ("Yes. No. Yes.") and are no passage.
+#: Runs of fewer words recur by chance ("Yes. No. Yes.") and are no passage; windows grow to so many.
 MIN_WORDS = 10
+#: Thai to Myanmar, Khmer, Han and kana: written without spaces, so that every character counts as a word.
+_UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u2e80-\u312f\u3190-\ua4cf\uf900-\ufaff\uff00-\uff9f\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 SPACE = " \t\n\v\f\r"
 _END = re.compile(r"[.!?][ \t\n\v\f\r]+|\n[ \t\n\v\f\r]*")
 
@@ -35,14 +42,40 @@ def lines_of(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
+def words_of(line: str) -> list[str]:
+    """Words between white space; in scripts without spaces every character is one."""
+    return line.split() if line.isascii() or not _HAS_UNSPACED.search(line) else _WORDS.findall(line)
+
+
+def runs(sizes: list[int], width: int, min_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the shortest runs of ``width`` lines and ``min_words`` words at least.
+
+    One begins at every line and one ends there, as far as the text has room; so they cover any
+    longer run, up to both of its ends, without leaving it.
+    """
+    n, before = len(sizes), [0, *accumulate(sizes)]
+    found, end, first = set(), 0, 0
+    for k in range(n - width + 1):
+        end = max(end, k + width)
+        while end <= n and before[end] - before[k] < min_words:
+            end += 1
+        if end > n:
+            break
+        found.add((k, end))
+    for k in range(width, n + 1):
+        while first + width < k and before[k] - before[first + 1] >= min_words:
+            first += 1
+        if before[k] - before[first] >= min_words:
+            found.add((first, k))
+    return sorted(found)
+
+
 def window_hashes(lines: list[str], width: int = WINDOW, min_words: int = MIN_WORDS):
-    """(first line, hash) of the windows; lines of white space alone are passed over."""
-    full = [(i, words) for i, line in enumerate(lines) if (words := line.split())]
-    for k in range(len(full) - width + 1):
-        part = full[k : k + width]
-        if sum(len(words) for _, words in part) >= min_words:
-            joined = "\n".join(" ".join(words) for _, words in part)
-            yield part[0][0], part[-1][0], xxhash.xxh64_intdigest(joined.encode("utf-8", "surrogatepass")) - (1 << 63)
+    """(first line, last line, hash) of the windows; lines of white space alone are passed over."""
+    full = [(i, words) for i, line in enumerate(lines) if (words := words_of(line))]
+    for first, end in runs([len(words) for _, words in full], width, min_words):
+        joined = "\n".join(" ".join(words) for _, words in full[first:end])
+        yield full[first][0], full[end - 1][0], xxhash.xxh64_intdigest(joined.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def windows(rows: DataFrame, width: int, min_words: int) -> DataFrame:

@@ -353,6 +353,35 @@ def test_line_dedup_matches_brute_force(spark, odd):
     assert texts[0] == PASSAGE and texts[8] == "" and texts[7] == "Opening words. Closing words."
 
 
+def repeated_runs_removed(texts):
+    """Texts cut into lines by hand; every run of 3 lines and 10 words that came before goes."""
+    seen, out = set(), []
+    for lines in texts:
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 3, len(lines) + 1):
+                run = tuple(" ".join(x) for x in lines[a:b])
+                if sum(map(len, lines[a:b])) >= 10:
+                    gone.update(range(a, b) if run in seen else ())
+                    seen.add(run)
+        out.append([x for i, x in enumerate(lines) if i not in gone])
+    return out
+
+
+def test_line_dedup_finds_passages_of_short_lines(spark):
+    rng = random.Random(7)
+    menu = [[f"dish{i}"] for i in range(40)]
+    verse = [[f"w{rng.randrange(9)}" for _ in range(rng.choice([1, 1, 2, 9]))] for _ in range(60)]
+    spaced = [menu, [["first"], *menu[5:25], ["last"]], menu[:9], menu, verse, [["so"], *verse[7:31], *menu[:12]], verse[3:6] + verse[40:]]
+    chinese = [[chr(0x4E00 + rng.randrange(500)) for _ in range(6)] for _ in range(12)]
+    unspaced = [chinese, [["\u4e00"] * 3, *chinese[2:9]]]
+    docs = ["\n".join(" ".join(x) for x in lines) for lines in spaced] + ["\n".join("".join(x) for x in lines) for lines in unspaced]
+    want = [[" ".join(x) for x in lines] for lines in repeated_runs_removed(spaced)] + [["".join(x) for x in lines] for lines in repeated_runs_removed(unspaced)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(table(spark, list(enumerate(docs)))).collect()}
+    assert [got[i].split("\n") if got[i] else [] for i in range(len(docs))] == [[*x, ""] if x and got[i].endswith("\n") else x for i, x in enumerate(want)]
+    assert got[1] == "first\nlast" and got[2].split() == [f"dish{i}" for i in range(9)] and got[3] == "" and got[8] == "\u4e00" * 3 + "\n"
+
+
 def test_line_dedup_empty_table(empty):
     assert line_dedup.remove_repeats(empty).count() == 0
 
