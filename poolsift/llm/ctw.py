@@ -7,10 +7,11 @@ its own estimate and half the product over its longer contexts, so that the pred
 depths by how well each one coded the training text. Counts are frozen after training: a document
 is charged the code length of its bytes and of the end mark, byte 0, under the trained tree.
 
-The tree holds the root and the ``CONTEXTS`` most frequent contexts of up to ``DEPTH`` bytes, which
-include every context's shorter ones; what else follows a context is its one child more. Counts
-are summed by Spark over the whole corpus; only the tree's own counts, at most 256 for each
-context, come to the driver, and the mixed prediction goes to the scoring tasks.
+The model has every context of up to ``DEPTH`` bytes that the training text holds, and stays in
+Spark tables: a row for each (context, node) that was met, weighted from the longest contexts up and
+mixed from the shortest down, by one aggregate or join for each depth. A node that a context never
+met adds nothing to the weights and predicts evenly. Only the prices of the most frequent bytes in
+context go to the scoring tasks; all others meet the texts by a join.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +30,10 @@ from poolsift.llm.texts import numbered, remainder, slices, tokens
 from poolsift.session import pin
 
 DEPTH = 4
-#: Contexts in the tree: bounds what is broadcast, 2 KB for each.
-CONTEXTS = 1 << 14
 #: So many words, the most frequent ones, are looked up in the tasks; all others by a join.
 FREQUENT = 1 << 16
+#: So many bytes in context, the most frequent ones, are priced in the tasks, 16 bytes for each; all others by a join.
+FREQUENT_KEYS = 1 << 19
 #: Different words, and bytes, that a counting task holds before it hands its sums on.
 HOLD_WORDS, HOLD_BYTES = 1 << 18, 1 << 22
 END = 0
@@ -116,7 +117,9 @@ def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """The mixed prediction log10 P(byte | bytes before).
+    """The mixed prediction log10 P(byte | bytes before) in one process, for few contexts.
+
+    ``mixed`` and ``prices`` are the same model in Spark tables, which ``scores`` uses.
 
     ``contexts`` lists (depth, number) with every context's shorter ones; ``counts`` holds, for
     the root and then each of them, how often each byte followed.
@@ -195,27 +198,117 @@ class Tree:
         return total
 
 
-def grow(counts: DataFrame, contexts: int = CONTEXTS) -> Tree:
-    """The tree of the most frequent contexts in ``counts`` (key, n)."""
+def grow(counts: DataFrame) -> Tree:
+    """The tree of all contexts in ``counts`` (key, n), which must fit the driver."""
     depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth")
     at = counts.select("key", "n", depths).withColumn("byte", F.col("key").bitwiseAND(F.lit(255)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), 8 * F.col("depth")) - 1
     at = at.withColumn("context", F.shiftright("key", 8).bitwiseAND(mask))
-    sums = pin(at.groupBy("depth", "context", "byte").agg(F.sum("n").alias("n")), "contexts")
-    found = sums.filter("depth > 0").groupBy("depth", "context").agg(F.sum("n").alias("n"))
-    best = found.orderBy(F.desc("n"), "depth", "context").limit(contexts).select("depth", "context")
-    nodes = [(r["depth"], r["context"]) for r in best.collect()]
-    named = counts.sparkSession.createDataFrame([(0, 0, 0), *((d, c, i) for i, (d, c) in enumerate(nodes, 1))], "depth int, context long, node int")
-    own = sums.join(F.broadcast(named), ["depth", "context"]).select("node", "byte", "n").toPandas()
-    table = np.zeros((len(nodes) + 1, 256))
-    table[own["node"].to_numpy(np.int64), own["byte"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
+    own = at.groupBy("depth", "context", "byte").agg(F.sum("n").alias("n")).collect()
+    nodes = sorted({(r["depth"], r["context"]) for r in own} - {(0, 0)})
+    number = {node: i for i, node in enumerate([(0, 0), *nodes])}
+    table = np.zeros((len(number), 256))
+    for r in own:
+        table[number[r["depth"], r["context"]], r["byte"]] = r["n"]
     return Tree(nodes, table)
 
 
+def _decisions(keys: DataFrame) -> DataFrame:
+    """The eight decisions of each byte: where (context and node in one number) and which bit."""
+    byte, level = F.col("key").bitwiseAND(F.lit(255)), F.col("level")
+    node = F.call_function("shiftright", byte + 256, 8 - level)
+    bit = F.call_function("shiftright", byte, 7 - level).bitwiseAND(F.lit(1))
+    levels = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level"))
+    return levels.withColumns({"at": F.col("key") - byte + node, "bit": bit})
+
+
+def _shorter(depth) -> Column:
+    """``at`` in the context of its last ``depth`` bytes."""
+    bits = 8 * (F.lit(depth) if isinstance(depth, int) else depth) + 8
+    return F.col("at").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+
+
+def _weigh(batches):
+    """Adds to (at, zeros, ones, longer) the weighted probability, the weight of stopping here and the own chance of a one."""
+    for batch in batches:
+        zeros, ones, longer = (np.array(batch.column(i).to_numpy(zero_copy_only=False), np.float64) for i in (1, 2, 3))
+        own, deepest = _log_kt(zeros, ones), np.isnan(longer)
+        both = np.where(deepest, own, np.logaddexp(own, np.where(deepest, 0, longer)) - math.log(2))
+        stop = np.where(deepest, 1, np.exp(own - math.log(2) - both))
+        columns = [*batch.columns[:3], pa.array(both), pa.array(stop), pa.array((ones + 0.5) / (zeros + ones + 1))]
+        yield pa.RecordBatch.from_arrays(columns, ["at", "zeros", "ones", "weighted", "stop", "own"])
+
+
+def mixed(counts: DataFrame) -> list[DataFrame]:
+    """(at, chance) of each depth from ``counts`` (key, n): the chance of a one where all longer contexts are unknown."""
+    n, bit = F.col("n"), F.col("bit")
+    sums = _decisions(counts).groupBy("at").agg(F.sum(n * (1 - bit)).alias("zeros"), F.sum(n * bit).alias("ones"), F.first(F.lit(math.nan)).alias("longer"))
+    weighed = []
+    for depth in range(DEPTH, -1, -1):
+        weighed.append(pin(sums.mapInArrow(_weigh, "at long, zeros long, ones long, weighted double, stop double, own double"), f"weighed{depth}"))
+        if depth:
+            up = weighed[-1].withColumn("at", _shorter(depth - 1))
+            sums = up.groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer"))
+    out, before = [], None
+    for depth, nodes in enumerate(reversed(weighed)):
+        nodes = nodes.select("at", "stop", "own")
+        if before is None:
+            nodes = nodes.withColumns({"before": F.lit(0.0), "room": F.lit(1.0)})
+        else:
+            shorter = before.select(F.col("at").alias("up"), F.col("said").alias("before"), F.col("left").alias("room"))
+            nodes = nodes.withColumn("up", _shorter(depth - 1)).join(shorter, "up")
+        said, left = F.col("before") + F.col("room") * F.col("stop") * F.col("own"), F.col("room") * (1 - F.col("stop"))
+        before = pin(nodes.select("at", said.alias("said"), left.alias("left")), f"mixed{depth}")
+        out.append(before.select("at", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("said") + F.col("left") / 2)).alias("chance")))
+    return out
+
+
+def _priced(decided: DataFrame) -> DataFrame:
+    """(key, price) from the chance of each decision; decisions without a row are even."""
+    price = F.sum(F.log10(F.when(F.col("bit") == 1, F.col("chance")).otherwise(1 - F.col("chance"))))
+    return decided.groupBy("key").agg((price + (8 - F.count("*")) * math.log10(0.5)).alias("price"))
+
+
+def prices(counts: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """(key, n, price) of all bytes in context that ``model`` was trained on."""
+    found = _priced(_decisions(counts.select("key")).join(model[DEPTH], "at"))
+    return counts.join(found, "key")
+
+
+def unseen_prices(keys: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """(key, price) of other bytes in context: each decision by the longest context that met its node."""
+    asked, found = _decisions(keys), []
+    for part, small in ((model[:2], True), (model[2:], False)):  # depths 0 and 1: 2^16 rows at most
+        first = 0 if small else 2
+        tables = [t.withColumn("depth", F.lit(first + i)) for i, t in enumerate(part)]
+        nodes = tables[0]
+        for t in tables[1:]:
+            nodes = nodes.unionByName(t)
+        depth = F.explode(F.array(*[F.lit(first + i) for i in range(len(part))])).alias("depth")
+        at = asked.select("key", "level", "bit", "at", depth).withColumn("at", _shorter(F.col("depth")))
+        found.append(at.join(F.broadcast(nodes) if small else nodes, ["depth", "at"]).select("key", "level", "bit", "depth", "chance"))
+    longest = found[0].unionByName(found[1]).groupBy("key", "level").agg(F.first("bit").alias("bit"), F.max_by("chance", "depth").alias("chance"))
+    return keys.join(_priced(longest), "key", "left").na.fill({"price": 8 * math.log10(0.5)})
+
+
+def _score(text: str, names: np.ndarray, costs: np.ndarray, step: int = 1 << 20) -> tuple[float, list, list]:
+    """The sum of the prices of the text's bytes that ``names`` holds, and the others with their numbers."""
+    coded, total, odd, times = _coded(text), 0.0, [], []
+    for k in range(0, len(coded) - DEPTH, step):
+        keys, n = np.unique(_keys(coded[k : k + step + DEPTH]), return_counts=True)
+        at = np.searchsorted(names, keys)
+        met = at < len(names)
+        met[met] = names[at[met]] == keys[met]
+        total += float((costs[at[met]] * n[met]).sum())
+        odd += keys[~met].tolist()
+        times += n[~met].tolist()
+    return total, odd, times
+
+
 def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``score`` is the tree's log10 probability of the whole text, so ``-score / log10(2) / n_bytes``
+    ``score`` is the context tree's log10 probability of the whole text, so ``-score / log10(2) / n_bytes``
     is its code length per byte, ``n_bytes`` counting the end mark. ``base_score`` is the smoothed
     unigram model's. A null text is an empty one. Without training rows N and V are zero and every
     token has the probability 1; the tree then knows nothing and charges eight bits a byte.
@@ -226,15 +319,19 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     total, divisor = known["n"] or 0, (known["n"] or 0) + known["v"] + 1
     frequent = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
     sc = docs.sparkSession.sparkContext
-    tree = sc.broadcast(grow(counts.filter(F.col("kind") == _BYTES).select("key", "n")))
+    seen = counts.filter(F.col("kind") == _BYTES).select("key", "n")
+    model = mixed(seen)
+    priced = pin(prices(seen, model), "prices")
+    often = priced.orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).select("key", "price").orderBy("key").toArrow()
+    tree = sc.broadcast((often.column("key").to_numpy(), often.column("price").to_numpy()))
     logs = np.log10(frequent["n"].to_numpy(np.float64) + 1)
     lookup = sc.broadcast(dict(zip(frequent["key"].tolist(), logs.tolist())))
     rows = numbered(docs, id_col, text_col)
-    names = ["row", "doc_id", "n_bytes", "n_tokens", "n_known", "known_log", "score", "rare", "times"]
-    kinds = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["row", "doc_id", "n_bytes", "n_tokens", "n_known", "known_log", "score", "rare", "times", "odd", "odd_times"]
+    kinds = [pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 2]
 
     def score(batches):
-        table, model, cache = lookup.value, tree.value, {}
+        table, cache = lookup.value, {}
         for batch in slices(batches):
             out = []
             for text in batch.column(2).to_pylist():
@@ -254,17 +351,22 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
                         cache[word] = log
                     n_known += n
                     known_log += n * log
-                out.append((len(text.encode("utf-8", "surrogatepass")) + 1, n_tokens, n_known, known_log, model.log10(text), rare, times))
+                priced_log, odd, odd_times = _score(text, *tree.value)
+                out.append((len(text.encode("utf-8", "surrogatepass")) + 1, n_tokens, n_known, known_log, priced_log, rare, times, odd, odd_times))
             columns = [batch.column(0), batch.column(1)]
             columns += [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds[2:])]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    types = [T.LongType(), rows.schema["doc_id"].dataType, *[T.LongType()] * 3, T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())]
+    types = [T.LongType(), rows.schema["doc_id"].dataType, *[T.LongType()] * 3, T.DoubleType(), T.DoubleType(), *[T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())] * 2]
     done = pin(rows.mapInArrow(score, T.StructType([T.StructField(n, t) for n, t in zip(names, types)])), "scored")
     rare = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
     met = rare.join(words, "key")
     more = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
-    whole = done.join(more, "row", "left").na.fill({"more_known": 0, "more_log": 0.0})
+    odd = done.select("row", F.explode(F.arrays_zip("odd", "odd_times")).alias("r")).select("row", F.col("r.odd").alias("key"), F.col("r.odd_times").alias("times"))
+    known_prices = priced.select("key", "price")
+    others = pin(odd.select("key").distinct().join(known_prices, "key", "left_anti"), "unseen")
+    cost = odd.join(known_prices.unionByName(unseen_prices(others, model)), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("price")).alias("more_score"))
+    whole = done.join(more, "row", "left").join(cost, "row", "left").na.fill({"more_known": 0, "more_log": 0.0, "more_score": 0.0})
     base = F.col("known_log") + F.col("more_log") - F.col("n_tokens") * F.lit(math.log10(divisor))
     return whole.select(
         "row",
@@ -274,7 +376,7 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
         (F.col("n_known") + F.col("more_known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.col("more_score")).alias("score"),
     )
 
 

@@ -477,6 +477,26 @@ def test_tree_beats_chance_and_sums_to_one(spark):
     assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("frequent", [500, 1 << 19])
+def test_scores_use_every_context(spark, monkeypatch, frequent):
+    """More contexts than any fixed tree of 16,384 had, also of rare scripts; some texts hold unseen ones."""
+    monkeypatch.setattr(ctw, "FREQUENT_KEYS", frequent)
+    rng = random.Random(11)
+    words = ["".join(chr(rng.choice([97, 0x430, 0x5D0, 0x4E00]) + rng.randrange(26)) for _ in range(rng.randrange(2, 7))) for _ in range(1500)]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(40)] + ["", "unseen \U0001f600 zzz", words[0]]
+    train = table(spark, list(enumerate(texts[:40])))
+    by = defaultdict(lambda: np.zeros(256))
+    for t in texts[:40]:
+        for key in ctw._keys(ctw._coded(t)).tolist():
+            for d in range(ctw.DEPTH + 1):
+                by[d, key >> 8 & ((1 << 8 * d) - 1)][key & 255] += 1
+    contexts = sorted(c for c in by if c[0])
+    assert len(contexts) > 1 << 14
+    tree = ctw.Tree(contexts, np.array([by[c] for c in [(0, 0), *contexts]]))
+    got = {r["doc_id"]: r["score"] for r in ctw.scores(table(spark, list(enumerate(texts))), train).collect()}
+    assert got == {i: pytest.approx(tree.log10(t), rel=1e-4) for i, t in enumerate(texts)}
+
+
 def test_scores_without_training(odd, empty):
     rows = ctw.scores(odd, empty).collect()
     assert all(r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
