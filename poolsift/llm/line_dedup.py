@@ -1,8 +1,12 @@
 """Repeated passages removed line by line, by overlapping three-line windows.
 
-A line ends at a line break, and also after a full stop, question or exclamation mark before white
-space, so that a passage is found inside a longer line and wherever its lines are broken. Three
-consecutive lines make a window; where they have too few words for a passage, the lines beside them
+A sentence ends at a line break, after a full stop, question or exclamation mark before white space,
+and after the full stops of other scripts. A sentence of more than ``LONGEST`` words is cut into
+lines before each word that has the least hash among ``LONGEST`` words in a row: lines have so many
+words at most, and away from its ends a passage is cut alike wherever it stands. Any 50 words then
+hold three whole lines, and 20 words, between cuts that only depend on them.
+
+Three consecutive sentences make a window, and so do three consecutive lines of ``LINE_WORDS`` words; where they have too few words for a passage, the lines beside them
 join it until there are enough, so that passages of short lines are found as well. The first
 occurrence of a window in the order (id, row, line) stays; lines that any later occurrence covers
 go. A removed line's text always survives at the earliest place of its windows, so nothing
@@ -14,6 +18,7 @@ from __future__ import annotations
 import re
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,22 +31,58 @@ from poolsift.session import pin
 WINDOW = 3
 #: Runs of fewer words recur by chance ("Yes. No. Yes.") and are no passage; windows grow to so many.
 MIN_WORDS = 10
+#: Windows that may begin or end inside a sentence need so many words.
+LINE_WORDS = 20
+#: Words of a line at most.
+LONGEST = 8
 #: Thai to Myanmar, Khmer, Han and kana: written without spaces, so that every character counts as a word.
 _UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u2e80-\u312f\u3190-\ua4cf\uf900-\ufaff\uff00-\uff9f\U00020000-\U0003ffff"
 _HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _WORDS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 SPACE = " \t\n\v\f\r"
-_END = re.compile(r"[.!?][ \t\n\v\f\r]+|\n[ \t\n\v\f\r]*")
+_END = re.compile("[.!?][ \\t\\n\\v\\f\\r]+|\\n[ \\t\\n\\v\\f\\r]*|[\u3002\uff01\uff1f\uff61\u0964\u06d4\u061f\u1362]+[ \\t\\n\\v\\f\\r]*")
 
 
-def lines_of(text: str) -> list[str]:
-    """The text cut behind each line end; joined they are the text."""
+def _sentences(text: str) -> list[str]:
     ends = [m.end() for m in _END.finditer(text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
+def _cuts(words: list[list[str]]) -> dict[int, list[int]]:
+    """For long sentences the numbers of the words that begin a line, the first word's left out."""
+    sizes = np.array([len(w) for w in words])
+    if sizes.max() <= LONGEST:
+        return {}
+    keys = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for ws in words for w in ws), np.int64, sizes.sum())
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    first = np.arange(len(keys) - LONGEST + 1)
+    first = first[(owner[first] == owner[first + LONGEST - 1]) & (first != starts[owner[first]])]
+    at = np.unique(first + np.lib.stride_tricks.sliding_window_view(keys, LONGEST)[first].argmin(axis=1))
+    found = {}
+    for i, k in zip(owner[at].tolist(), (at - starts[owner[at]]).tolist()):
+        found.setdefault(i, []).append(k)
+    return found
+
+
+def lines_of(text: str) -> list[str]:
+    """The text cut behind each sentence, and inside long ones; joined they are the text."""
+    sentences = _sentences(text)
+    words, out = [words_of(s) for s in sentences], []
+    cuts = _cuts(words)
+    for i, sentence in enumerate(sentences):
+        rest, before = sentence, 0
+        spaced = i in cuts and (sentence.isascii() or not _HAS_UNSPACED.search(sentence))
+        places = () if spaced or i not in cuts else [m.start() for m in _WORDS.finditer(sentence)]
+        for k in cuts.get(i, ()):
+            tail = rest.split(None, k - before)[-1] if spaced else sentence[places[k] :]
+            out.append(rest[: len(rest) - len(tail)])
+            rest, before = tail, k
+        out.append(rest)
+    return out
+
+
 def words_of(line: str) -> list[str]:
     """Words between white space; in scripts without spaces every character is one."""
     return line.split() if line.isascii() or not _HAS_UNSPACED.search(line) else _WORDS.findall(line)
@@ -71,9 +112,19 @@ def runs(sizes: list[int], width: int, min_words: int) -> list[tuple[int, int]]:
 
 
 def window_hashes(lines: list[str], width: int = WINDOW, min_words: int = MIN_WORDS):
-    """(first line, last line, hash) of the windows; lines of white space alone are passed over."""
+    """(first line, last line, hash) of the windows; lines of white space alone are passed over.
+
+    A text of enough words that has no window is one window.
+    """
     full = [(i, words) for i, line in enumerate(lines) if (words := words_of(line))]
-    for first, end in runs([len(words) for _, words in full], width, min_words):
+    sizes = [len(words) for _, words in full]
+    found = set(runs(sizes, width, max(min_words, LINE_WORDS)))
+    ends = [0, *(k for k, (i, _) in enumerate(full, 1) if k == len(full) or _END.search(lines[i]) or any("\n" in x for x in lines[i + 1 : full[k][0]]))]
+    whole = [sum(sizes[a:b]) for a, b in zip(ends, ends[1:])]
+    found.update((ends[a], ends[b]) for a, b in runs(whole, width, min_words))
+    if not found and sum(sizes) >= max(min_words, 1):
+        found.add((0, len(full)))
+    for first, end in sorted(found):
         joined = "\n".join(" ".join(words) for _, words in full[first:end])
         yield full[first][0], full[end - 1][0], xxhash.xxh64_intdigest(joined.encode("utf-8", "surrogatepass")) - (1 << 63)
 

@@ -382,6 +382,29 @@ def test_line_dedup_finds_passages_of_short_lines(spark):
     assert got[1] == "first\nlast" and got[2].split() == [f"dish{i}" for i in range(9)] and got[3] == "" and got[8] == "\u4e00" * 3 + "\n"
 
 
+def test_line_dedup_finds_any_fifty_words():
+    """Word-level: after the first text, no 50 words in a row of an earlier text stay, however they are placed."""
+    rng = random.Random(3)
+
+    def prose(n, spaced=True):
+        return [f"v{rng.randrange(3000)}" if spaced else chr(0x4E00 + rng.randrange(3000)) for _ in range(n)]
+
+    for spaced in (True, False):
+        for _ in range(150):
+            passage = prose(50, spaced)
+            for k in rng.sample(range(50), rng.choice([0, 0, 1, 2])):
+                passage[k] += "." if spaced else "\u3002"
+            rows = [(j, (" " if spaced else "").join([*prose(rng.randrange(30), spaced), *passage, *prose(rng.randrange(30), spaced)])) for j in range(2)]
+            assert all("".join(line_dedup.lines_of(t)) == t for _, t in rows)
+            kept = brute.kept_lines(rows, line_dedup.lines_of, line_dedup.window_hashes)
+            assert kept[0] == rows[0][1]
+            assert len(rows[1][1]) > len(kept[1]) and (" " if spaced else "").join(passage) not in kept[1]
+    one = " ".join(prose(160))
+    two = "Only eight words are in here so far. And three."
+    rows = [(0, one), (1, one), (2, two), (3, two)]
+    assert list(brute.kept_lines(rows, line_dedup.lines_of, line_dedup.window_hashes).values())[1::2] == ["", ""]
+
+
 def test_line_dedup_empty_table(empty):
     assert line_dedup.remove_repeats(empty).count() == 0
 
