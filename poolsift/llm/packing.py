@@ -35,12 +35,16 @@ PLAIN = re.compile("[\t\n\r -~¡-ɏ–-…€]*")
 
 
 @cache
-def encoder(json_path: str, ranks_path: str | None):
-    """A function from text to token ids as an unsigned array, special tokens off."""
+def encoder(json_path: str, ranks_path: str | None, specials_as_text: bool = False):
+    """A function from text to token ids as an unsigned array, nothing added before or behind.
+
+    A special token's string inside a text is that token, as the library has it by default, or plain text.
+    """
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
+    exact.encode_special_tokens = specials_as_text
+    special = [] if specials_as_text else [t.content for t in exact.get_added_tokens_decoder().values()]
 
     def by_json(text):
         return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -52,7 +56,12 @@ def encoder(json_path: str, ranks_path: str | None):
     lines = (line.split() for line in open(ranks_path, "rb"))
     ranks = {base64.b64decode(word): int(rank) for word, rank in lines}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_to_numpy(text) if PLAIN.fullmatch(text) else by_json(text)
+
+    def by_ranks(text):
+        plain = PLAIN.fullmatch(text) and not any(s in text for s in special)
+        return fast.encode_to_numpy(text) if plain else by_json(text)
+
+    return by_ranks
 
 
 def cut_pieces(
