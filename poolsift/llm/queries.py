@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolsift.llm import ctw, decontamination, license_scan, line_dedup, packing, quality_gam, quality_rules, sharding, simhash, toxicity
+from poolsift.llm import (
+    alignment,
+    ctw,
+    decontamination,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_gam,
+    quality_rules,
+    resampling,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from poolsift.llm.labelled import learnable
 
 
@@ -96,6 +110,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers in every text, scored by the corpus's counts of id pairs."""
+    return alignment.align(_table(spark, sf_dir, "documents"))[0]
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every text for the benchmark's distribution, and the rank of the drawn tenth."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license": op1_license,
     "op2_packing": op2_packing,
@@ -107,6 +136,9 @@ QUERIES = {
     "op8_ctw": op8_ctw,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_resampling": op13_resampling,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,4 +198,40 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 contaminated
         from w left join counts using (doc_id) left join items using (doc_id)
     """,
+    # CRC-32 of the distinct words by a table of 256 remainders, byte by byte
+    "op13_resampling": rf"""
+        with recursive steps(k, i, c) as (
+          select 0, i, i from range(256) r(i)
+          union all
+          select k + 1, i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+        remainders as (select list(c order by i) t from steps where k = 8),
+        d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+        b as (select regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+        dw as (select doc_id, unnest(ws) w from d),
+        bw as (select unnest(ws) w from b),
+        own as (select w, hex(encode(w)) h from (select w from dw union select w from bw)),
+        crcs as (
+          select w, xor(list_reduce(
+              list_prepend(4294967295::bigint, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint)),
+              lambda acc, x: xor(acc >> 8, t[1 + (xor(acc, x) & 255)])), 4294967295) % 10000 as bucket
+          from own, remainders),
+        s as (select bucket, count(*) n from dw join crcs using (w) group by bucket),
+        t as (select bucket, count(*) n from bw join crcs using (w) group by bucket),
+        gain as (
+          select i as bucket, cast(floor(1000 * ln(
+              (coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double
+              / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double))) as bigint) as g
+          from range(10000) r(i) left join s on s.bucket = i left join t on t.bucket = i),
+        sums as (select doc_id, count(*) n, sum(g) total from dw join crcs using (w) join gain using (bucket) group by doc_id),
+        scored as (
+          select doc_id, coalesce(n, 0) as n_features, coalesce(cast((total - ((total % n) + n) % n) // n as bigint), 0) as weight,
+            ('0x' || sha256('2024:' || doc_id)[1:8])::bigint as h
+          from d left join sums using (doc_id)),
+        noisy as (
+          select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double))) as bigint) as score from scored),
+        ranked as (
+          select *, row_number() over (order by score desc, doc_id) as place, count(*) over () as eligible from noisy where n_features >= 20)
+        select n.doc_id, n.n_features, n.weight, n.score, case when place <= 10 * eligible // 100 then place end as rank
+        from noisy n left join ranked r using (doc_id)
+    """,
 }
