@@ -7,6 +7,8 @@ from collections import Counter
 
 import xxhash
 
+from poolsift.llm import line_dedup
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -76,15 +78,102 @@ def base_quality(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered)
 
 
-def kept_lines(rows, lines_of, window_hashes):
-    """Text that stays of each (order, text), rows in the order of occurrences."""
+# --- lines and windows of a text, word by word ------------------------------------------
+
+STOP_SIGNS = "。！？｡।۔؟።"
+M64 = (1 << 64) - 1
+
+
+def spaced_words(text):
+    """(first character, character behind) of each word: between ASCII white space, or one of a script without spaces."""
+    found, k = [], 0
+    while k < len(text):
+        if text[k] in " \t\n\v\f\r":
+            k += 1
+        elif unspaced(text[k]):
+            found.append((k, k + 1))
+            k += 1
+        else:
+            end = k
+            while end < len(text) and text[end] not in " \t\n\v\f\r" and not unspaced(text[end]):
+                end += 1
+            found.append((k, end))
+            k = end
+    return found
+
+
+def unspaced(c):
+    return any(low <= ord(c) <= high for low, high in line_dedup.UNSPACED)
+
+
+def word_key(word):
+    data = word.encode("utf-8", "surrogatepass")
+    total = sum(int(line_dedup._VALUES[b]) * pow(line_dedup.BYTE_FACTOR, k, 1 << 64) for k, b in enumerate(data))
+    x = (total + len(data)) & M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return (x ^ x >> 31) >> 32
+
+
+def cut_lines(text):
+    """Words of each line, and for each line whether a sentence begins with it."""
+    places = spaced_words(text)
+    ws = [text[a:b] for a, b in places]
+    begins = []
+    for i, (a, _) in enumerate(places):
+        between = text[places[i - 1][1] : a] if i else ""
+        ended = i and (ws[i - 1][-1] in STOP_SIGNS and not (unspaced(ws[i][0]) and ws[i] in STOP_SIGNS) or ws[i - 1][-1] in ".!?" and between)
+        if not i or "\n" in between or ended:
+            begins.append(i)
+    lines, fresh = [], []
+    for a, b in zip(begins, [*begins[1:], len(ws)]):
+        keys, n = [word_key(w) for w in ws[a:b]], line_dedup.LONGEST
+        cuts = {k + min(range(n), key=lambda m: keys[k + m]) for k in range(1, b - a - n + 1)}
+        bounds = [0, *sorted(cuts), b - a]
+        lines += [ws[a + x : a + y] for x, y in zip(bounds, bounds[1:])]
+        fresh += [True, *[False] * len(cuts)]
+    return lines, fresh
+
+
+def line_windows(text):
+    """(first word, word behind, words) of every window."""
+    lines, fresh = cut_lines(text)
+    starts = [sum(map(len, lines[:k])) for k in range(len(lines) + 1)]
+    sentences = [s for s, f in zip(starts, fresh) if f] + starts[-1:]
+    ws, found = [w for line in lines for w in line], set()
+    for bounds, least in ((starts, line_dedup.LINE_WORDS), (sentences, line_dedup.MIN_WORDS)):
+        for i in range(len(bounds)):
+            ahead = [b for b in bounds[i + line_dedup.WINDOW :] if b - bounds[i] >= least]
+            back = [a for a in bounds[: max(0, i - line_dedup.WINDOW + 1)] if bounds[i] - a >= least]
+            found |= {(bounds[i], ahead[0])} if ahead else set()
+            found |= {(back[-1], bounds[i])} if back else set()
+    if not found and len(ws) >= line_dedup.MIN_WORDS:
+        found = {(0, len(ws))}
+    return [(a, b, tuple(ws[a:b])) for a, b in sorted(found)]
+
+
+def kept_texts(rows):
+    """Text that stays of each (key, text), rows in the order of occurrences."""
     seen, out = set(), {}
     for key, text in rows:
-        lines = lines_of(text) if text else []
-        gone = set()
-        for first, last, value in window_hashes(lines):
-            if value in seen:
-                gone.update(range(first, last + 1))
-            seen.add(value)
-        out[key] = "".join(line for i, line in enumerate(lines) if i not in gone)
+        text = text or ""
+        places, gone = spaced_words(text), set()
+        for a, b, words_ in line_windows(text):
+            if words_ in seen:
+                gone.update(range(a, b))
+            seen.add(words_)
+        bounds = [0, *(a for a, _ in places[1:]), len(text)] if places else [0, len(text)]
+        out[key] = "".join(text[a:b] for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if i not in gone)
     return out
+
+
+def repeated_fifty(originals, kept, n=50):
+    """Keys of kept texts that still hold ``n`` words in a row of an earlier original; texts in order."""
+    earlier, found = set(), []
+    for key, text in originals:
+        own = [kept[key][a:b] for a, b in spaced_words(kept[key])]
+        if any(hash(tuple(own[k : k + n])) in earlier for k in range(len(own) - n + 1)):
+            found.append(key)
+        own = [text[a:b] for a, b in spaced_words(text)]
+        earlier.update(hash(tuple(own[k : k + n])) for k in range(len(own) - n + 1))
+    return found

@@ -334,23 +334,46 @@ def test_rules_empty_table(empty, no_labels):
 # 7 line dedup
 
 
-def test_lines_join_to_the_text(odd):
-    for _, text in pairs(odd):
-        assert not text or "".join(line_dedup.lines_of(text)) == text
+def cut_windows(texts):
+    doc, first, end, value = (x.tolist() for x in line_dedup.Cut(texts).windows())
+    found = [[] for _ in texts]
+    for d, a, b, h in zip(doc, first, end, value):
+        found[d].append((a, b, h))
+    return found
 
 
-def test_line_dedup_matches_brute_force(spark, odd):
+def test_windows_match_brute_force(odd):
+    rng = random.Random(4)
+    marks = ["a", "bb.", "c!", "déjà", "\u0435\u0449\u0451", "\u4e2d\u6587", "\u3002", "\u0936\u092c\u094d\u0926\u0964", "\u0642\u061f", "x\u4e00y", "\U00020001", "\U0001f600", ".", "\x00", "\u00a0"]
+    texts = ["".join(w + rng.choice([" ", " ", " ", "\n", "  ", "", "\t"]) for w in rng.choices(marks, k=rng.randint(0, 90))) for _ in range(60)]
+    texts += [t[:1500] for _, t in pairs(odd) if t] + ["", " ", "\n\n", "word " * 100, "w%d " * 60 % tuple(range(60))]
+    hashes = {}
+    for text, got in zip(texts, cut_windows(texts)):
+        want = brute.line_windows(text)
+        assert sorted((a, b) for a, b, _ in got) == [(a, b) for a, b, _ in want], text
+        for (_, _, h), (_, _, ws) in zip(sorted(got), want):
+            assert hashes.setdefault(h, ws) == ws
+    assert len(set(hashes.values())) == len(hashes)  # equal words have one hash, wherever they stand
+
+
+def test_line_dedup_matches_brute_force(spark, odd, monkeypatch):
     passage = PASSAGE.replace(". ", ".\n")
     more = [(20, f"New start.\n{passage}\nNew end."), (21, "One line of ten words, as it happens, right here. " * 9), (0, PASSAGE)]
-    docs = table(spark, pairs(odd) + more)
+    docs = table(spark, [(i, t and t[:2500]) for i, t in pairs(odd)] + more)
     order = sorted(enumerate(pairs(docs)), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0]))
-    kept = brute.kept_lines([(k, t) for k, (_, t) in order], line_dedup.lines_of, line_dedup.window_hashes)
+    kept = brute.kept_texts([(k, t) for k, (_, t) in order])
     want = Counter((i, None if t is None else kept[k], None if t is None else len(t)) for k, (i, t) in enumerate(pairs(docs)))
     done = line_dedup.remove_repeats(docs)
     assert done.columns == [*docs.columns, "n_lines", "n_removed"]
     assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in done.collect()) == want
     texts = {r["doc_id"]: r["text"] for r in done.collect()}
     assert texts[0] == PASSAGE and texts[8] == "" and texts[7] == "Opening words. Closing words."
+    for r in done.collect():
+        lines = brute.cut_lines(r["text"] or "")[0] if r["n_removed"] == 0 else None
+        assert lines is None or len(lines) == r["n_lines"]
+    # a table of repeated windows that is full lets every window through
+    monkeypatch.setattr(line_dedup.repeats, "__defaults__", (line_dedup.WINDOW, line_dedup.MIN_WORDS, 8))
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in line_dedup.remove_repeats(docs).collect()) == want
 
 
 def repeated_runs_removed(texts):
@@ -394,15 +417,22 @@ def test_line_dedup_finds_any_fifty_words():
             passage = prose(50, spaced)
             for k in rng.sample(range(50), rng.choice([0, 0, 1, 2])):
                 passage[k] += "." if spaced else "\u3002"
-            rows = [(j, (" " if spaced else "").join([*prose(rng.randrange(30), spaced), *passage, *prose(rng.randrange(30), spaced)])) for j in range(2)]
-            assert all("".join(line_dedup.lines_of(t)) == t for _, t in rows)
-            kept = brute.kept_lines(rows, line_dedup.lines_of, line_dedup.window_hashes)
-            assert kept[0] == rows[0][1]
-            assert len(rows[1][1]) > len(kept[1]) and (" " if spaced else "").join(passage) not in kept[1]
+            texts = [(" " if spaced else "").join([*prose(rng.randrange(30), spaced), *passage, *prose(rng.randrange(30), spaced)]) for _ in range(2)]
+            kept = kept_by_cut(texts)
+            assert kept[0] == texts[0]
+            assert len(texts[1]) > len(kept[1]) and (" " if spaced else "").join(passage) not in kept[1]
     one = " ".join(prose(160))
     two = "Only eight words are in here so far. And three."
-    rows = [(0, one), (1, one), (2, two), (3, two)]
-    assert list(brute.kept_lines(rows, line_dedup.lines_of, line_dedup.window_hashes).values())[1::2] == ["", ""]
+    assert kept_by_cut([one, one, two, two])[1::2] == ["", ""]
+
+
+def kept_by_cut(texts):
+    """The operator's windows and removal, first occurrences found by hand."""
+    seen, spans = set(), []
+    for k, found in enumerate(cut_windows(texts)):
+        spans += [(k, a, b) for a, b, h in found if h in seen or seen.add(h)]
+    doc, first, end = np.array(spans, np.int64).reshape(-1, 3).T
+    return line_dedup.Cut(texts).without(doc, first, end)[0]
 
 
 def test_line_dedup_empty_table(empty):

@@ -6,7 +6,6 @@ import pytest
 
 import corpus_pipeline
 from check import compare, connect
-from poolsift.llm import line_dedup
 from poolsift.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 
@@ -47,7 +46,8 @@ def test_held_out_flags(spark):
 def test_pipeline_against_brute_force(spark, docs, tmp_path):
     toxic = {r["doc_id"] for r in QUERIES["op10_toxicity"](spark, FOLDER).collect() if r["predicted"]}
     civil = {i: t for i, t in sorted(docs.items()) if i not in toxic}
-    fresh = brute.kept_lines(civil.items(), line_dedup.lines_of, line_dedup.window_hashes)
+    fresh = brute.kept_texts(civil.items())
+    assert not brute.repeated_fifty(civil.items(), fresh)
     ids = sorted(fresh)
     groups = brute.near_groups([brute.fingerprint(fresh[i]) for i in ids])
     first = {}
