@@ -13,6 +13,7 @@ tasks (at most ``HEAD``, whatever the corpus), and the rare rest meets its count
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import cache
 
 import numpy as np
@@ -38,11 +39,12 @@ class Vocabularies:
 
     def __init__(self, a_json: str, a_ranks: str | None, b_model: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
         self.encode_a = encoder(a_json, a_ranks, specials_as_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_model)
-        names = Tokenizer.from_file(a_json).get_vocab()
+        with open(a_json, encoding="utf-8") as file:
+            whole = json.load(file)
+        names = whole["model"]["vocab"] | {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.a_bytes = [b""] * (max(names.values()) + 1)
         of_char = _byte_of_char()
         for name, i in names.items():
@@ -98,8 +100,9 @@ def aligned(v: Vocabularies, texts: list[str]) -> dict:
     n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
     a_end, b_end = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
     doc_end = np.concatenate([[0], a_end])[np.cumsum(n_a)]  # a document without tokens ends where it begins
-    cuts = np.intersect1d(a_end, b_end, assume_unique=True)
-    ends = np.union1d(a_end, b_end)
+    cuts = a_end[np.isin(a_end, b_end, assume_unique=True)]
+    ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")  # two sorted runs
+    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
     link_a, link_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
     group = np.searchsorted(cuts, ends)
     single = np.bincount(group, minlength=len(cuts))[group] == 1

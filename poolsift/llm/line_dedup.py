@@ -12,11 +12,13 @@ passages of short lines are found as well. The first occurrence of a window in t
 place) stays; words that any later occurrence covers go. A removed line's text always survives at
 the earliest place of its windows, so nothing disappears from the corpus altogether.
 
-Every window's hash is counted first, as bare 64-bit numbers that combine before the shuffle. Most
-occur once. A bitmap of fixed size, set for the repeated ones, then tells a second reading of the
-texts which windows need their places at all; what it lets through beyond those is dropped when the
-places meet. Words, lines and windows of a batch of texts are found on its bytes with NumPy, and a
-window's hash is a difference of prefix sums.
+From every line on, the shortest window is hashed and counted, as bare 64-bit numbers that combine
+before the shuffle; a longer window from there can only repeat if this one does. Most occur once. A
+bitmap of fixed size, set for the repeated ones, then tells a second reading of the texts which windows
+have to be looked for at all, and their first places are found by hash. A third reading removes all
+windows of the bitmap but those at their first place; one that the bitmap lets through though it occurs
+once is at its first place. Words, lines and windows of a batch of texts are found on its bytes
+with NumPy, and a window's hash is a difference of prefix sums.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import types as T
 
 from poolsift.llm.encoding import byte_slices
 from poolsift.llm.texts import located, numbered_in
-from poolsift.session import pin
 
 WINDOW = 3
 #: Runs of fewer words recur by chance ("Yes. No. Yes.") and are no passage; windows grow to so many.
@@ -146,10 +147,10 @@ class Cut:
         return np.unique(first + np.lib.stride_tricks.sliding_window_view(keys, LONGEST)[first].argmin(axis=1))
 
     def _runs(self, starts: np.ndarray, width: int, min_words: int):
-        """(first word, word behind) of the shortest runs of ``width`` pieces and ``min_words`` words at least.
+        """The shortest runs of ``width`` pieces and ``min_words`` words from each piece on, and up to each.
 
-        One begins at every piece and one ends there, as far as the text has room; so they cover any
-        longer run, up to both of its ends, without leaving it.
+        (first word, word behind, word behind the shortest run from the first word on). Both kinds
+        together cover any longer run, up to both of its ends, without leaving it.
         """
         k = np.arange(len(starts) - 1)
         doc = self.doc_of[starts[:-1]] if len(k) else np.empty(0, np.int64)
@@ -157,21 +158,36 @@ class Cut:
         ahead = (end < len(starts)) & (doc[np.minimum(end, len(k)) - 1] == doc)
         first = np.minimum(np.searchsorted(starts, starts[1:] - min_words, "right") - 1, k + 1 - width)
         back = (first >= 0) & (doc[np.maximum(first, 0)] == doc)
-        return np.concatenate([np.stack([starts[:-1][ahead], starts[end[ahead]]]), np.stack([starts[first[back]], starts[1:][back]])], axis=1)
+        first, shortest = first[back], starts[end[ahead]]
+        behind = starts[end[first]]
+        return np.stack([starts[:-1][ahead], shortest, shortest]), np.stack([starts[first], starts[1:][back], behind])
 
     def windows(self, width: int = WINDOW, min_words: int = MIN_WORDS):
-        """(text, first word, word behind, hash) of all windows; words count within their text.
+        """(text, first word, word behind, hash, hash of the shortest window from there) of all windows.
 
-        A text of enough words that has no window is one window.
+        Words count within their text. A text of enough words that has no window is one window.
+        Sentences with words enough for windows of lines need none of their own: those cover them.
         """
-        found = np.concatenate([self._runs(self.line, width, max(min_words, LINE_WORDS)), self._runs(self.sentence, width, min_words)], axis=1)
+        least = max(min_words, LINE_WORDS)
+        lines, lines_back = self._runs(self.line, width, least)
+        few = [r[:, r[1] - r[0] < least] for r in self._runs(self.sentence, width, min_words)]
         sizes = np.diff(self.doc_word)
-        bare = np.setdiff1d(np.flatnonzero(sizes >= max(min_words, 1)), self.doc_of[found[0]])
-        found = np.concatenate([found, np.stack([self.doc_word[bare], self.doc_word[bare + 1]])], axis=1)
-        first, end = np.divmod(np.unique(found[0] << 32 | found[1]), 1 << 32)
+        some = np.bincount(self.doc_of[np.concatenate([lines[0], few[0][0]])], minlength=len(sizes)) > 0
+        bare = np.flatnonzero((sizes >= max(min_words, 1)) & ~some)
+        whole = np.stack([self.doc_word[bare], self.doc_word[bare + 1], self.doc_word[bare + 1]])
+        found = np.concatenate([lines, few[0], whole, lines_back, few[1]], axis=1)
+        _, at = np.unique(found[0] << 32 | found[1], return_index=True)
+        first, end, shortest = found[:, at]
         doc = self.doc_of[first]
-        value = mixed(self.hash_of(first, end) + (end - first).astype(np.uint64)).view(np.int64)
-        return doc, first - self.doc_word[doc], end - self.doc_word[doc], value
+        value, gate = (mixed(self.hash_of(first, e) + (e - first).astype(np.uint64)).view(np.int64) for e in (end, shortest))
+        return doc, first - self.doc_word[doc], end - self.doc_word[doc], value, gate
+
+    def repeated(self, table: np.ndarray, bits: int, width: int, min_words: int):
+        """(text, first word, word behind, hash) of the windows whose shortest one is in ``table``."""
+        *found, gate = self.windows(width, min_words)
+        bit = gate % bits
+        at = np.flatnonzero(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        return [x[at] for x in found]
 
     def without(self, doc: np.ndarray, first: np.ndarray, end: np.ndarray):
         """Texts without these words and the white space behind them; lines of each; lines that lost a word."""
@@ -194,11 +210,12 @@ class Cut:
 
 
 def window_hashes(rows: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(hash) of every window of numbered rows, one row for each occurrence."""
+    """(hash) of the shortest windows of numbered rows, one row for each occurrence."""
 
     def run(batches):
         for batch in byte_slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(Cut(batch.column(0).to_pylist()).windows(width, min_words)[3])], ["hash"])
+            *_, value, gate = Cut(batch.column(0).to_pylist()).windows(width, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(value[value == gate])], ["hash"])
 
     return rows.select("text").mapInArrow(run, "hash long")
 
@@ -217,30 +234,24 @@ def repeated_bits(rows: DataFrame, width: int, min_words: int, bits: int = BITS)
 
 
 def windows(rows: DataFrame, width: int, min_words: int, table: np.ndarray, bits: int = BITS) -> DataFrame:
-    """(row, doc_id, span, hash) of the windows whose bit is set; span is the first word times 2^32 plus the word behind."""
+    """(row, doc_id, span, hash) of the windows in ``table``; span is the first word times 2^32 plus the word behind."""
     fields = [rows.schema["row"], rows.schema["doc_id"], T.StructField("span", T.LongType()), T.StructField("hash", T.LongType())]
 
     def run(batches):
         for batch in byte_slices(batches):
-            doc, first, end, value = Cut(batch.column(2).to_pylist()).windows(width, min_words)
-            bit = value % bits
-            found = np.flatnonzero(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            at = pa.array(doc[found])
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(first[found] << 32 | end[found]), pa.array(value[found])]
+            doc, first, end, value = Cut(batch.column(2).to_pylist()).repeated(table, bits, width, min_words)
+            at = pa.array(doc)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(first << 32 | end), pa.array(value)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def repeats(rows: DataFrame, width: int = WINDOW, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
-    """(row, spans): words that later occurrences cover, for rows that have any."""
-    found = pin(windows(rows, width, min_words, repeated_bits(rows, width, min_words, bits), bits), "windows")
+def first_places(found: DataFrame) -> DataFrame:
+    """(row, firsts): the spans at which a window occurs for the first time. A hot window combines before the shuffle."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "span")
-    groups = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("kept")).filter("n > 1")
-    # a window that very many rows share is one key of this join; adaptive execution splits it
-    later = found.join(groups.select("hash", "kept"), "hash")
-    later = later.filter((F.col("row") != F.col("kept.row")) | (F.col("span") != F.col("kept.span")))
-    return later.groupBy("row").agg(F.collect_set("span").alias("spans"))
+    kept = found.groupBy("hash").agg(F.min(place).alias("kept")).select("kept.row", "kept.span")
+    return kept.groupBy("row").agg(F.collect_list("span").alias("firsts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -251,21 +262,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut whole; an empty table gives no rows. New columns of the same names as old ones replace them.
     """
     table = located(docs)
-    spans = repeats(numbered_in(table, id_col, text_col), width, min_words)
+    rows = numbered_in(table, id_col, text_col)
+    bits = BITS
+    known = repeated_bits(rows, width, min_words, bits)
+    firsts = first_places(windows(rows, width, min_words, known, bits))
+    kinds = {"text": pa.string(), "lines": pa.int64(), "gone": pa.int64()}
     result = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("gone", T.LongType())])
 
     @F.arrow_udf(result)
-    def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def kept(texts: pa.Array, firsts: pa.Array) -> pa.Array:
         parts = []
-        for batch in byte_slices([pa.RecordBatch.from_arrays([texts, spans], ["text", "spans"])], 0):
-            found = batch.column(1)
-            doc = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy())
-            first, end = np.divmod(found.flatten().to_numpy().astype(np.int64), 1 << 32)
-            own, lines, gone = Cut(["" if t is None else t for t in batch.column(0).to_pylist()]).without(doc, first, end)
-            parts.append(pa.StructArray.from_arrays([pa.array(own, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["text", "lines", "gone"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("lines", pa.int64()), ("gone", pa.int64())]))
+        for batch in byte_slices([pa.RecordBatch.from_arrays([texts, firsts], ["text", "firsts"])], 0):
+            cut = Cut(["" if t is None else t for t in batch.column(0).to_pylist()])
+            doc, first, end, _ = cut.repeated(known, bits, width, min_words)
+            stays = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().fill_null(0).to_numpy())
+            a, b = np.divmod(batch.column(1).flatten().to_numpy().astype(np.int64), 1 << 32)
+            # words of the whole batch are numbered, so that a window is known by its first and its last word
+            own, his = (cut.doc_word[d] + x << 32 | cut.doc_word[d] + y for d, x, y in ((doc, first, end), (stays, a, b)))
+            gone = ~np.isin(own, his)
+            found = cut.without(doc[gone], first[gone], end[gone])
+            parts.append(pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds.values())], list(kinds)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(kinds.items())))
 
     text = F.col("doc")[text_col]
-    done = table.join(spans, "row", "left").withColumn("kept", kept(text, F.col("spans")))
+    done = table.join(firsts, "row", "left").withColumn("kept", kept(text, F.col("firsts")))
     done = done.select("doc.*", F.struct(F.when(text.isNotNull(), F.col("kept.text")).alias("text"), "kept.lines", "kept.gone").alias("__kept"))
     return done.withColumns({text_col: F.col("__kept.text"), "n_lines": F.col("__kept.lines"), "n_removed": F.col("__kept.gone")}).drop("__kept")

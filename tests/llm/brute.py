@@ -135,8 +135,8 @@ def cut_lines(text):
     return lines, fresh
 
 
-def line_windows(text):
-    """(first word, word behind, words) of every window."""
+def line_windows(text, needed=False):
+    """(first word, word behind, words) of every window; if ``needed``, without those that windows of lines cover."""
     lines, fresh = cut_lines(text)
     starts = [sum(map(len, lines[:k])) for k in range(len(lines) + 1)]
     sentences = [s for s, f in zip(starts, fresh) if f] + starts[-1:]
@@ -144,7 +144,11 @@ def line_windows(text):
     for bounds, least in ((starts, line_dedup.LINE_WORDS), (sentences, line_dedup.MIN_WORDS)):
         for i in range(len(bounds)):
             ahead = [b for b in bounds[i + line_dedup.WINDOW :] if b - bounds[i] >= least]
+            if needed and bounds is sentences:
+                ahead = [b for b in ahead[:1] if b - bounds[i] < line_dedup.LINE_WORDS]
             back = [a for a in bounds[: max(0, i - line_dedup.WINDOW + 1)] if bounds[i] - a >= least]
+            if needed and bounds is sentences:
+                back = [a for a in back[-1:] if bounds[i] - a < line_dedup.LINE_WORDS]
             found |= {(bounds[i], ahead[0])} if ahead else set()
             found |= {(back[-1], bounds[i])} if back else set()
     if not found and len(ws) >= line_dedup.MIN_WORDS:
@@ -152,13 +156,13 @@ def line_windows(text):
     return [(a, b, tuple(ws[a:b])) for a, b in sorted(found)]
 
 
-def kept_texts(rows):
+def kept_texts(rows, needed=True):
     """Text that stays of each (key, text), rows in the order of occurrences."""
     seen, out = set(), {}
     for key, text in rows:
         text = text or ""
         places, gone = spaced_words(text), set()
-        for a, b, words_ in line_windows(text):
+        for a, b, words_ in line_windows(text, needed):
             if words_ in seen:
                 gone.update(range(a, b))
             seen.add(words_)

@@ -335,7 +335,7 @@ def test_rules_empty_table(empty, no_labels):
 
 
 def cut_windows(texts):
-    doc, first, end, value = (x.tolist() for x in line_dedup.Cut(texts).windows())
+    doc, first, end, value, _ = (x.tolist() for x in line_dedup.Cut(texts).windows())
     found = [[] for _ in texts]
     for d, a, b, h in zip(doc, first, end, value):
         found[d].append((a, b, h))
@@ -349,7 +349,7 @@ def test_windows_match_brute_force(odd):
     texts += [t[:1500] for _, t in pairs(odd) if t] + ["", " ", "\n\n", "word " * 100, "w%d " * 60 % tuple(range(60))]
     hashes = {}
     for text, got in zip(texts, cut_windows(texts)):
-        want = brute.line_windows(text)
+        want = brute.line_windows(text, needed=True)
         assert sorted((a, b) for a, b, _ in got) == [(a, b) for a, b, _ in want], text
         for (_, _, h), (_, _, ws) in zip(sorted(got), want):
             assert hashes.setdefault(h, ws) == ws
@@ -361,7 +361,7 @@ def test_line_dedup_matches_brute_force(spark, odd, monkeypatch):
     more = [(20, f"New start.\n{passage}\nNew end."), (21, "One line of ten words, as it happens, right here. " * 9), (0, PASSAGE)]
     docs = table(spark, [(i, t and t[:2500]) for i, t in pairs(odd)] + more)
     order = sorted(enumerate(pairs(docs)), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0]))
-    kept = brute.kept_texts([(k, t) for k, (_, t) in order])
+    kept = brute.kept_texts([(k, t) for k, (_, t) in order], needed=False)
     want = Counter((i, None if t is None else kept[k], None if t is None else len(t)) for k, (i, t) in enumerate(pairs(docs)))
     done = line_dedup.remove_repeats(docs)
     assert done.columns == [*docs.columns, "n_lines", "n_removed"]
@@ -372,7 +372,7 @@ def test_line_dedup_matches_brute_force(spark, odd, monkeypatch):
         lines = brute.cut_lines(r["text"] or "")[0] if r["n_removed"] == 0 else None
         assert lines is None or len(lines) == r["n_lines"]
     # a table of repeated windows that is full lets every window through
-    monkeypatch.setattr(line_dedup.repeats, "__defaults__", (line_dedup.WINDOW, line_dedup.MIN_WORDS, 8))
+    monkeypatch.setattr(line_dedup, "BITS", 8)
     assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in line_dedup.remove_repeats(docs).collect()) == want
 
 
