@@ -13,7 +13,7 @@ import time
 from statistics import median
 
 from poolsift.plans.registry import QUERIES
-from poolsift.session import local_session
+from poolsift.session import clear, local_session
 
 HEADLINE = [
     # selection over the pool
@@ -68,10 +68,9 @@ def main():
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus)
     seconds = {}
     with tempfile.TemporaryDirectory(prefix="poolsift-bench-") as scratch:
-        spark.conf.set("spark.checkpoint.dir", scratch)
+        spark = local_session(cpus, checkpoint_dir=scratch)
         for name in names:
             runs = []
             for _ in range(1 if name in ONCE else 1 + RUNS):
@@ -79,6 +78,7 @@ def main():
                 consume(QUERIES[name](spark, folder))
                 runs.append(time.perf_counter() - start)
             seconds[name] = round(median(runs[1:] or runs), 3)
+            clear(spark)
     line = {
         "metric": "headline queries, median of three runs, total",
         "value": round(sum(seconds.values()), 3),

@@ -89,34 +89,148 @@ class HashedBayes:
         )
 
 
+@dataclass(frozen=True)
+class BayesCounts:
+    """What hashed naive Bayes knows of its training rows: words by class and bucket, rows by class.
+
+    Counts only add up, so a batch of new rows is all that ``plus`` reads.
+    """
+
+    words: DataFrame
+    rows: DataFrame
+    features: int
+    classes: int
+
+    def plus(self, batch: DataFrame, labels) -> "BayesCounts":
+        new = bayes_counts(batch, labels, self.features, store=False)
+        words = self.words.unionByName(new.words).groupBy("_code", "bucket").agg(F.sum("_n").alias("_n"))
+        rows = self.rows.unionByName(new.rows).groupBy("_code").agg(F.sum("_n").alias("_n"))
+        return BayesCounts(pin(words, "bayes_words"), pin(rows, "bayes_rows"), self.features, self.classes)
+
+    def model(self, smoothing: float = 1.0) -> HashedBayes:
+        """Every class is weighted by total / count, so that all are equally likely beforehand."""
+        of_class = self.rows.withColumn("_all", F.sum("_n").over(Window.partitionBy()))  # one row per label
+        weights = of_class.select("_code", (F.col("_all") / F.col("_n")).alias("weight"))
+        weighted = self.words.join(F.broadcast(weights), "_code").withColumn("_n", F.col("_n") * F.col("weight"))
+        totals = weighted.groupBy("_code").agg(F.sum("_n").alias("_n"))
+        whole = totals.agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n")))).scalar()
+        per_bucket = weighted.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n"))).alias("_by"))
+        every = self.words.sparkSession.range(self.features).select(F.col("id").cast("int").alias("bucket")).join(per_bucket, "bucket", "left")
+
+        def log(k):
+            n = F.coalesce(F.try_element_at("_by", F.lit(k)), F.lit(0.0))
+            of = F.coalesce(F.try_element_at("_whole", F.lit(k)), F.lit(0.0))
+            return F.log((n + smoothing) / (of + smoothing * self.features))
+
+        logs = every.withColumn("_whole", whole).select("bucket", F.array(*map(log, range(self.classes))).alias("logs"))
+        return HashedBayes(pin(logs, "hashed_bayes"), self.features, self.classes)
+
+
+def bayes_counts(labelled: DataFrame, labels, features: int = 1024, store: bool = True) -> BayesCounts:
+    """Counts of all labelled rows, from one reading of their texts for each of the two tables."""
+    coded = label_filter(labelled, labels).withColumn("_code", label_code("label", labels))
+    words = coded.select("_code", F.explode(hashed_words("description", features)).alias("bucket"))
+    words = words.groupBy("_code", "bucket").agg(F.count("*").alias("_n"))
+    rows = coded.groupBy("_code").agg(F.count("*").alias("_n"))
+    if store:
+        words, rows = pin(words, "bayes_words"), pin(rows, "bayes_rows")
+    return BayesCounts(words, rows, features, len(labels))
+
+
 def train_hashed_bayes(labelled: DataFrame, labels, features: int = 1024, smoothing: float = 1.0) -> HashedBayes:
     """Naive Bayes with every class weighted by total / count, so that all are equally likely beforehand."""
-    rows = label_filter(labelled, labels).withColumn("_code", label_code("label", labels))
-    weights = class_weights(rows, labels).select(F.col("code").alias("_code"), "weight")
-    found = rows.select("_code", F.explode(hashed_words("description", features)).alias("bucket"))
-    counts = found.groupBy("_code", "bucket").agg(F.count("*").alias("_n"))
-    weighted = counts.join(F.broadcast(weights), "_code").withColumn("_n", F.col("_n") * F.col("weight"))
-    totals = weighted.groupBy("_code").agg(F.sum("_n").alias("_n"))
-    whole = totals.agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n")))).scalar()
-    per_bucket = weighted.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n"))).alias("_by"))
-    every = rows.sparkSession.range(features).select(F.col("id").cast("int").alias("bucket")).join(per_bucket, "bucket", "left")
+    return bayes_counts(labelled, labels, features).model(smoothing)
+
+
+# --- multinomial logistic regression by full-batch steps ---------------------------------
+
+
+def _packed(table: DataFrame, key: str, value: str) -> Column:
+    """A table of bounded size as one array in order of its key."""
+    return table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])).scalar()
+
+
+@dataclass(frozen=True)
+class Softmax:
+    """Weights by bucket and class over idf-weighted hashed words; bucket ``features`` holds the intercepts.
+
+    A text's vector is its words' idf, added up by bucket and divided by the root of its word count.
+    """
 
-    def log(k):
-        n = F.coalesce(F.try_element_at("_by", F.lit(k)), F.lit(0.0))
-        of = F.coalesce(F.try_element_at("_whole", F.lit(k)), F.lit(0.0))
-        return F.log((n + smoothing) / (of + smoothing * features))
+    weights: DataFrame
+    idf: DataFrame
+    features: int
+    classes: int
 
-    logs = every.withColumn("_whole", whole).select("bucket", F.array(*map(log, range(len(labels)))).alias("logs"))
-    return HashedBayes(pin(logs, "hashed_bayes"), features, len(labels))
+    def logits(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``_buckets``) plus ``_logits``. The weights, ``features`` rows, travel as one value."""
+        scaled = self.weights.join(self.idf, "bucket").select("bucket", F.transform("w", lambda x: x * F.col("idf")).alias("w"))
+        start = F.array_repeat(F.lit(0.0), self.classes)
+        added = F.aggregate("_buckets", start, lambda acc, b: F.zip_with(acc, F.col("_w")[b], lambda x, y: x + y))
+        of = F.zip_with(added, F.col("_w")[self.features], lambda x, y: x / F.sqrt(F.greatest(F.size("_buckets"), F.lit(1))) + y)
+        return rows.withColumn("_w", _packed(scaled, "bucket", "w")).withColumn("_logits", of).drop("_w")
+
+    def predict(self, df: DataFrame, labels) -> DataFrame:
+        """As ``predict_many``; a map over the rows."""
+        rows = self.logits(df.withColumn("_buckets", hashed_words("description", self.features)))
+        scored = rows.withColumn("probs", softmax("_logits"))
+        return scored.select(
+            *df.columns,
+            predicted_class("probs").alias("predicted_class"),
+            label_name(predicted_class("probs"), labels).alias("predicted_label"),
+            confidence("probs").alias("confidence"),
+            "probs",
+        )
+
+
+def train_softmax(labelled: DataFrame, labels, features: int = 4096, steps: int = 20, rate: float = 0.5, ridge: float = 0.001) -> Softmax:
+    """Multinomial logistic regression: a fixed number of gradient steps over all rows, from zero weights.
+
+    Classes are weighted by total / count. Every step reads the written bucket arrays once, adds up the
+    residuals by bucket before the shuffle, and joins them with the table of weights. The result
+    depends on the rows alone, not on their order or partitions.
+    """
+    spark, classes = labelled.sparkSession, len(labels)
+    rows = label_filter(labelled, labels).withColumn("_code", label_code("label", labels))
+    weights = class_weights(rows, labels).select(F.col("code").alias("_code"), "weight")
+    rows = rows.select("_code", hashed_words("description", features).alias("_buckets")).join(F.broadcast(weights), "_code")
+    rows = pin(rows, "softmax_rows")
+    whole = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    n, total = whole.select("n").scalar(), whole.select("weight").scalar()
+    seen = rows.select(F.explode(F.array_distinct("_buckets")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+    every = spark.range(features + 1).select(F.col("id").cast("int").alias("bucket"))
+    smooth = F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    idf = every.join(seen, "bucket", "left").select("bucket", F.when(F.col("bucket") == features, 1.0).otherwise(smooth).alias("idf"))
+    idf = pin(idf, "softmax_idf")
+    current = pin(every.select("bucket", F.array_repeat(F.lit(0.0), classes).alias("w")), "softmax_weights")
+    hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == F.col("_code"), 1.0).otherwise(0.0))
+    for _ in range(steps):
+        scored = Softmax(current, idf, features, classes).logits(rows)
+        off = F.zip_with(softmax("_logits"), hot, lambda p, y: (p - y) * F.col("weight"))
+        # the intercept's feature is 1, a word's one over the root of the word count
+        parts = F.concat(
+            F.transform("_buckets", lambda b: F.struct(b.alias("bucket"), (1.0 / F.sqrt(F.size("_buckets"))).alias("x"))),
+            F.array(F.struct(F.lit(features).alias("bucket"), F.lit(1.0).alias("x"))),
+        )
+        each = scored.select(off.alias("_off"), F.explode(parts).alias("_p")).select("_off", "_p.bucket", "_p.x")
+        slope = each.groupBy("bucket").agg(F.array(*(F.sum(F.col("_off")[k] * F.col("x")) for k in range(classes))).alias("g"))
+        stepped = current.join(idf, "bucket").join(slope, "bucket", "left").withColumn("_total", total)
+        zero = F.array_repeat(F.lit(0.0), classes)
+        moved = F.zip_with("w", F.coalesce("g", zero), lambda w, g: w - rate * (g * F.col("idf") / F.col("_total") + ridge * w))
+        current = pin(stepped.select("bucket", moved.alias("w")), "softmax_weights")
+    return Softmax(current, idf, features, classes)
 
 
 def train_classifier(labelled: DataFrame, labels, features: int = 4096, max_iter: int = 20, algorithm: str = "logistic"):
     """A fitted model over all labelled rows, every class weighted by total / count.
 
-    ``algorithm`` is ``logistic`` or ``bayes`` on TF-IDF, or ``hashed`` for naive Bayes on word hashes.
+    ``algorithm`` is ``logistic`` or ``bayes`` on TF-IDF, ``hashed`` for naive Bayes on word hashes, or
+    ``softmax`` for logistic regression on them by ``max_iter`` full-batch steps.
     """
     if algorithm == "hashed":
         return train_hashed_bayes(labelled, labels, features)
+    if algorithm == "softmax":
+        return train_softmax(labelled, labels, features, max_iter)
     rows = label_filter(labelled, labels).withColumn("_code", label_code("label", labels).cast("double"))
     weights = class_weights(rows, labels).select("label", "weight")
     weighted = _with_text(rows).join(F.broadcast(weights), "label").select("_text", "_code", "weight")
@@ -131,7 +245,7 @@ def train_classifier(labelled: DataFrame, labels, features: int = 4096, max_iter
 
 def predict_many(df: DataFrame, model, labels) -> DataFrame:
     """Adds ``predicted_class, predicted_label, confidence, probs``; a map over the rows."""
-    if isinstance(model, HashedBayes):
+    if isinstance(model, (HashedBayes, Softmax)):
         return model.predict(df, labels)
     keep = df.columns
     scored = model.transform(_with_text(df))

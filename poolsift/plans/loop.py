@@ -1,8 +1,8 @@
 """The selection loop: score, select, reveal, train, evaluate, log, decide.
 
-The texts are never rewritten. What changes is narrow and is written per iteration as
-Parquet below the shared folder: which ids were revealed, and the scores of the rest.
-That cuts the lineage of an iterative plan and survives the loss of executors. The
+The texts are written once, bucketed by id. What changes is narrow and is written per iteration to
+tables with the same buckets: which ids were revealed, and the scores of the rest. No iteration
+shuffles a text. That cuts the lineage of an iterative plan and survives the loss of executors. The
 driver sees one metrics row per iteration.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from poolsift.functions.columns import present, uncertainty
 from poolsift.functions.ranking import hash_positions
 from poolsift.operators import evaluation, pool as pools, sampling, scoring, selection
+from poolsift.operators.store import PoolStore
 from poolsift.session import fresh_path
 from poolsift.sources.files import RESULTS_SCHEMA, next_test_id
 
@@ -42,6 +43,10 @@ class LoopParams:
     success_rate: float | None = 0.85
     min_gain: float | None = None
     run_by: str | None = None
+    # buckets of the stored pool; the session's shuffle partitions if not given
+    buckets: int | None = None
+    # changes of so many iterations are folded into one row per id
+    compact_every: int = 4
 
 
 @dataclass
@@ -89,44 +94,57 @@ STRATEGIES: dict[str, Strategy] = {
 
 
 class _State:
-    """Revealed ids and current scores as Parquet, joined to the texts on demand."""
+    """The pool as a store: its texts are written once, reveals and scores are changes that meet them by bucket."""
 
-    def __init__(self, pool: DataFrame):
+    def __init__(self, pool: DataFrame, buckets: int | None = None):
         self.spark = pool.sparkSession
-        self.texts = pool.select("id", "description", "label")
+        empty = {"model_prediction": F.lit(None).cast("string"), "uncertainty_score": F.lit(None).cast("double")}
+        self.store = PoolStore(pool.withColumns(empty), buckets)
         self.folder = fresh_path(self.spark, "loop")
-        self._write(pool.filter("is_labelled").select("id"), "revealed", 0)
         self.scores = self.spark.createDataFrame([], "id long, model_prediction string, uncertainty_score double")
+        self.counts: scoring.BayesCounts | None = None
 
     def _write(self, df: DataFrame, name: str, step: int) -> DataFrame:
         path = f"{self.folder}/{name}/step={step}"
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
-    def revealed(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/revealed").select("id")
+    def pool(self) -> DataFrame:
+        return self.store.read()
 
     def rows(self) -> DataFrame:
-        known = self.revealed().withColumn("_known", F.lit(True))
-        marked = self.texts.join(known, "id", "left")
-        return marked.select("id", "description", F.col("_known").isNotNull().alias("is_labelled"), "label")
-
-    def pool(self) -> DataFrame:
-        return self.rows().join(self.scores, "id", "left").select(*pools.POOL_COLUMNS)
+        return self.pool().select("id", "description", "is_labelled", "label")
 
     def reveal(self, ids: DataFrame, step: int) -> int:
-        return self._write(ids.select("id"), "revealed", step).count()
+        revealed = self._write(ids.select("id"), "revealed", step)
+        self.store.mark_labelled(revealed)
+        return revealed.count()
 
     def rescore(self, predictions: DataFrame, step: int) -> None:
         self.scores = self._write(scoring.prediction_columns(predictions), "scores", step)
+        self.store.save_predictions(self.scores)
 
     def batch(self, selected: DataFrame, step: int) -> DataFrame:
         """Pins a selection, so later steps do not run the strategy again."""
         keep = [c for c in ("id", "label", "rank", "uncertainty_score") if c in selected.columns]
         return self._write(selected.select(*keep), "batch", step)
 
-
-def _train(state: _State, labels, params: LoopParams):
+    def texts_of(self, ids: DataFrame, n: int) -> DataFrame:
+        """Rows of at most ``n`` ids. A list of ids prunes buckets and row groups of the texts; more are joined by bucket."""
+        if n > selection.ID_LIST:
+            return self.rows().join(ids.select("id"), "id", "left_semi")
+        return self.rows().filter(F.col("id").isin([r["id"] for r in ids.select("id").collect()]))
+
+
+def _train(state: _State, labels, params: LoopParams, batch: DataFrame | None = None):
+    """A model of all revealed rows. Hashed Bayes adds the counts of ``batch`` to those it has."""
+    if params.algorithm == "hashed":
+        if state.counts is None or batch is None:
+            state.counts = scoring.bayes_counts(pools.labelled_rows(state.rows()), labels, params.features)
+        else:
+            wanted = params.n * (params.candidate_factor if params.stratified_batch else 1)
+            state.counts = state.counts.plus(state.texts_of(batch, wanted), labels)
+        return state.counts.model()
     known = pools.labelled_rows(state.rows())
     return scoring.train_classifier(known, labels, params.features, params.train_iterations, params.algorithm)
 
@@ -162,6 +180,9 @@ class Step:
         return self.accuracy - self.previous_accuracy if known else None
 
 
+# The reasons that stop rules write to the log, here and in ``operators.stopping``.
+
+
 def _budget_rule(params: LoopParams, step: Step) -> str | None:
     if step.plateau:
         return "uncertainty_plateau"
@@ -227,8 +248,8 @@ def active_learning_loop(
         first_id = (results.agg(F.max("id")).first()[0] or 0) + 1
         test_id = str(next_test_id(results).first()[0])
 
-    state = _State(pool)
-    if state.revealed().isEmpty():
+    state = _State(pool, params.buckets)
+    if state.rows().filter("is_labelled").isEmpty():
         seeds = sampling.random_sampling(pools.usable(state.rows()), params.base_train_size, params.seed)
         state.reveal(seeds, -1)
     model = _train(state, labels, params)
@@ -239,7 +260,7 @@ def active_learning_loop(
             "id": first_id + iteration,
             "test_id": test_id,
             "iteration_no": iteration,
-            "model_name": {"logistic": "tfidf-logistic", "bayes": "tfidf-bayes"}.get(params.algorithm, "hashed-bayes"),
+            "model_name": {"logistic": "tfidf-logistic", "bayes": "tfidf-bayes", "softmax": "hashed-softmax"}.get(params.algorithm, "hashed-bayes"),
             "train_data_size": size,
             "method": name,
             "data_size": params.max_samples,
@@ -292,7 +313,9 @@ def active_learning_loop(
             before = mean
 
         labelled += state.reveal(chosen, iteration)
-        model = _train(state, labels, params)
+        model = _train(state, labels, params, chosen)
+        if iteration % params.compact_every == 0:
+            state.store.compact()
         found = _evaluate(test, model, labels, state, iteration)
         plateau = bool(params.plateau_patience) and mean is not None and streak >= params.plateau_patience
         pool_mean = state.scores.agg(F.avg("uncertainty_score")).first()[0]
@@ -312,4 +335,5 @@ def active_learning_loop(
         if reason != "continue":
             break
         iteration += 1
+    state.store.drop()
     return spark.read.schema(RESULTS_SCHEMA).parquet(log_path)
