@@ -112,7 +112,8 @@ class BayesCounts:
         of_class = self.rows.withColumn("_all", F.sum("_n").over(Window.partitionBy()))  # one row per label
         weights = of_class.select("_code", (F.col("_all") / F.col("_n")).alias("weight"))
         weighted = self.words.join(F.broadcast(weights), "_code").withColumn("_n", F.col("_n") * F.col("weight"))
-        totals = weighted.groupBy("_code").agg(F.sum("_n").alias("_n"))
+        # whole numbers are added up, then weighted: the order of rows changes no bit
+        totals = self.words.groupBy("_code").agg(F.sum("_n").alias("_n")).join(F.broadcast(weights), "_code").withColumn("_n", F.col("_n") * F.col("weight"))
         whole = totals.agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n")))).scalar()
         per_bucket = weighted.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("_code", "_n"))).alias("_by"))
         every = self.words.sparkSession.range(self.features).select(F.col("id").cast("int").alias("bucket")).join(per_bucket, "bucket", "left")

@@ -51,6 +51,112 @@ def _bayes_sql(features):
         select id, list(e / t order by label) probs from (select *, sum(e) over (partition by id) t from ex) group by id)"""
 
 
+def _words_sql(features):
+    """(id, b, n): how often each bucket of hashed words occurs in a text; and the labels."""
+    return f"""
+        tf as materialized (
+          select id, b, count(*) n from (
+            select id, ('0x' || substr(md5(w), 1, 6))::bigint % {features} b
+            from (select id, unnest(string_split_regex(lower(description), '[ \\t\\n\\r]+')) w from fx_rows) where w <> '')
+          group by id, b),
+        cls as (select unnest({LABELS_SQL}) label),"""
+
+
+def _chosen(probs="probs"):
+    return f"({LABELS_SQL})[list_position({probs}, list_max({probs}))]"
+
+
+def _softmax_sql(query, features, max_iter, rate=0.5, ridge=0.001):
+    """Full-batch gradient steps written out, then ``query`` over ``sm`` (id, probs) or the weights ``w``."""
+    parts = [
+        _words_sql(features),
+        f"""
+        seen as (select id, label from fx_pool where is_labelled and description <> '' and label in (select label from cls)),
+        wt as (select label, (select count(*) from seen) / greatest(count(seen.id), 1) weight from cls left join seen using (label) group by label),
+        total as (select sum(weight) s from seen join wt using (label)),
+        df as (select b, count(*) df from tf join seen using (id) group by b),
+        idf as materialized (
+          select b, ln(((select count(*) from seen) + 1.0)::double / (coalesce(df, 0) + 1.0)) idf from range({features}) r(b) left join df using (b)
+          union all select {features}, 1.0),
+        lens as (select id, sum(n) s from tf group by id),
+        vec as materialized (
+          select id, b, n / sqrt(s) v from tf join lens using (id) union all select id, {features}, 1.0 from fx_rows),
+        w0 as (select b, label, 0.0::double w from idf cross join cls),""",
+    ]
+    for k in range(max_iter + 1):
+        rows = "seen" if k < max_iter else "(select id, null as label from fx_rows)"
+        parts.append(f"""
+        z{k} as materialized (
+          select vec.id, w{k}.label, sum(v * idf * w) z from vec join {rows} t on t.id = vec.id join idf using (b) join w{k} on w{k}.b = vec.b group by all),
+        e{k} as (select id, label, exp(z - max(z) over (partition by id)) e from z{k}),
+        p{k} as materialized (select id, label, e / sum(e) over (partition by id) p from e{k}),""")
+        if k < max_iter:
+            parts.append(f"""
+        r{k} as (select p{k}.id, p{k}.label, (p - case when seen.label = p{k}.label then 1 else 0 end) * weight r
+          from p{k} join seen on seen.id = p{k}.id join wt on wt.label = seen.label),
+        g{k} as materialized (select b, label, sum(r * v) g from r{k} join vec using (id) group by all),
+        w{k + 1} as materialized (
+          select w{k}.b, w{k}.label, w - {rate} * (coalesce(g, 0) * idf / (select s from total) + {ridge} * w) w
+          from w{k} join idf using (b) left join g{k} on g{k}.b = w{k}.b and g{k}.label = w{k}.label),""")
+    parts.append(f"""
+        sm as (select id, list(p order by label) probs from p{max_iter} group by id)
+        {query.replace("WEIGHTS", f"w{max_iter}")}""")
+    return "".join(parts)
+
+
+def _loop_sql(n, max_iterations, features):
+    """Every iteration of the loop written out: a model of the known rows, its scores, the rows it chooses."""
+    parts = [
+        _words_sql(features),
+        """
+        rest as materialized (
+          select id, label, is_labelled from fx_pool where id not in (select id from fx_test) and description <> '' and label <> ''),
+        tested as (select id, label from fx_test where description <> '' and label in (select label from cls)),
+        known0 as (select id, label from rest where is_labelled),""",
+    ]
+    for k in range(max_iterations + 1):
+        parts.append(f"""
+        wt{k} as (select label, (select count(*) from known{k}) / greatest(count(known{k}.id), 1) weight from cls left join known{k} using (label) group by label),
+        cnt{k} as (select label, b, sum(n) * any_value(weight) n from tf join known{k} using (id) join wt{k} using (label) group by label, b),
+        tot{k} as (select label, coalesce(sum(n), 0) s from cls left join cnt{k} using (label) group by label),
+        lg{k} as materialized (
+          select tot{k}.label, r.b, ln((coalesce(n, 0) + 1) / (s + {features})) l
+          from tot{k} cross join range({features}) r(b) left join cnt{k} on cnt{k}.label = tot{k}.label and cnt{k}.b = r.b),
+        asked{k} as (select id from tested union all select id from rest where id not in (select id from known{k})),
+        sc{k} as (
+          select a.id, cls.label, coalesce(sum(n * l), 0) s from asked{k} a cross join cls
+          left join tf on tf.id = a.id left join lg{k} on lg{k}.b = tf.b and lg{k}.label = cls.label group by a.id, cls.label),
+        ex{k} as (select id, label, exp(s - max(s) over (partition by id)) e from sc{k}),
+        pr{k} as materialized (
+          select id, list(e / t order by label) probs from (select *, sum(e) over (partition by id) t from ex{k}) group by id),
+        hit{k} as (select tested.label, {_chosen()} predicted from pr{k} join tested using (id)),
+        f1{k} as (
+          select cls.label, 2.0 * count(*) filter (hit.label = cls.label and predicted = cls.label)
+            / greatest(count(*) filter (hit.label = cls.label) + count(*) filter (predicted = cls.label), 1) f1
+          from cls cross join hit{k} hit group by cls.label),
+        open{k} as materialized (select id, rest.label, round(1 - list_max(probs), 6) u from pr{k} join rest using (id)),
+        batch{k} as (select id, label, u from open{k} order by u desc, id limit {n}),
+        known{k + 1} as (select id, label from known{k} union all select id, label from batch{k}),""")
+    rows = [
+        """select 1 as id, '1' as test_id, 0 as iteration_no, 0 as train_data_size, 'BASE' as method,
+          (select avg(case when label = predicted then 1.0 else 0.0 end) from hit0) accuracy, null::double macro_f1,
+          null::double avg_uncertainty_pool, null::double selected_samples_avg_uncertainty, 'base_classifier' as notes"""
+    ]
+    for k in range(1, max_iterations + 1):
+        note = "continue" if k < max_iterations else f"max_iterations_reached ({k})"
+        size = " + ".join(f"(select count(*) from batch{i})" for i in range(k))
+        rows.append(f"""select {k + 1}, '1', {k}, {size}, 'uncertainty_sampling',
+          (select avg(case when label = predicted then 1.0 else 0.0 end) from hit{k}), (select avg(f1) from f1{k}),
+          (select avg(u) from open{k - 1}), (select avg(u) from batch{k - 1}), '{note}'
+          where exists (select 1 from batch{k - 1})""")
+    measures = ", ".join(r6(m, m) for m in ("accuracy", "macro_f1", "avg_uncertainty_pool", "selected_samples_avg_uncertainty"))
+    parts.append(f"""
+        log as ({" union all ".join(rows)})
+        select cast(id as bigint) id, test_id, cast(iteration_no as bigint) iteration_no, cast(train_data_size as bigint) train_data_size,
+          method, {measures}, notes from log""")
+    return "".join(parts)
+
+
 VIEWS = {
     "fx_rows": "select doc_id id, text description, lang as label, source from documents",
     "fx_scores": """
@@ -325,6 +431,20 @@ _RAW = {
         case when l.quality = 1 then 'good' else r.label end as label from fx_rows r left join labels l on l.doc_id = r.id""",
     "mark_labelled": """select p.id, p.is_labelled or e.vec_id is not null is_labelled, p.label
         from fx_pool p left join embeddings e on e.vec_id = p.id and e.label = 3""",
+    "store_updates": f"""
+        best as (
+          select *, row_number() over (partition by id order by round(1 - list_max(probs), 6) desc, list_position(probs, list_max(probs)) desc) k
+          from fx_scores where member > 0),
+        again as (select s.* from fx_scores s join labels l on l.doc_id = s.id and l.toxic = 1 where member = 0),
+        last as (
+          select id, probs from again union all select id, probs from best where k = 1 and id not in (select id from again))
+        select p.id, coalesce(l.quality = 1, false) or e.vec_id is not null is_labelled,
+          case when l.quality = 1 then 'good' else p.label end as label,
+          case when s.id is not null then cast(list_position(s.probs, list_max(s.probs)) - 1 as varchar) else p.model_prediction end model_prediction,
+          round(case when s.id is not null then 1 - list_max(s.probs) else p.uncertainty_score end, 6) + 0.0 uncertainty_score,
+          length(p.description) chars
+        from fx_pool p left join labels l on l.doc_id = p.id left join embeddings e on e.vec_id = p.id and e.label = 3
+        left join last s on s.id = p.id""",
     "reset_pool": """select id, false is_labelled, null::varchar as label, null::varchar model_prediction,
         null::double uncertainty_score from fx_rows""",
     "reset_counts": """select count(*) filter (description is not null) labels_cleared,
@@ -426,6 +546,28 @@ _RAW = {
         select r.id, r.label, list_position(probs, list_max(probs)) - 1 predicted_class,
           ({LABELS_SQL})[list_position(probs, list_max(probs))] predicted_label, {r6('list_max(probs)', 'confidence')}
         from fx_rows r join {_bayes_sql(256)} s on s.id = r.id""",
+    "train_logistic": _softmax_sql(
+        f"""select p.label, {_chosen()} predicted_label, count(*) as rows from fx_pool p join sm using (id)
+        where not p.is_labelled and p.description <> '' and p.label <> '' group by 1, 2""",
+        1024,
+        8,
+    ),
+    "logistic_weights": _softmax_sql(f"select b as bucket, label, {r6('w', 'weight')} from WEIGHTS", 1024, 8),
+    "model_predict_logistic": _softmax_sql(
+        """select p.id, p.is_labelled,
+          case when sm.id is null then p.model_prediction else cast(list_position(probs, list_max(probs)) - 1 as varchar) end model_prediction,
+          round(case when sm.id is null then p.uncertainty_score else 1 - list_max(probs) end, 6) + 0.0 uncertainty_score
+        from fx_pool p left join sm on sm.id = p.id and not p.is_labelled and p.description <> ''""",
+        1024,
+        8,
+    ),
+    "predict_many_logistic": _softmax_sql(
+        f"""select r.id, r.label, list_position(probs, list_max(probs)) - 1 predicted_class, {_chosen()} predicted_label,
+          {r6('list_max(probs)', 'confidence')} from fx_rows r join sm using (id)""",
+        1024,
+        8,
+    ),
+    "active_learning_loop": _loop_sql(50, 3, 1024),
     "committee_predict": f"""
         select p.id, cast(member as bigint) as member, list_position(probs, list_max(probs)) - 1 predicted_class, {r6('list_max(probs)', 'confidence')}
         from fx_pool p join (
@@ -672,13 +814,14 @@ _RAW = {
           unnest([embedding[17:32]::double[], embedding[33:48]::double[], embedding[49:64]::double[]]) o from embeddings)
         select column_name, round(avg(list_cosine_similarity(t, o)), 6) + 0.0 as similarity from parts group by column_name""",
 }
+_RAW["store_compacted"] = _RAW["store_updates"]
 _RAW["write_json"] = _RAW["compare_models"]
 
 
 def _build(body: str) -> str:
     """Bodies that open with their own common table expressions continue the list of views."""
     text = body.strip()
-    if re.match(r"^\w+ as \(", text):
+    if re.match(r"^\w+ as (materialized )?\(", text):
         views = _needed(text, [])
         listed = [f"{v} as materialized ({VIEWS[v]})" for v in views]
         return "with " + ",\n".join([*listed, ""]) + text if listed else "with " + text

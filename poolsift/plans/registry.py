@@ -21,6 +21,7 @@ from poolsift.operators import (
     stopping,
     winners,
 )
+from poolsift.operators.store import PoolStore
 from poolsift.plans.fixtures import LABELS, Tables
 from poolsift.plans.loop import LoopParams, active_learning_loop
 from poolsift.session import fresh_path, pin
@@ -347,6 +348,40 @@ def mark_labelled(t):
     return pool.mark_labelled(t.pool, ids).select("id", "is_labelled", "label")
 
 
+def _stored_updates(t, compact: bool) -> DataFrame:
+    """Predictions of members 1 and 2 together, labels from quality, flags, then member 0 again where toxic is 1."""
+    store = PoolStore(t.pool.withColumn("is_labelled", F.lit(False)))
+    scored = t.scores.select(
+        "id",
+        "member",
+        c.predicted_class("probs").cast("string").alias("model_prediction"),
+        c.rounded(c.uncertainty("probs")).alias("uncertainty_score"),
+    )
+    store.save_predictions(scored.filter("member > 0"))
+    quality = t.raw("labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, F.lit("good")).alias("label"))
+    store.apply_labels(quality)
+    if compact:
+        store.compact()
+    store.mark_labelled(t.embeddings.filter("cluster = 3"))
+    toxic = t.raw("labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    store.save_predictions(scored.filter("member = 0").join(toxic, "id", "left_semi"))
+    if compact:
+        store.compact()
+    return store.read().select("id", "is_labelled", "label", "model_prediction", "uncertainty_score", F.length("description").alias("chars"))
+
+
+@query
+def store_updates(t):
+    """Changes in order, latest first, folded when read."""
+    return _stored_updates(t, compact=False)
+
+
+@query
+def store_compacted(t):
+    """The same with changes compacted in between and at the end."""
+    return _stored_updates(t, compact=True)
+
+
 @query
 def reset_pool(t):
     return pool.reset_pool(t.pool).select("id", "is_labelled", "label", "model_prediction", "uncertainty_score")
@@ -522,6 +557,39 @@ def predict_many(t):
     return scored.drop("description", "probs")
 
 
+SOFTMAX = {"features": 1024, "max_iter": 8}
+
+
+def _softmax(t):
+    return scoring.train_classifier(_known(t), LABELS, **SOFTMAX, algorithm="softmax")
+
+
+@query
+def train_logistic(t):
+    """Confusion counts of logistic regression on rows it has not seen."""
+    rest = pool.unlabelled_with_labels(t.pool)
+    pred = scoring.predict_many(rest.select("id", "description", "label"), _softmax(t), LABELS)
+    return pred.groupBy("label", "predicted_label").agg(F.count("*").alias("rows"))
+
+
+@query
+def logistic_weights(t):
+    """Its coefficients by bucket and label; the last bucket is the intercept."""
+    weights = _softmax(t).weights.select("bucket", F.posexplode("w").alias("code", "weight"))
+    return weights.select("bucket", c.label_name("code", LABELS).alias("label"), "weight")
+
+
+@query
+def model_predict_logistic(t):
+    return scoring.model_predict(t.pool, _softmax(t), LABELS).select("id", "is_labelled", "model_prediction", "uncertainty_score")
+
+
+@query
+def predict_many_logistic(t):
+    scored = scoring.predict_many(t.rows.select("id", "description", "label"), _softmax(t), LABELS)
+    return scored.drop("description", "probs")
+
+
 @query
 def committee_predict(t):
     """Two learners, a member that cannot be loaded, and one that fails while it scores."""
@@ -852,13 +920,16 @@ def iteration_report(t):
     return stopping.iteration_report(_log(t))
 
 
+LOOP = {"n": 50, "max_iterations": 3, "features": 1024}
+
+
 def _run_loop(t):
-    """Two iterations of uncertainty sampling on stored parts; the log the loop writes."""
+    """Three iterations of uncertainty sampling with the hashed learner, on stored parts; the log the loop writes."""
     test, rest = (pin(part, "part") for part in pool.split_test(t.pool, 0.2))
-    params = LoopParams(n=20, max_iterations=2, features=512, train_iterations=5)
-    log = active_learning_loop(rest, test, "uncertainty_sampling", LABELS, params)
-    return runs.extract_metric(log, ["accuracy", "macro_f1"]).select(
-        "id", "test_id", "iteration_no", "train_data_size", "method", "accuracy", "macro_f1", "notes"
+    log = active_learning_loop(rest, test, "uncertainty_sampling", LABELS, LoopParams(**LOOP, algorithm="hashed"))
+    measures = ["accuracy", "macro_f1", "avg_uncertainty_pool", "selected_samples_avg_uncertainty"]
+    return runs.extract_metric(log, measures).select(
+        "id", "test_id", "iteration_no", "train_data_size", "method", *measures, "notes"
     )
 
 
