@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from poolsift.llm.texts import WORD, numbered, once
+from poolsift.llm.texts import WORD, lowered, numbered, once
 
 #: Phrases that count wherever they stand, exactly. Fixed values.
 BASE = {
@@ -83,7 +83,7 @@ def scan(
         F.lit(None).cast("string").alias("label"), F.lit(True).alias("exact"), F.lit(0).alias("pairs"), F.lit(-1).alias("place"), F.lit(0).cast("long").alias("pair")
     )
     rows = numbered(docs, id_col, text_col)
-    words = rows.select("row", "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    words = rows.select("row", "doc_id", F.regexp_extract_all(lowered("text"), F.lit(WORD), F.lit(0)).alias("words"))
 
     def pairs(ws):
         hashes = F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))

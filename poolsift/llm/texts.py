@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,11 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: s
     return docs.join(bad, key, "left_anti")
 
 
+def lowered(text: Column | str) -> Column:
+    """A-Z in lower case, all other letters as they are."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once per row however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)

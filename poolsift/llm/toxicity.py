@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsift.llm import labelled
-from poolsift.llm.texts import WORD, numbered, slices, without
+from poolsift.llm.texts import WORD, lowered, numbered, slices, without
 from poolsift.session import pin
 
 #: Lexicon entries at most, log-odds from which a unit is one, toxic texts it must be found in, and
@@ -58,7 +58,7 @@ def units(words):
 
 def learn_lexicon(texts: DataFrame) -> dict[str, float]:
     """Log-odds by unit from (text, label) rows; one row for each unit crosses to the driver."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(lowered("text"), F.lit(WORD), F.lit(0))
     sizes = texts.agg(F.sum("label").alias("toxic"), F.count("*").alias("all")).first()
     toxic, clean = sizes["toxic"] or 0, sizes["all"] - (sizes["toxic"] or 0)
     found = texts.select("label", F.explode(units(words)).alias("unit")).groupBy("unit")

@@ -48,6 +48,11 @@ def test_license_notices_survive_small_changes(spark):
     assert labels == {1: {"mit-text"}, 2: set()}
 
 
+def test_license_lowers_only_a_to_z(spark):
+    text = "the por\u212a is released under CC BY"  # the Kelvin sign is no k
+    assert license_scan.scan(table(spark, [(1, text)])).first()["n_words"] == 7
+
+
 def test_license_empty_table(empty):
     assert license_scan.scan(empty).count() == 0
 
@@ -175,6 +180,13 @@ def test_toxicity_learns_held_out(spark):
     assert toxicity.keep_civil(docs, known).columns == docs.columns
 
 
+def test_lexicon_hits_the_words_it_was_learned_from(spark):
+    rows = [(f"plain words ÄRGER number {i}", 1) for i in range(9)] + [(f"plain words number {i}", 0) for i in range(9)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert "Ärger" in lexicon and "ärger" not in lexicon  # only A-Z are lowered
+    assert dict(zip(toxicity.FEATURES, toxicity.describe("ÄRGER", lexicon)))["hits_any"] == 1
+
+
 def test_toxicity_features():
     lexicon = {"idiot": 5.0, "loser": 6.0, "lowei~": 4.0}
     text = "You utter l0s3r!! aaargh SSSTOP loweing, yyy (idiot)"
