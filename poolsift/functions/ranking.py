@@ -182,6 +182,42 @@ def up_to_cut(df: DataFrame, cut: DataFrame, id_col: str, seed, groups=(), keep=
     return joined.filter(inside).select(*df.columns)
 
 
+def fold_cuts(narrow: DataFrame, k: int, groups=()) -> DataFrame:
+    """Per group of an ``eligible`` table, ``_cuts``: the last (hash, id) of each of k ranges but the final one.
+
+    All cuts are found at once: bucket counts tell in which buckets they fall, and only those
+    buckets are sorted. Range sizes differ by one at most, larger ones first; groups may be null.
+    """
+    groups = list(groups)
+    keyed = narrow.withColumn("_bucket", F.substring("_hash", 1, HASH_PREFIX))
+    counts = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    by_bucket = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    table = counts.select(
+        *groups,
+        "_bucket",
+        "_n",
+        F.sum("_n").over(by_bucket).alias("_through"),
+        F.sum("_n").over(Window.partitionBy(*groups)).alias("_total"),
+    )
+
+    def quota(j):
+        return j * F.floor(F.col("_total") / k) + F.least(j, F.col("_total") % k)
+
+    needs = F.transform(F.sequence(F.lit(1), F.lit(k - 1)) if k > 1 else F.array().cast("array<int>"), quota)
+    before = F.col("_through") - F.col("_n")
+    inside = F.transform(F.filter(needs, lambda q: (q > before) & (q <= F.col("_through"))), lambda q: q - before)
+    edges = table.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_bucket").alias("_in"), inside.alias("_needs"))
+    edges = edges.filter(F.size("_needs") > 0)
+    same = F.col("_bucket") == F.col("_in")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    # at most k - 1 buckets of each group are left; windows hold one bucket of one group
+    along = Window.partitionBy(*groups, "_bucket").orderBy("_hash", "_id")
+    placed = keyed.join(edges, same).withColumn("_rn", F.row_number().over(along).cast("long"))
+    cuts = placed.filter(F.array_contains(F.transform("_needs", lambda q: q.cast("long")), F.col("_rn")))
+    return cuts.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("_hash", "_id"))).alias("_cuts"))
+
+
 def first_by_hash(df: DataFrame, id_col: str, seed, quota) -> DataFrame:
     """The first ``quota`` rows in seeded hash order."""
     size = quota if callable(quota) else (lambda total: F.lit(int(quota)).cast("long"))

@@ -13,14 +13,15 @@ from poolsift.functions.ranking import (
     cut_of,
     eligible,
     first_by_hash,
+    fold_cuts,
     hash_cut,
     hash_int,
-    hash_positions,
     positions,
     seeded_hash,
     up_to_cut,
 )
 from poolsift.operators.pool import unlabelled_rows
+from poolsift.session import pin
 
 # Fixed value: this many of the smallest classes may be taken whole.
 MINORITY_CLASSES = 4
@@ -227,18 +228,34 @@ def stratified_subsample(ranked: DataFrame, n: int, seed=42, rank: str = "rank",
 
 
 def kfold(df: DataFrame, k: int = 5, seed=42, key: str = "id") -> DataFrame:
-    """Adds ``fold`` 0..k-1, equally large."""
+    """Adds ``fold`` 0..k-1: consecutive ranges of the seeded hash order, sizes at most one apart."""
     return _fold(df, k, seed, key, [])
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed=42, key: str = "id", label_col: str = "label") -> DataFrame:
-    """Adds ``fold`` 0..k-1, equally large within every label."""
+    """Adds ``fold`` 0..k-1, sizes at most one apart within every label."""
     return _fold(df, k, seed, key, [label_col])
 
 
 def _fold(df, k, seed, key, groups):
-    numbers = hash_positions(df.filter(F.col(key).isNotNull()).select(key, *groups), key, seed, groups, alias="_pos")
-    fold = ((F.col("_pos") - 1) % k).cast("int")
-    folds = numbers.select(F.col(key).alias("_key"), fold.alias("fold"))
-    # rows without a key have no place in the order; they go to the first fold
-    return df.join(folds, df[key] == folds["_key"], "left").select(*df.columns, F.coalesce("fold", F.lit(0)).alias("fold"))
+    """A fold is the number of cuts before a row: a comparison, so that no wide row is shuffled.
+
+    Rows of equal keys share a fold. Rows without a key have no place in the order; they go to the
+    first fold. The written cuts, k - 1 for each label, are broadcast if their size allows it.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    narrow = eligible(df.filter(F.col(key).isNotNull()), key, seed, groups)
+    cuts = fold_cuts(narrow, k, groups)
+    if groups:
+        named = pin(cuts.select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_cuts"), "cuts")
+        same = F.lit(True)
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+        joined = df.join(named, same, "left")
+    else:
+        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    mine = F.struct(seeded_hash(key, seed).alias("_hash"), F.col(key).alias("_id"))
+    passed = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.when(c < mine, 1).otherwise(0))
+    fold = F.when(F.col(key).isNull(), 0).otherwise(F.coalesce(passed, F.lit(0)))
+    return joined.select(*df.columns, fold.cast("int").alias("fold"))

@@ -3,13 +3,16 @@
 import logging
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolsift.functions.columns import (
     confidence,
@@ -303,11 +306,60 @@ def committee_predict(df: DataFrame, models: dict, labels) -> DataFrame:
     return whole
 
 
-def embed_text(df: DataFrame, features: int = 256) -> DataFrame:
-    """``id, embedding``: normalised TF-IDF of the text, for clustering."""
-    stages = [*_text_stages(features), Normalizer(inputCol="_features", outputCol="_unit")]
-    rows = _with_text(df.filter(present("description"))).select("id", "_text")
-    return Pipeline(stages=stages).fit(rows).transform(rows).select("id", vector_to_array("_unit").alias("embedding"))
+def embed_text(df: DataFrame, features: int = 256, cells: int = 1 << 16) -> DataFrame:
+    """``id, embedding``: unit vectors of signed hashed TF-IDF, for clustering; rows without a text are left out.
+
+    A word's md5 gives its cell (hex digits 1 to 6), in which document frequencies are counted, its
+    dimension (7 to 12) and its sign (13). Its weight is ln((n + 1) / (df + 1)) in whole millionths,
+    so that sums do not depend on the order of words. The table of weights has ``cells`` rows
+    whatever the corpus and travels as one value; texts are mapped, not shuffled. A text of which
+    nothing has a weight is the zero vector.
+    """
+    rows = df.filter(present("description")).select("id", "description")
+    words = F.filter(F.split(F.lower("description"), "[ \\t\\n\\r]+"), lambda w: w != "")
+
+    def number(h, start, digits):
+        return F.conv(F.substring(h, start, digits), 16, 10).cast("long")
+
+    def parts(h):
+        sign = 1 - 2 * (number(h, 13, 1) % 2)
+        return F.struct(
+            (number(h, 1, 6) % cells).cast("int").alias("cell"), (number(h, 7, 6) % features).cast("int").alias("dim"), sign.alias("sign")
+        )
+
+    hashed = rows.select("id", F.transform(F.transform(words, F.md5), parts).alias("_words"))
+    seen = hashed.select(F.explode(F.array_distinct(F.col("_words.cell"))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df"))
+    weight = F.round(1e6 * F.log((rows.agg(F.count("*")).scalar() + 1) / (F.coalesce("df", F.lit(0)) + 1))).cast("long")
+    every = df.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell"))
+    weights = pin(every.join(seen, "cell", "left").select("cell", weight.alias("weight")), "word_weights")
+    valued = hashed.withColumn("_weights", _packed(weights, "cell", "weight")).select(
+        "id",
+        F.col("_words.dim").alias("dims"),
+        F.transform("_words", lambda w: w["sign"] * F.col("_weights")[w["cell"]]).alias("values"),
+    )
+    return valued.mapInArrow(_unit_vectors(features), T.StructType([valued.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
+def _unit_vectors(features: int):
+    """A map of Arrow batches (id, dims, values) to dense vectors of length one; a few texts at a time."""
+    at_once = max(1, (1 << 20) // features)
+
+    def fold(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                n, dims, values = batch.num_rows, batch.column(1), batch.column(2)
+                lengths = dims.value_lengths().to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(n), lengths) * features + dims.flatten().to_numpy(zero_copy_only=False)
+                # whole numbers below 2^53: exact in doubles
+                weights = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                sums = np.bincount(place, weights, n * features).astype(np.float64).reshape(n, features)
+                norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+                unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+                offsets = pa.array(np.arange(n + 1) * features, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], ["id", "embedding"])
+
+    return fold
 
 
 # --- centroid scorer -----------------------------------------------------------------

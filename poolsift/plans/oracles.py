@@ -260,8 +260,8 @@ VIEWS = {
     "fx_report_f1": "select *, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0) f1 from fx_report",
     "fx_folds": f"""
         select id, label, ok, confidence,
-          (row_number() over (partition by label order by {_hash(42)}, id) - 1) % 5 as sfold,
-          (row_number() over (order by {_hash(42)}, id) - 1) % 5 as fold
+          ntile(5) over (partition by label order by {_hash(42)}, id) - 1 as sfold,
+          ntile(5) over (order by {_hash(42)}, id) - 1 as fold
         from fx_pred where member = 0""",
     "fx_steps": """
         select *, lag(accuracy) over (partition by run order by id) previous_accuracy,
@@ -505,8 +505,8 @@ _RAW = {
         join q on q.label = r.label where k <= q""",
     "balanced_usable": """select cast(sum(n) as bigint) valid_rows, count(*) classes, sum(n) >= 500 and count(*) = 4 usable from fx_counts""",
     "class_counts": "select label, n as rows from fx_counts",
-    "kfold": f"select id, (row_number() over (order by {_hash(42)}, id) - 1) % 5 fold from fx_rows",
-    "stratified_kfold": f"select id, source, (row_number() over (partition by source order by {_hash(42)}, id) - 1) % 5 fold from fx_rows",
+    "kfold": f"select id, ntile(5) over (order by {_hash(42)}, id) - 1 fold from fx_rows",
+    "stratified_kfold": f"select id, source, ntile(5) over (partition by source order by {_hash(42)}, id) - 1 fold from fx_rows",
     # selection
     "uncertainty_sampling": f"""select p.id, p.description, p.label, {r6('p.uncertainty_score', 'uncertainty_score')}, u.rank
         from fx_unc u join fx_pool p on p.id = u.id where u.rank <= 100""",
@@ -573,6 +573,19 @@ _RAW = {
         from fx_pool p join (
           select 0 as member, id, probs from {_bayes_sql(256)} union all select 1, id, probs from {_bayes_sql(64)}) s on s.id = p.id
         where not p.is_labelled""",
+    "embed_text": """
+        w as materialized (
+          select id, md5(w) h from (
+            select id, unnest(string_split_regex(lower(description), '[ \\t\\n\\r]+')) w from fx_rows where description <> '')
+          where w <> ''),
+        t as materialized (
+          select id, ('0x' || substr(h, 1, 6))::bigint % 65536 cell, ('0x' || substr(h, 7, 6))::bigint % 256 dim,
+            1 - 2 * (('0x' || substr(h, 13, 1))::bigint % 2) sign from w),
+        d as (select cell, count(distinct id) df from t group by cell),
+        v as (
+          select id, dim, cast(sum(sign * cast(round(1e6 * ln(((select count(*) from fx_rows where description <> '') + 1) / (df + 1))) as bigint)) as double) x
+          from t join d using (cell) group by id, dim having x <> 0)
+        select id, dim, round(x / sqrt(sum(x * x) over (partition by id)), 6) + 0.0 as value from v""",
     "centroid_predict": f"""
         known as (select e.vec_id id, list_position({LABELS_SQL}, p.label) - 1 code, p.is_labelled, e.embedding
           from embeddings e join fx_pool p on p.id = e.vec_id),

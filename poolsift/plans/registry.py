@@ -605,7 +605,8 @@ def committee_predict(t):
 
 @query
 def embed_text(t):
-    return scoring.embed_text(t.rows).select("id", F.size("embedding").alias("size"))
+    entries = scoring.embed_text(t.rows).select("id", F.posexplode("embedding").alias("dim", "value"))
+    return entries.filter("value <> 0").withColumn("value", c.rounded("value"))
 
 
 @query

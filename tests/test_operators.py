@@ -1,7 +1,7 @@
 """Properties of state changes, sampling, selection and sources on small inputs."""
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +259,15 @@ def test_embeddings_are_unit_vectors(texts):
         assert sum(x * x for x in r.embedding) == pytest.approx(1)
 
 
+def test_embeddings_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "one two two"), (None, "three"), (4, "one two two"), (5, "word " * 50_000 + "end")]
+    got = scoring.embed_text(spark.createDataFrame(rows, "id long, description string"), 16).collect()
+    assert sorted((r.id is None, r.id or 0) for r in got) == [(False, 3), (False, 4), (False, 4), (False, 5), (True, 0)]
+    assert all(len(r.embedding) == 16 for r in got) and {sum(r.embedding) for r in got if r.id == 3} == {0.0}
+    assert len({tuple(r.embedding) for r in got if r.id == 4}) == 1
+    assert scoring.embed_text(spark.createDataFrame([], "id long, description string"), 16).count() == 0
+
+
 # --- sources -------------------------------------------------------------------------
 
 NASTY = ['say "hi"', "two\nlines", "comma, tab\t", " blanks ", "back\\slash", "carriage\r\nreturn", "ünïcode"]
@@ -333,6 +342,24 @@ def test_folds_keep_rows_without_an_id(spark):
         assert folds.count() == 4 and folds.filter("fold is null").isEmpty()
 
 
+def test_folds_are_ranges_of_the_seeded_order(spark):
+    rows = [(i, "abc"[min(i % 7, 2)] if i % 11 else None) for i in range(203)]
+    df = spark.createDataFrame(rows, "id long, label string").repartition(5)
+    for k in (1, 2, 5, 300):
+        plain = defaultdict(list)
+        for i, label in rows:
+            plain[label].append((hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+        whole = sorted(x for xs in plain.values() for x in xs)
+        for folds, lists in ((S.kfold(df, k), [whole]), (S.stratified_kfold(df, k), [sorted(xs) for xs in plain.values()])):
+            want = {}
+            for xs in lists:
+                size, more = divmod(len(xs), k)
+                ends = [j * size + min(j, more) for j in range(1, k + 1)]
+                want |= {i: next(j for j, e in enumerate(ends) if at < e) for at, (_, i) in enumerate(xs)}
+            assert {r.id: r.fold for r in folds.collect()} == want
+    assert S.stratified_kfold(df.filter("id < 0"), 3).count() == 0 and S.kfold(df.filter("id < 0"), 3).count() == 0
+
+
 def test_tails_without_degrees_of_freedom(spark):
     tail = tails.t_tail(F.lit(2.0), F.lit(0.0))
     assert spark.range(1).select(tail.alias("p")).first().p is None

@@ -12,8 +12,9 @@ from poolsift.plans.registry import QUERIES
 from poolsift.session import pin
 
 FOLDER = "/root/testdata/sf0.001"
-FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups"]
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups"]
 TRAINED = {"train_classifier", "model_predict", "predict_many", "committee_predict", "active_learning_loop", "diversity_sampling"}
+TRAINED |= {"embed_text"}  # vectors are folded with NumPy
 TRAINED |= {"train_logistic", "logistic_weights", "model_predict_logistic", "predict_many_logistic"}
 
 
@@ -48,6 +49,9 @@ def wide_shuffles(df):
     "choose",
     [
         lambda p: sampling.random_sampling(p, 50),
+        lambda p: sampling.kfold(p, 7),
+        lambda p: sampling.stratified_kfold(p, 7),
+        lambda p: scoring.embed_text(p),
         lambda p: pool.split_test(p, 0.2)[0],
         lambda p: pool.split_test(p, 0.2)[1],
         lambda p: pool.init_labelled(p, 50),
