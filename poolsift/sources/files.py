@@ -1,7 +1,9 @@
 """Files in and out: postings CSV, results logs, line-JSON, table snapshots."""
 
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -154,12 +156,12 @@ def pool_from_postings(
 
 
 def results_append(results: DataFrame, row: dict) -> DataFrame:
-    """The log plus one row with the next id. Dicts become JSON text."""
+    """The log plus one row, with the next id unless it brings one. Dicts become JSON text."""
     spark = results.sparkSession
     fields = dict(row)
 
     def value(name: str) -> Column:
-        if name == "id":
+        if name == "id" and fields.get("id") is None:
             return F.coalesce(results.agg(F.max("id")).scalar(), F.lit(0)) + 1
         v = fields.get(name)
         if isinstance(v, dict):
@@ -172,12 +174,73 @@ def results_append(results: DataFrame, row: dict) -> DataFrame:
     return results.unionByName(added)
 
 
+def _claim(fs, folder, number: int) -> int:
+    """The first free number from ``number`` on, taken by a marker file that is created only if absent."""
+    while True:
+        marker = folder.suffix(f"/{number:012d}")
+        if not fs.exists(marker):
+            try:
+                fs.create(marker, False).close()
+                return number
+            except Py4JJavaError as reason:  # another writer was first
+                if "FileAlreadyExists" not in str(reason) and not fs.exists(marker):
+                    raise
+        number += 1
+
+
 def append_to_log(spark: SparkSession, path: str, row: dict) -> DataFrame:
-    """Append ``row`` with the next id to a Parquet log and return the whole log."""
+    """Append ``row`` under an id of its own to a Parquet log and return the whole log.
+
+    Several writers may append at once. A writer first takes an id: one more than the largest in the
+    log or taken so far, by creating the marker ``_ids/<id>``, which fails for all but one. It writes
+    its row to a folder of its own and moves the finished file into the log, so no job's clean-up meets
+    another's files. A writer that dies in between leaves a gap in the ids, never half a row. Creation of the marker
+    is as atomic as the file system's create without overwrite (HDFS and object stores with conditional writes).
+    """
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    ids, aside = home.suffix("/_ids"), f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+    fs.mkdirs(ids)
+    log = read_log(spark, path)
+    taken = max([int(f.getPath().getName()) for f in fs.listStatus(ids) if f.getPath().getName().isdigit()], default=0)
+    number = _claim(fs, ids, max(taken, log.agg(F.max("id")).first()[0] or 0) + 1)
+    results_append(log.limit(0), {**row, "id": number}).coalesce(1).write.parquet(aside)
+    _move_into(spark, fs, aside, home, f"row-{number:012d}")
+    return read_log(spark, path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log that ``append_to_log`` writes. Rows that lie in two files while a compaction is under way count once."""
     log = spark.read.parquet(path)
-    last = log.agg(F.max("id")).first()[0] or 0
-    results_append(log, row).filter(F.col("id") > last).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    rest = [F.first(c).alias(c) for c in log.columns if c != "id"]
+    with_id = log.filter("id is not null").groupBy("id").agg(*rest).select(*log.columns)
+    return with_id.unionByName(log.filter("id is null"))
+
+
+def _move_into(spark: SparkSession, fs, aside: str, home, name: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    for nth, part in enumerate(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")):
+        if not fs.rename(part, home.suffix(f"/{name}-{nth:05d}-{folder.getName()[7:]}.parquet")):
+            raise OSError(f"{part} could not be moved into the log")
+    fs.delete(folder, True)
+
+
+def compact_log(spark: SparkSession, path: str) -> DataFrame:
+    """One file instead of the files of single rows that the log holds now; later appends are left alone.
+
+    The new file is moved in before the old ones go: a reader in between sees rows twice and counts
+    them once, and a writer may append meanwhile. The id markers stay.
+    """
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    small = [f.getPath() for f in fs.listStatus(home) if f.getPath().getName().startswith("row-")]
+    if len(small) > 1:
+        aside = f"{path.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+        spark.read.parquet(*[p.toString() for p in small]).coalesce(1).write.parquet(aside)
+        _move_into(spark, fs, aside, home, "rows")
+        for p in small:
+            fs.delete(p, False)
+    return read_log(spark, path)
 
 
 def next_test_id(results: DataFrame) -> DataFrame:
