@@ -104,6 +104,70 @@ def _softmax_sql(query, features, max_iter, rate=0.5, ridge=0.001):
     return "".join(parts)
 
 
+def _diversity_sql(n, passes=5, per_centre=40, rounds=4, overlap=4, seed=42):
+    """Priority sample, weighted passes through a two-level tree of centres, the closest rows; passes written out."""
+    size, step = per_centre * n, -(-n // rounds)
+
+    def near(rows, centres, out, k):
+        """(id, cluster, far) of rows (id, v) by way of the closest root."""
+        roots = 2 * next(r for r in range(1, k + 1) if r * r >= k)
+
+        def best(left, key, pairs, most=1):
+            return f"""select {key}, cluster, far from (
+                select {left}.{key}, c.cluster, round(pow(list_distance({left}.v, c.v), 2), 6) far,
+                  row_number() over (partition by {left}.{key} order by round(pow(list_distance({left}.v, c.v), 2), 6), c.cluster) k
+                from {pairs}) where k <= {most}"""
+
+        return f"""
+          {out}_t as materialized (select cluster id, v from {centres}),
+          {out}_o as materialized ({best(f"{out}_t", "id", f"{out}_t join {centres} c on c.cluster <= {roots}", overlap)}),
+          {out}_r as materialized ({best(rows, "id", f"{rows} join {centres} c on c.cluster <= {roots}")}),
+          {out} as materialized ({best(rows, "id", f"{rows} join {out}_r r on r.id = {rows}.id join {out}_o o on o.cluster = r.cluster join {centres} c on c.cluster = o.id")}),"""
+
+    parts = [
+        f"""pt as materialized (
+            select vec_id id, cast(embedding as double[]) v from embeddings join fx_pool p on p.id = vec_id
+            where not p.is_labelled and p.description <> '' and p.label <> ''),
+          mean as (select list(x order by i) v from (
+            select i, round(avg(x), 6) x from (select unnest(range(1, len(v) + 1)) i, unnest(v) x from pt) group by i)),
+          apart as (select id, cast(round(1e6 * pow(list_distance(pt.v, mean.v), 2)) as bigint) s from pt, mean),
+          q as (select id, 0.5::double / (select count(*) from apart) + 0.5::double * s / (select sum(s) from apart) q from apart),
+          rk as materialized (select *, row_number() over (order by score, id) k from (
+            select id, q, (('0x' || substr({_hash(seed)}, 1, 8))::bigint + 0.5::double) / 4294967296::double / q score from q)),
+          sample as materialized (
+            select id, v, greatest(1, 1 / ((select score from rk where k = {size + 1}) * q)) w from rk join pt using (id) where k <= {size}),
+          s0 as materialized (select * from (
+            select row_number() over (order by ('0x' || substr({_hash(f"{seed}/0")}, 1, 8))::bigint, id) as cluster, v from sample) where cluster <= {step}),"""
+    ]
+    last = "s0"
+    for had in range(step, n, step):
+        parts.append(near("sample", last, f"d{had}", had))
+        parts.append(f"""
+          s{had} as materialized (select * from {last} union all select * from (
+            select {had} + row_number() over (order by case when far > 0 then
+              (('0x' || substr({_hash(f"{seed}/{had}")}, 1, 8))::bigint + 0.5::double) / 4294967296::double / (w * far) end nulls last, id) as cluster, v
+            from sample join d{had} using (id)) where cluster <= {min(had + step, n)}),""")
+        last = f"s{had}"
+    parts.append(f"""
+          c0 as (select * from {last}),""")
+    for p in range(passes):
+        parts.append(near("sample", f"c{p}", f"n{p}", n))
+        parts.append(f"""
+          m{p} as (select cluster, list(x order by i) v from (
+            select cluster, i, round(sum(w * x) / sum(w), 6) x from (
+              select cluster, w, unnest(range(1, len(v) + 1)) i, unnest(v) x from sample join n{p} using (id)) group by cluster, i) group by cluster),
+          c{p + 1} as materialized (select cluster, coalesce(m{p}.v, c{p}.v) v from c{p} left join m{p} using (cluster)),""")
+    parts.append(near("pt", f"c{passes}", "fin", n))
+    parts.append(f"""
+          best as (select id, 0 late, '' h from (
+            select id, row_number() over (partition by cluster order by far, id) k from fin) where k = 1),
+          chosen as (select id from (
+            select * from best union all
+            select id, 1, {_hash(f"{seed}/0")} from sample where id not in (select id from best)) order by late, h, id limit {n})
+        select id, label from chosen join fx_pool using (id)""")
+    return "".join(parts)
+
+
 def _loop_sql(n, max_iterations, features):
     """Every iteration of the loop written out: a model of the known rows, its scores, the rows it chooses."""
     parts = [
@@ -528,6 +592,7 @@ _RAW = {
           from long l join centre c on c.cluster = l.cluster and c.i = l.i group by all)
         select cast(cluster as bigint) as cluster, id, distance + 0.0 as distance from (
           select *, row_number() over (partition by cluster order by distance, id) k from far) where k = 1""",
+    "diversity_sampling": _diversity_sql(50),
     # scoring
     "class_weights": f"""
         select label, cast(code as bigint) code, round(total / coalesce(n, 1), 6) + 0.0 weight from (

@@ -519,7 +519,7 @@ def nearest_to_centroid(t):
 
 @query
 def diversity_sampling(t):
-    return selection.diversity_sampling(t.pool, t.embeddings, 20).select("id", "label")
+    return selection.diversity_sampling(t.pool, t.embeddings, 50).select("id", "label")
 
 
 # --- training and scoring ------------------------------------------------------------

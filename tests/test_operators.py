@@ -1,9 +1,14 @@
 """Properties of state changes, sampling, selection and sources on small inputs."""
 
 import hashlib
+import shutil
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from poolsift.functions import tails
@@ -184,11 +189,37 @@ def vectors(spark):
 
 def test_diversity_gives_one_row_per_cluster(pool, vectors):
     got = selection.diversity_sampling(pool, vectors, 6)
-    assert 1 <= got.count() <= 6 and set(ids(got)) <= set(ids(P.usable(P.unlabelled_rows(pool))))
+    assert got.count() == 6 and set(ids(got)) <= set(ids(P.usable(P.unlabelled_rows(pool))))
     small = selection.diversity_sampling(pool.filter("id < 12"), vectors, 50)
     assert ids(small) == ids(P.unlabelled_with_labels(pool.filter("id < 12")))
 
 
+def test_clusters_of_a_coreset_cost_little_more_than_k_means(spark):
+    draw = np.random.default_rng(3)
+    blobs = draw.normal(0, 4, (40, 8))
+    rows = [(i, [float(x) for x in blobs[i % 40] + draw.normal(0, 1, 8)]) for i in range(8000)]
+    points = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    k = 100
+    sample = selection.coreset(points, selection.PER_CENTRE * k)
+    assert sample.count() == selection.PER_CENTRE * k
+    assert abs(sample.agg(F.sum("weight")).first()[0] / 8000 - 1) < 0.1
+    near = selection.assign(points, selection.weighted_centres(sample, k, passes=8), k)
+    assert near.count() == 8000
+    plain = KMeans(featuresCol="_v", k=k, seed=1, maxIter=8).fit(points.select(array_to_vector("embedding").alias("_v")))
+    cost = near.agg(F.sum("far")).first()[0]
+    print("cost against plain k-means", cost / plain.summary.trainingCost)
+    assert cost <= 1.05 * plain.summary.trainingCost
+
+
+def test_diversity_with_copies_and_missing_vectors(spark):
+    pool = spark.createDataFrame([(i, "t", False, "X", None, None) for i in range(40)], DDL)
+    same = spark.createDataFrame([(i, [1.0, 2.0] if i < 30 else None) for i in range(40)], "id long, embedding array<double>")
+    got = ids(selection.diversity_sampling(pool, same, 7))
+    assert len(got) == len(set(got)) == 7 and max(got) < 30
+    assert ids(selection.diversity_sampling(pool, same, 30)) == list(range(30))
+    assert ids(selection.diversity_sampling(pool, same.filter("id < 0"), 3)) == []
+
+
 def test_nearest_takes_the_lowest_id_on_ties(spark):
     points = spark.createDataFrame([(3, 0, [1.0]), (2, 0, [-1.0]), (9, 1, [5.0])], "id long, cluster int, embedding array<double>")
     centres = spark.createDataFrame([(0, [0.0]), (1, [0.0]), (2, [0.0])], "cluster int, centre array<double>")
@@ -380,6 +411,33 @@ def test_append_writes_one_row(spark, tmp_path):
     assert sorted((r.id, r.test_id) for r in log.collect()) == [(1, "1"), (2, "2")]
 
 
+def test_writers_of_one_log_take_different_ids(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log.parquet")
+    files.results_append(spark.createDataFrame([], files.RESULTS_SCHEMA), {"id": 5, "test_id": "0"}).write.parquet(path)
+    claim, between = files._claim, []
+
+    def late(fs, folder, number):  # another writer appends after this one has read the log
+        if not between:
+            between.append(number)
+            files.append_to_log(spark, path, {"test_id": "b"})
+        return claim(fs, folder, number)
+
+    monkeypatch.setattr(files, "_claim", late)
+    files.append_to_log(spark, path, {"test_id": "a"})
+    want = [(5, "0"), (6, "b"), (7, "a")]
+    assert sorted((r.id, r.test_id) for r in files.read_log(spark, path).collect()) == want
+    with ThreadPoolExecutor(4) as many:
+        list(many.map(lambda k: files.append_to_log(spark, path, {"test_id": str(k)}).count(), range(4)))
+    rows = files.read_log(spark, path).collect()
+    assert len({r.id for r in rows}) == len(rows) == 7 and {r.test_id for r in rows} == {"0", "a", "b", "0", "1", "2", "3"}
+    before = sorted(map(str, rows))
+    old = [p for p in (tmp_path / "log.parquet").iterdir() if p.name.startswith("row-")]
+    assert len(old) == 6 and sorted(map(str, files.compact_log(spark, path).collect())) == before
+    shutil.copy(next((tmp_path / "log.parquet").glob("rows-*")), tmp_path / "log.parquet" / "row-again.parquet")
+    assert sorted(map(str, files.read_log(spark, path).collect())) == before
+    assert files.append_to_log(spark, path, {"test_id": "z"}).agg({"id": "max"}).first()[0] == max(r.id for r in rows) + 1
+
+
 def test_batches_are_fetched_without_shuffling_texts(spark):
     texts = spark.range(50).select("id", F.lit("text").alias("description"), F.lit("X").alias("label"))
     flags = spark.range(10).withColumn("is_labelled", F.lit(True))
