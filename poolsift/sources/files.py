@@ -3,13 +3,16 @@
 import os
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from poolsift.functions.columns import present
 from poolsift.functions.ranking import positions, top_n
+from poolsift.session import pin
 
 # The results log, and columns that some logs have besides.
 RESULTS_SCHEMA = (
@@ -44,19 +47,114 @@ def read_postings_csv(
     text_col: str = "description",
     columns=None,
     multi_line: bool = True,
+    split: bool = True,
 ) -> DataFrame:
     """Quoted CSV with a header, every column text. Missing label or text column raises.
 
-    ``columns`` skips the extra read of the header line. Texts with line breaks need
-    ``multi_line``, which makes every file one task: convert such files to Parquet once.
+    ``columns`` skips the extra read of the header line. Texts may hold line breaks unless ``multi_line``
+    is off. Large files are read by many tasks (``read_split_csv``); a file whose quotes are not
+    well-formed needs ``split=False``, which makes every file one task.
     """
     header = columns or spark.read.options(**{**CSV_READ, "multiLine": False}).csv(path).columns
     missing = [c for c in (label_col, text_col) if c not in header]
     if missing:
         raise KeyError(f"columns {missing} not found; the file has {list(header)}")
+    if multi_line and split:
+        return read_split_csv(spark, path, header)
     return spark.read.options(**{**CSV_READ, "multiLine": multi_line}).schema(text_schema(header)).csv(path)
 
 
+# --- quoted CSV in byte ranges -----------------------------------------------------------
+
+#: What a piece of a byte range is: the end of a record that began before it, a record, a record's beginning.
+HEAD, WHOLE, TAIL = 0, 1, 2
+#: Characters after which the end of a record that began before is handed on, and rows are sent.
+PIECE = 1 << 20
+
+
+def read_split_csv(spark: SparkSession, path: str, header) -> DataFrame:
+    """Quoted CSV with a header line, read in byte ranges although fields may hold line breaks.
+
+    Quotes stand around whole fields and are doubled inside, so a range begins inside a field if an odd number
+    of quotes lies before it in its file: counts by range are added up, one row a range. The
+    lines of a range are put together for both cases, and a join with these counts keeps the right one. A record over
+    several ranges is joined from its pieces. Blank lines are skipped. No text is shuffled but for
+    such pieces, as long as the table of ranges is small enough for the planner to broadcast it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    ranges = lines.groupBy("file", "start").agg(F.sum(quotes).alias("_quotes"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    inside = (F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2).cast("int").alias("inside")
+    ranges = pin(ranges.select("file", "start", inside), "ranges")
+    both = lines.mapInArrow(_pieces, "file string, start long, inside int, kind int, nth long, text string")
+    pieces = both.join(ranges, ["file", "start", "inside"])
+    cut = pieces.filter(F.col("kind") != WHOLE)
+    # a beginning opens a record, ends up to the next beginning belong to it
+    begun = F.sum((F.col("kind") == TAIL).cast("int")).over(Window.partitionBy("file").orderBy("start", "kind", "nth"))
+    parts = F.array_sort(F.collect_list(F.struct("start", "kind", "nth", "text")))
+    joined = cut.withColumn("_record", begun).groupBy("file", "_record").agg(parts.alias("_parts"))
+    joined = joined.select(
+        F.col("_parts")[0]["start"].alias("start"), F.col("_parts")[0]["nth"].alias("nth"), F.array_join("_parts.text", "\n").alias("text")
+    )
+    records = pieces.filter(F.col("kind") == WHOLE).select("start", "nth", "text").unionByName(joined)
+    records = records.filter((F.col("start") > 0) | (F.col("nth") > 0))
+    ddl = ", ".join(f"`{c}` string" for c in header)
+    options = {k: v for k, v in CSV_READ.items() if k in ("quote", "escape", "lineSep")}
+    return records.select(F.from_csv("text", ddl, options).alias("_row")).select("_row.*")
+
+
+def _pieces(batches):
+    """Arrow batches (file, start, line) to the pieces of every range, once as if it began outside, once inside a field."""
+    rows, size, here, states, odd = [], 0, None, {}, 0
+
+    def put(inside, state, kind):
+        nonlocal size
+        text = "\n".join(state["lines"])
+        if kind == HEAD or text:  # a record without a character is a blank line
+            rows.append((*here, inside, kind, state["nth"], text))
+            state["nth"] += 1
+            size += len(text)
+        state["lines"], state["size"] = [], 0
+
+    def end():
+        for inside, state in states.items():
+            if state["lines"]:
+                put(inside, state, HEAD if state["head"] else TAIL if odd ^ inside else WHOLE)
+
+    def send():
+        nonlocal rows, size
+        names = ["file", "start", "inside", "kind", "nth", "text"]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        rows, size = [], 0
+        return batch
+
+    for batch in batches:
+        counts = pc.count_substring(batch.column(2), '"').to_pylist()
+        for file, start, line, quotes in zip(*(c.to_pylist() for c in batch.columns), counts):
+            if here != (file, start):
+                end()
+                here, odd = (file, start), 0
+                # a file begins outside
+                states = {i: {"lines": [], "size": 0, "nth": 0, "head": i == 1} for i in ((0, 1) if start else (0,))}
+            for inside, state in states.items():
+                if odd == inside and (state["lines"] or state["head"]):
+                    put(inside, state, HEAD if state["head"] else WHOLE) if state["lines"] else None
+                    state["head"] = False
+                elif state["head"] and state["size"] > PIECE:
+                    put(inside, state, HEAD)
+                state["lines"].append(line)
+                state["size"] += len(line) + 1
+            odd ^= quotes & 1
+            if size > PIECE:
+                yield send()
+    end()
+    if rows:
+        yield send()
+
+
 def _typed(df: DataFrame, schema: str, extra: dict[str, str]) -> DataFrame:
     """Columns by name: those of ``schema`` with null for absent ones, then what else there is."""
     wanted = [(f.name, f.dataType) for f in StructType.fromDDL(schema).fields]

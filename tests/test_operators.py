@@ -411,6 +411,48 @@ def test_append_writes_one_row(spark, tmp_path):
     assert sorted((r.id, r.test_id) for r in log.collect()) == [(1, "1"), (2, "2")]
 
 
+HARD_CSV = [
+    ("1", "plain", "A"),
+    ("2", "two\nlines", "B"),
+    ("3", 'a "quoted" word\n\n"and" one more', "C"),
+    ("4", "", "A"),
+    ("5", None, "A"),
+    ("6", "comma, and ends in a break\n", "B"),
+    ("7", '"', "C"),
+    ("8", '""\n"', "C"),
+    ("9", "x,y\n1,2,3\n" * 40, "A"),
+    ("10", "Grüße 漢字 😀\nzwei", "B"),
+    ("11", " blanks stay ", "B"),
+    ("12", "cr\r\nlf", "B"),
+]
+
+
+@pytest.mark.parametrize("size", [61, 333, 1 << 20])
+def test_quoted_csv_in_ranges_of_any_size(spark, tmp_path, size):
+    def cell(v, quoted):
+        return "" if v is None else '"' + v.replace('"', '""') + '"' if quoted or set(v) & set(',\n"\r') or v == "" else v
+
+    for name, quoted, close in (("a", True, "\n"), ("b", False, ""), ("c", False, "\n\n")):
+        rows = [*HARD_CSV, *HARD_CSV[::-1]]
+        text = "job_id,description,formatted_work_type\n" + "\n".join(",".join(cell(v, quoted) for v in r) for r in rows) + close
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    (tmp_path / "d.csv").write_text("job_id,description,formatted_work_type\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        for chosen in ("a.csv", "b.csv", "c.csv", "d.csv", ""):
+            path = f"{tmp_path}/{chosen}"
+            got = Counter(map(tuple, files.read_postings_csv(spark, path).collect()))
+            whole = Counter(map(tuple, files.read_postings_csv(spark, path, split=False).collect()))
+            assert got == whole
+            # empty cells read as null
+            assert chosen == "d.csv" or set(got) == {(k, text or None, label) for k, text, label in HARD_CSV}
+        if size == 333:
+            assert spark.read.text(f"{tmp_path}/a.csv").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_writers_of_one_log_take_different_ids(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "log.parquet")
     files.results_append(spark.createDataFrame([], files.RESULTS_SCHEMA), {"id": 5, "test_id": "0"}).write.parquet(path)
