@@ -59,10 +59,38 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumn("_text", F.col("description"))
 
 
-def hashed_words(text: str, features: int) -> Column:
-    """A word array as bucket numbers: lowered words between blanks, md5 modulo ``features``."""
+def word_hashes(text: str) -> Column:
+    """A word array as numbers: the first six hex digits of the md5 of lowered words between blanks."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \\t\\n\\r]+"), lambda w: w != "")
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % features).cast("int"))
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"))
+
+
+def hashed_words(text: str, features: int) -> Column:
+    """The same as bucket numbers, modulo ``features``."""
+    return _buckets(word_hashes(text), features)
+
+
+def _buckets(hashes, features: int) -> Column:
+    return F.transform(hashes, lambda h: (h % features).cast("int"))
+
+
+def _in_order(table: DataFrame, key: str, value: str) -> DataFrame:
+    """A table of bounded size as one array in order of its key, in one row."""
+    return table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]).alias("_table"))
+
+
+def _packed(table: DataFrame, key: str, value: str) -> Column:
+    return _in_order(table, key, value).scalar()
+
+
+def _predicted(scored: DataFrame, keep, labels) -> DataFrame:
+    return scored.select(
+        *keep,
+        predicted_class("probs").alias("predicted_class"),
+        label_name(predicted_class("probs"), labels).alias("predicted_label"),
+        confidence("probs").alias("confidence"),
+        "probs",
+    )
 
 
 @dataclass(frozen=True)
@@ -73,23 +101,22 @@ class HashedBayes:
     features: int
     classes: int
 
-    def predict(self, df: DataFrame, labels) -> DataFrame:
-        """As ``predict_many``. The table, ``features`` rows, travels as one value: no text is shuffled."""
-        packed = self.logs.agg(F.array_sort(F.collect_list(F.struct("bucket", "logs")))).scalar()
-        rows = df.withColumn("_logs", packed).withColumn("_buckets", hashed_words("description", self.features))
-        zeros = F.array_repeat(F.lit(0.0), self.classes)
+    @property
+    def size(self) -> int:
+        return self.features
 
-        def add(acc, b):
-            return F.zip_with(acc, F.col("_logs")[b]["logs"], lambda x, y: x + y)
+    def table(self) -> DataFrame:
+        """One row: the log-probabilities in order of the buckets."""
+        return _in_order(self.logs, "bucket", "logs")
 
-        scored = rows.withColumn("probs", softmax(F.aggregate("_buckets", zeros, add)))
-        return scored.select(
-            *df.columns,
-            predicted_class("probs").alias("predicted_class"),
-            label_name(predicted_class("probs"), labels).alias("predicted_label"),
-            confidence("probs").alias("confidence"),
-            "probs",
-        )
+    def probs(self, buckets: str, table: str) -> Column:
+        zeros = F.array_repeat(F.lit(0.0), self.classes)
+        return softmax(F.aggregate(buckets, zeros, lambda acc, b: F.zip_with(acc, F.col(table)[b], lambda x, y: x + y)))
+
+    def predict(self, df: DataFrame, labels) -> DataFrame:
+        """As ``predict_many``. The table, ``features`` rows, travels as one value: no text is shuffled."""
+        rows = df.withColumn("_logs", self.table().scalar()).withColumn("_buckets", hashed_words("description", self.features))
+        return _predicted(rows.withColumn("probs", self.probs("_buckets", "_logs")), df.columns, labels)
 
 
 @dataclass(frozen=True)
@@ -149,11 +176,6 @@ def train_hashed_bayes(labelled: DataFrame, labels, features: int = 1024, smooth
 # --- multinomial logistic regression by full-batch steps ---------------------------------
 
 
-def _packed(table: DataFrame, key: str, value: str) -> Column:
-    """A table of bounded size as one array in order of its key."""
-    return table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])).scalar()
-
-
 @dataclass(frozen=True)
 class Softmax:
     """Weights by bucket and class over idf-weighted hashed words; bucket ``features`` holds the intercepts.
@@ -166,25 +188,28 @@ class Softmax:
     features: int
     classes: int
 
-    def logits(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``_buckets``) plus ``_logits``. The weights, ``features`` rows, travel as one value."""
+    @property
+    def size(self) -> int:
+        return self.features + 1
+
+    def table(self) -> DataFrame:
+        """One row: weights times idf in order of the buckets."""
         scaled = self.weights.join(self.idf, "bucket").select("bucket", F.transform("w", lambda x: x * F.col("idf")).alias("w"))
-        start = F.array_repeat(F.lit(0.0), self.classes)
-        added = F.aggregate("_buckets", start, lambda acc, b: F.zip_with(acc, F.col("_w")[b], lambda x, y: x + y))
-        of = F.zip_with(added, F.col("_w")[self.features], lambda x, y: x / F.sqrt(F.greatest(F.size("_buckets"), F.lit(1))) + y)
-        return rows.withColumn("_w", _packed(scaled, "bucket", "w")).withColumn("_logits", of).drop("_w")
+        return _in_order(scaled, "bucket", "w")
+
+    def logits(self, buckets: str, table: str) -> Column:
+        start, words = F.array_repeat(F.lit(0.0), self.classes), F.greatest(F.size(buckets), F.lit(1))
+        added = F.aggregate(buckets, start, lambda acc, b: F.zip_with(acc, F.col(table)[b], lambda x, y: x + y))
+        return F.zip_with(added, F.col(table)[self.features], lambda x, y: x / F.sqrt(words) + y)
+
+    def probs(self, buckets: str, table: str) -> Column:
+        return softmax(self.logits(buckets, table))
 
     def predict(self, df: DataFrame, labels) -> DataFrame:
-        """As ``predict_many``; a map over the rows."""
-        rows = self.logits(df.withColumn("_buckets", hashed_words("description", self.features)))
-        scored = rows.withColumn("probs", softmax("_logits"))
-        return scored.select(
-            *df.columns,
-            predicted_class("probs").alias("predicted_class"),
-            label_name(predicted_class("probs"), labels).alias("predicted_label"),
-            confidence("probs").alias("confidence"),
-            "probs",
-        )
+        """As ``predict_many``; a map over the rows. The weights, ``features`` rows, travel as one value."""
+        rows = df.withColumn("_w", self.table().scalar()).withColumn("_buckets", hashed_words("description", self.features))
+        rows = rows.withColumn("_logits", self.logits("_buckets", "_w"))
+        return _predicted(rows.withColumn("probs", softmax("_logits")), df.columns, labels)
 
 
 def train_softmax(labelled: DataFrame, labels, features: int = 4096, steps: int = 20, rate: float = 0.5, ridge: float = 0.001) -> Softmax:
@@ -209,7 +234,8 @@ def train_softmax(labelled: DataFrame, labels, features: int = 4096, steps: int
     current = pin(every.select("bucket", F.array_repeat(F.lit(0.0), classes).alias("w")), "softmax_weights")
     hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == F.col("_code"), 1.0).otherwise(0.0))
     for _ in range(steps):
-        scored = Softmax(current, idf, features, classes).logits(rows)
+        model = Softmax(current, idf, features, classes)
+        scored = rows.withColumn("_w", model.table().scalar()).withColumn("_logits", model.logits("_buckets", "_w"))
         off = F.zip_with(softmax("_logits"), hot, lambda p, y: (p - y) * F.col("weight"))
         # the intercept's feature is 1, a word's one over the root of the word count
         parts = F.concat(
@@ -287,17 +313,29 @@ def model_predict(pool: DataFrame, model, labels, max_samples: int | None = None
 def committee_predict(df: DataFrame, models: dict, labels) -> DataFrame:
     """Long output ``id, member, predicted_class, probs`` of several models.
 
-    ``models`` maps a member to a model or to a function that loads one. A member that
-    cannot be loaded, or fails while it scores, is skipped: each one's output is written on its own.
+    ``models`` maps a member to a model or to a function that loads one. Members on hashed words share one
+    reading of the texts, in which every word is hashed once; each one's table is written and
+    checked before. Others read the texts on their own. A member that cannot be loaded, or fails, is skipped.
     """
-    parts = []
+    parts, stacked = [], []
     for member, model in models.items():
         try:
             loaded = model() if callable(model) else model
+            if isinstance(loaded, (HashedBayes, Softmax)):
+                stacked.append((member, loaded, _checked(loaded)))
+                continue
             scored = predict_many(df.select("id", "description"), loaded, labels)
             parts.append(pin(scored.select("id", F.lit(member).alias("member"), "predicted_class", "probs"), "member"))
         except Exception as reason:  # any failure of one member leaves the others working
             log.warning("committee member %s skipped: %s", member, reason)
+    if stacked:
+        rows, outputs = df.select("id", word_hashes("description").alias("_hashes")), []
+        for nth, (member, model, table) in enumerate(stacked):
+            buckets, place, probs = f"_b{nth}", f"_t{nth}", f"_p{nth}"
+            rows = rows.withColumn(buckets, _buckets("_hashes", model.features)).withColumn(place, table.scalar())
+            rows = rows.withColumn(probs, model.probs(buckets, place)).drop(buckets, place)
+            outputs.append(F.struct(F.lit(member).alias("member"), predicted_class(probs).alias("predicted_class"), F.col(probs).alias("probs")))
+        parts.append(pin(rows.select("id", F.explode(F.array(*outputs)).alias("_o")).select("id", "_o.*"), "members"))
     if not parts:
         raise ValueError("no committee member could be loaded")
     whole = parts[0]
@@ -306,6 +344,16 @@ def committee_predict(df: DataFrame, models: dict, labels) -> DataFrame:
     return whole
 
 
+def _checked(model) -> DataFrame:
+    """A hashed model's table, written; raises if it has not an entry for every bucket and class."""
+    table = pin(model.table(), "member_table")
+    partial = F.exists("_table", lambda x: F.coalesce(F.size(x), F.lit(0)) != model.classes)
+    found = table.select(F.size("_table").alias("size"), partial.alias("partial")).first()
+    if found["size"] != model.size or found["partial"]:
+        raise ValueError(f"the model has {found['size']} of {model.size} buckets, or buckets without all classes")
+    return table
+
+
 def embed_text(df: DataFrame, features: int = 256, cells: int = 1 << 16) -> DataFrame:
     """``id, embedding``: unit vectors of signed hashed TF-IDF, for clustering; rows without a text are left out.
 

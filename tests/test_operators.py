@@ -328,6 +328,24 @@ def test_results_by_extension(spark, name, sep):
     assert tuple(got) == (1, "7", '{"accuracy": 0.5, "x": 1}')
 
 
+def test_hashed_members_share_one_reading(texts, monkeypatch):
+    models = {
+        0: scoring.train_hashed_bayes(texts, LABELS, 64),
+        1: scoring.train_softmax(texts, LABELS, 32, steps=2),
+        2: scoring.train_hashed_bayes(texts, LABELS, 16),
+    }
+    short = scoring.HashedBayes(models[0].logs.filter("bucket < 60"), 64, len(LABELS))
+    want = {}
+    for member, model in models.items():
+        for r in scoring.predict_many(texts, model, LABELS).collect():
+            want[r.id, member] = (r.predicted_class, [round(p, 9) for p in r.probs])
+    names, pin = [], scoring.pin
+    monkeypatch.setattr(scoring, "pin", lambda df, name: names.append(name) or pin(df, name))
+    got = scoring.committee_predict(texts, {**models, 3: short}, LABELS)
+    assert {(r.id, r.member): (r.predicted_class, [round(p, 9) for p in r.probs]) for r in got.collect()} == want
+    assert names.count("members") == 1 and "member" not in names
+
+
 def test_jsonl_skips_broken_lines(spark):
     path = fresh_path(spark, "x.jsonl")
     spark.createDataFrame([('{"a": 1}',), ("{oops",), ('{"a": 2, "b": 3}',)], "value string").write.text(path)
