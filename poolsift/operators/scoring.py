@@ -1,10 +1,12 @@
 """Training and scoring text classifiers with Spark ML or by hashed words, and a centroid scorer on embeddings."""
 
+import hashlib
 import logging
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer
@@ -74,6 +76,44 @@ def _buckets(hashes, features: int) -> Column:
     return F.transform(hashes, lambda h: (h % features).cast("int"))
 
 
+def _lowered(text: str) -> Column:
+    """What ``_digests`` takes: the bytes of the lowered text, empty for null."""
+    return F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary")
+
+
+def _digests(texts):
+    """Of an Arrow array of ``_lowered`` texts: (row of each word, its number, the md5 of each number).
+
+    Words stand between blanks as in ``word_hashes``; of a digest it is the first eight bytes. Every
+    different word of the batch is hashed once.
+    """
+    for blank in (b"\t", b"\n", b"\r"):
+        texts = pc.replace_substring(texts, blank, b" ")
+    lists = pc.split_pattern(texts, b" ")
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    words = lists.flatten().dictionary_encode()
+    numbers, found = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+    digests = np.frombuffer(b"".join(hashlib.md5(w, usedforsecurity=False).digest() for w in found), ">u8")[::2].astype(np.uint64)
+    if b"" in found:
+        kept = numbers != found.index(b"")
+        rows, numbers = rows[kept], numbers[kept]
+    return rows, numbers, digests
+
+
+def _bucket_of(digests, features: int):
+    """``hashed_words`` of digests."""
+    return ((digests >> np.uint64(40)) % np.uint64(features)).astype(np.int64)
+
+
+def _cut(batch, rows: int = 1024):
+    """A batch or array cut small: so many texts are held as words at a time."""
+    return (batch.slice(k, rows) for k in range(0, len(batch), rows))
+
+
+def _lists(values, lengths):
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
+
+
 def _in_order(table: DataFrame, key: str, value: str) -> DataFrame:
     """A table of bounded size as one array in order of its key, in one row."""
     return table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]).alias("_table"))
@@ -206,45 +246,109 @@ class Softmax:
         return softmax(self.logits(buckets, table))
 
     def predict(self, df: DataFrame, labels) -> DataFrame:
-        """As ``predict_many``; a map over the rows. The weights, ``features`` rows, travel as one value."""
-        rows = df.withColumn("_w", self.table().scalar()).withColumn("_buckets", hashed_words("description", self.features))
-        rows = rows.withColumn("_logits", self.logits("_buckets", "_w"))
-        return _predicted(rows.withColumn("probs", softmax("_logits")), df.columns, labels)
+        """As ``predict_many``; a map over the rows. The weights, ``features`` rows, go with the tasks."""
+        probs = F.arrow_udf(_word_probs(self.array()), T.ArrayType(T.DoubleType()))
+        return _predicted(df.withColumn("probs", probs(_lowered("description"))), df.columns, labels)
+
+    def array(self):
+        """``table`` in NumPy, of a row per bucket; unknown weights are NaN."""
+        return np.array(self.table().first()["_table"], dtype=np.float64).reshape(self.size, self.classes)
+
+
+def _shares(logits):
+    powers = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
+
+
+def _sums(place, values, size: int):
+    """The columns of ``values`` (one array each) added up by place."""
+    return np.stack([np.bincount(place, v, size) for v in values], axis=1)
+
+
+def _word_probs(weights):
+    """A function from an Arrow array of ``_lowered`` texts to their probabilities by class."""
+    features, classes = len(weights) - 1, weights.shape[1]
+
+    def score(texts: pa.Array) -> pa.Array:
+        probs = [np.empty((0, classes))]
+        for some in _cut(texts):
+            rows, numbers, digests = _digests(some)
+            of_word = weights[_bucket_of(digests, features)].T
+            words = np.maximum(np.bincount(rows, minlength=len(some)), 1)[:, None]
+            logits = _sums(rows, (w[numbers] for w in of_word), len(some)) / np.sqrt(words) + weights[features]
+            probs.append(_shares(logits))
+        probs = np.concatenate(probs)
+        return _lists(pa.array(probs.ravel(), from_pandas=True), np.full(len(probs), classes))
+
+    return score
+
+
+def _counted(features: int):
+    """A map of Arrow batches (code, weight, lowered text) to their different buckets with word counts."""
+
+    def count(batches):
+        for whole in batches:
+            for batch in _cut(whole):
+                rows, numbers, digests = _digests(batch.column(2))
+                found, counts = np.unique(rows * features + _bucket_of(digests, features)[numbers], return_counts=True)
+                lengths = np.bincount(found // features, minlength=len(batch))
+                columns = [_lists((found % features).astype(np.int32), lengths), _lists(counts.astype(np.int32), lengths)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["_code", "weight", "_buckets", "_counts"])
+
+    return count
+
+
+def _slopes(weights):
+    """A map of ``_counted`` rows to one task's residuals by bucket, added up; the last one is the intercept's."""
+    features, classes = len(weights) - 1, weights.shape[1]
+    of_bucket = np.ascontiguousarray(weights.T)
+
+    def add_up(batches):
+        total, some = np.zeros((features + 1, classes)), False
+        for batch in batches:
+            code, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            buckets, counts = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+            n, some = len(batch), True
+            rows = np.repeat(np.arange(n), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            # the intercept's feature is 1, a word's one over the root of the word count
+            x = counts / np.sqrt(np.maximum(np.bincount(rows, counts, n), 1))[rows]
+            off = _shares(_sums(rows, (w[buckets] * x for w in of_bucket), n) + weights[features])
+            off[np.arange(n), code] -= 1
+            off *= weight[:, None]
+            total += _sums(buckets, (o[rows] * x for o in off.T), features + 1)
+            total[features] += off.sum(axis=0)
+        if some:
+            columns = [np.arange(features + 1, dtype=np.int32), _lists(total.ravel(), np.full(features + 1, classes))]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), columns[1]], ["bucket", "g"])
+
+    return add_up
 
 
 def train_softmax(labelled: DataFrame, labels, features: int = 4096, steps: int = 20, rate: float = 0.5, ridge: float = 0.001) -> Softmax:
     """Multinomial logistic regression: a fixed number of gradient steps over all rows, from zero weights.
 
-    Classes are weighted by total / count. Every step reads the written bucket arrays once, adds up the
-    residuals by bucket before the shuffle, and joins them with the table of weights. The result
+    Classes are weighted by total / count. Words are hashed once; every row is written as its different
+    buckets with their counts. A step reads them once, adds up the residuals of a task in one array of
+    ``features`` rows, sums these by bucket and joins them with the table of weights. The result
     depends on the rows alone, not on their order or partitions.
     """
     spark, classes = labelled.sparkSession, len(labels)
     rows = label_filter(labelled, labels).withColumn("_code", label_code("label", labels))
     weights = class_weights(rows, labels).select(F.col("code").alias("_code"), "weight")
-    rows = rows.select("_code", hashed_words("description", features).alias("_buckets")).join(F.broadcast(weights), "_code")
-    rows = pin(rows, "softmax_rows")
-    whole = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-    n, total = whole.select("n").scalar(), whole.select("weight").scalar()
-    seen = rows.select(F.explode(F.array_distinct("_buckets")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+    rows = rows.select("_code", _lowered("description").alias("_text")).join(F.broadcast(weights), "_code")
+    counted = "_code int, weight double, _buckets array<int>, _counts array<int>"
+    rows = pin(rows.select("_code", "weight", "_text").mapInArrow(_counted(features), counted), "softmax_rows")
+    n, total = rows.agg(F.count("*"), F.sum("weight")).first()
+    seen = rows.select(F.explode("_buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
     every = spark.range(features + 1).select(F.col("id").cast("int").alias("bucket"))
-    smooth = F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    smooth = F.log((F.lit(n) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
     idf = every.join(seen, "bucket", "left").select("bucket", F.when(F.col("bucket") == features, 1.0).otherwise(smooth).alias("idf"))
     idf = pin(idf, "softmax_idf")
     current = pin(every.select("bucket", F.array_repeat(F.lit(0.0), classes).alias("w")), "softmax_weights")
-    hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == F.col("_code"), 1.0).otherwise(0.0))
     for _ in range(steps):
-        model = Softmax(current, idf, features, classes)
-        scored = rows.withColumn("_w", model.table().scalar()).withColumn("_logits", model.logits("_buckets", "_w"))
-        off = F.zip_with(softmax("_logits"), hot, lambda p, y: (p - y) * F.col("weight"))
-        # the intercept's feature is 1, a word's one over the root of the word count
-        parts = F.concat(
-            F.transform("_buckets", lambda b: F.struct(b.alias("bucket"), (1.0 / F.sqrt(F.size("_buckets"))).alias("x"))),
-            F.array(F.struct(F.lit(features).alias("bucket"), F.lit(1.0).alias("x"))),
-        )
-        each = scored.select(off.alias("_off"), F.explode(parts).alias("_p")).select("_off", "_p.bucket", "_p.x")
-        slope = each.groupBy("bucket").agg(F.array(*(F.sum(F.col("_off")[k] * F.col("x")) for k in range(classes))).alias("g"))
-        stepped = current.join(idf, "bucket").join(slope, "bucket", "left").withColumn("_total", total)
+        each = rows.mapInArrow(_slopes(Softmax(current, idf, features, classes).array()), "bucket int, g array<double>")
+        slope = each.groupBy("bucket").agg(F.array(*(F.sum(F.col("g")[k]) for k in range(classes))).alias("g"))
+        stepped = current.join(idf, "bucket").join(slope, "bucket", "left").withColumn("_total", F.lit(total).cast("double"))
         zero = F.array_repeat(F.lit(0.0), classes)
         moved = F.zip_with("w", F.coalesce("g", zero), lambda w, g: w - rate * (g * F.col("idf") / F.col("_total") + ridge * w))
         current = pin(stepped.select("bucket", moved.alias("w")), "softmax_weights")

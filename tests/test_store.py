@@ -2,6 +2,7 @@
 
 import json
 import os
+import math
 import random
 import subprocess
 import sys
@@ -90,3 +91,34 @@ def test_benchmark_prints_one_line(tmp_path):
     done = subprocess.run([sys.executable, "bench.py", "random_sampling"], capture_output=True, text=True, env=env, timeout=200)
     line = json.loads(done.stdout.strip().splitlines()[-1])
     assert done.returncode == 0 and list(line["queries"]) == ["random_sampling"] and line["sf"] == "0.001"
+
+
+def test_softmax_steps_expand_no_words(spark, monkeypatch):
+    plans, pin = [], scoring.pin
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return pin(df, name)
+
+    train = labelled(spark, 0, 30)
+    monkeypatch.setattr(scoring, "pin", noted)
+    model = scoring.train_softmax(train, LABELS, 16, steps=2)
+    steps = [text for name, text in plans if name == "softmax_weights"][1:]
+    scored = scoring.predict_many(train, model, LABELS)._jdf.queryExecution().executedPlan().toString()
+    assert len(steps) == 2 and not any("Generate" in text for text in steps)
+    assert "md5" not in scored
+
+
+def test_softmax_hashes_odd_texts_as_the_columns_do(spark):
+    odd = ["", " \t", "a a\x0bb\n\rA  ÉÀ", "ΣΑΣ İ x", None, "w " * 3000 + "end", "x\x00y\x1fz", "日本 語"] * 150
+    rows = spark.createDataFrame([(i, x, "A") for i, x in enumerate(odd)], "id long, description string, label string")
+    train = labelled(spark, 0, 60).select("id", "description", "label")
+    model = scoring.train_softmax(train.unionByName(rows.filter("id < 8")), LABELS, 32, steps=3)
+    got = {r["id"]: r["probs"] for r in scoring.predict_many(rows, model, LABELS).collect()}
+    table, logits = model.table().first()["_table"], {}
+    for r in rows.select("id", scoring.hashed_words("description", 32).alias("b")).collect():
+        sums = [sum(table[b][k] for b in r["b"]) / max(1, len(r["b"])) ** 0.5 + table[32][k] for k in range(len(LABELS))]
+        logits[r["id"]] = [math.exp(x) for x in sums]
+    assert len(got) == len(odd)
+    for i, e in logits.items():
+        assert got[i] == pytest.approx([x / sum(e) for x in e])
