@@ -119,10 +119,6 @@ def _in_order(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]).alias("_table"))
 
 
-def _packed(table: DataFrame, key: str, value: str) -> Column:
-    return _in_order(table, key, value).scalar()
-
-
 def _predicted(scored: DataFrame, keep, labels) -> DataFrame:
     return scored.select(
         *keep,
@@ -464,52 +460,51 @@ def embed_text(df: DataFrame, features: int = 256, cells: int = 1 << 16) -> Data
     A word's md5 gives its cell (hex digits 1 to 6), in which document frequencies are counted, its
     dimension (7 to 12) and its sign (13). Its weight is ln((n + 1) / (df + 1)) in whole millionths,
     so that sums do not depend on the order of words. The table of weights has ``cells`` rows
-    whatever the corpus and travels as one value; texts are mapped, not shuffled. A text of which
+    whatever the corpus and goes with the tasks; texts are mapped, not shuffled. A text of which
     nothing has a weight is the zero vector.
     """
-    rows = df.filter(present("description")).select("id", "description")
-    words = F.filter(F.split(F.lower("description"), "[ \\t\\n\\r]+"), lambda w: w != "")
-
-    def number(h, start, digits):
-        return F.conv(F.substring(h, start, digits), 16, 10).cast("long")
-
-    def parts(h):
-        sign = 1 - 2 * (number(h, 13, 1) % 2)
-        return F.struct(
-            (number(h, 1, 6) % cells).cast("int").alias("cell"), (number(h, 7, 6) % features).cast("int").alias("dim"), sign.alias("sign")
-        )
-
-    hashed = rows.select("id", F.transform(F.transform(words, F.md5), parts).alias("_words"))
-    seen = hashed.select(F.explode(F.array_distinct(F.col("_words.cell"))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df"))
+    rows = df.filter(present("description")).select("id", _lowered("description").alias("_text"))
+    seen = rows.select("_text").mapInArrow(_texts_by_cell(cells), "cell int, df long")
+    seen = seen.groupBy("cell").agg(F.sum("df").alias("df"))
     weight = F.round(1e6 * F.log((rows.agg(F.count("*")).scalar() + 1) / (F.coalesce("df", F.lit(0)) + 1))).cast("long")
     every = df.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell"))
     weights = pin(every.join(seen, "cell", "left").select("cell", weight.alias("weight")), "word_weights")
-    valued = hashed.withColumn("_weights", _packed(weights, "cell", "weight")).select(
-        "id",
-        F.col("_words.dim").alias("dims"),
-        F.transform("_words", lambda w: w["sign"] * F.col("_weights")[w["cell"]]).alias("values"),
-    )
-    return valued.mapInArrow(_unit_vectors(features), T.StructType([valued.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+    table = np.array(_in_order(weights, "cell", "weight").first()["_table"], dtype=np.float64)
+    vector = T.StructField("embedding", T.ArrayType(T.DoubleType()))
+    return rows.mapInArrow(_unit_vectors(table, features), T.StructType([rows.schema["id"], vector]))
+
+
+def _texts_by_cell(cells: int):
+    """A map of Arrow batches of lowered texts to the numbers of one task's texts by word cell."""
+
+    def count(batches):
+        total = np.zeros(cells, np.int64)
+        for whole in batches:
+            for batch in _cut(whole):
+                rows, numbers, digests = _digests(batch.column(0))
+                total += np.bincount(np.unique(rows * cells + _bucket_of(digests, cells)[numbers]) % cells, minlength=cells)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["cell", "df"])
+
+    return count
 
 
-def _unit_vectors(features: int):
-    """A map of Arrow batches (id, dims, values) to dense vectors of length one; a few texts at a time."""
-    at_once = max(1, (1 << 20) // features)
+def _unit_vectors(weights, features: int):
+    """A map of Arrow batches (id, lowered text) to dense vectors of length one; a few texts at a time."""
+    at_once = min(1024, max(1, (1 << 20) // features))
 
     def fold(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, at_once):
-                batch = whole.slice(start, at_once)
-                n, dims, values = batch.num_rows, batch.column(1), batch.column(2)
-                lengths = dims.value_lengths().to_numpy(zero_copy_only=False)
-                place = np.repeat(np.arange(n), lengths) * features + dims.flatten().to_numpy(zero_copy_only=False)
+            for batch in _cut(whole, at_once):
+                rows, numbers, digests = _digests(batch.column(1))
+                n, sign = len(batch), 1 - 2 * ((digests >> np.uint64(12)) & np.uint64(1)).astype(np.int64)
+                dims = (((digests >> np.uint64(16)) & np.uint64(0xFFFFFF)) % np.uint64(features)).astype(np.int64)
                 # whole numbers below 2^53: exact in doubles
-                weights = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                sums = np.bincount(place, weights, n * features).astype(np.float64).reshape(n, features)
+                values = sign * weights[_bucket_of(digests, len(weights))]
+                sums = np.bincount(rows * features + dims[numbers], values[numbers], n * features).astype(np.float64).reshape(n, features)
                 norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
                 unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
-                offsets = pa.array(np.arange(n + 1) * features, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))], ["id", "embedding"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(unit.ravel(), np.full(n, features))], ["id", "embedding"])
 
     return fold
 

@@ -1,6 +1,8 @@
 """Properties of state changes, sampling, selection and sources on small inputs."""
 
 import hashlib
+import math
+import re
 import shutil
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
@@ -299,6 +301,32 @@ def test_embeddings_of_odd_texts(spark):
     assert scoring.embed_text(spark.createDataFrame([], "id long, description string"), 16).count() == 0
 
 
+def test_embedding_hashes_no_words_as_columns(texts):
+    plan = scoring.embed_text(texts, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan and "Subquery" not in plan
+
+
+def test_embedding_equals_its_words_one_by_one(spark):
+    odd = ["one two two", "a a\x0bb\n\rA  ÉÀ", "ΣΑΣ x", "日本 語\tone", "y\x1fz one two", " \t "]
+    rows = spark.createDataFrame([(i, odd[i % 6]) for i in range(2500)], "id long, description string")
+    words = [[w for w in re.split("[ \t\n\r]+", x.lower()) if w] for x in odd]
+    digest = {w: hashlib.md5(w.encode()).hexdigest() for x in words for w in x}
+    copies = [sum(1 for i in range(2500) if i % 6 == k) for k in range(6)]
+    cells = {w: int(h[:6], 16) % 97 for w, h in digest.items()}
+    seen = Counter()
+    for k, x in enumerate(words):
+        seen.update({c: copies[k] for c in {cells[w] for w in x}})
+    want = []
+    for x in words:
+        vector = [0.0] * 16
+        for w in x:
+            vector[int(digest[w][6:12], 16) % 16] += (1 - 2 * (int(digest[w][12], 16) % 2)) * round(1e6 * math.log(2501 / (seen[cells[w]] + 1)))
+        norm = math.sqrt(sum(v * v for v in vector))
+        want.append([v / norm if norm else 0.0 for v in vector])
+    got = {r.id: r.embedding for r in scoring.embed_text(rows, 16, 97).collect()}
+    assert len(got) == 2500 and all(got[i] == pytest.approx(want[i % 6]) for i in got)
+
+
 # --- sources -------------------------------------------------------------------------
 
 NASTY = ['say "hi"', "two\nlines", "comma, tab\t", " blanks ", "back\\slash", "carriage\r\nreturn", "ünïcode"]
