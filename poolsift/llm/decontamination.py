@@ -13,10 +13,11 @@ The index is written once. Benchmark words are handed to the tasks, so benchmark
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import defaultdict
+from itertools import chain, count, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +28,16 @@ from poolsift.session import pin
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
-_WORD = re.compile(WORD)
+# A-Z lowered; digits, letters and the bytes of all characters beyond ASCII stay, as in WORD; the others part words.
+_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 
 
-def words_of(text: str) -> list[str]:
-    lowered = text.encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z alone
-    return _WORD.findall(lowered.decode("utf-8", "surrogatepass"))
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_BYTES).split()
+
+
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
 
 
 def item_terms(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -45,25 +50,29 @@ def item_terms(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
 
 def index(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(row, doc_id, text_hash, n_words, terms, places) of numbered rows: where the vocabulary's words stand."""
-    rows = rows.select("row", "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = rows.select("row", "doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     fields = [T.StructField("row", T.LongType()), rows.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType())]
     fields.append(T.StructField("terms", T.ArrayType(T.IntegerType())))
     fields.append(T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))))
 
+    numbers, width = {w.encode("utf-8", "surrogatepass"): term for w, term in vocabulary.items()}, max(1, len(vocabulary))
+
     def post(batches):
-        get = vocabulary.get
         for batch in slices(batches):
-            sizes, terms, places = [], [], []
-            for text in batch.column(2).to_pylist():
-                words, lists = words_of(text), defaultdict(list)
-                for place, term in enumerate(map(get, words)):
-                    if term is not None:
-                        lists[term].append(place)
-                sizes.append(len(words))
-                terms.append(list(lists))
-                places.append(list(lists.values()))
-            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64())]
-            columns += [pa.array(terms, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.list_(pa.int32())))]
+            words = [words_of(text) for text in batch.column(2).to_pylist()]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            terms = np.fromiter(map(numbers.get, chain.from_iterable(words), repeat(-1)), np.int64, sizes.sum())
+            row = np.repeat(np.arange(len(words)), sizes)
+            place = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # one number for a row, a term and a place, in this order; a posting list is a run of them
+            longest = max(1, sizes.max())
+            lists, places = np.divmod(np.sort(((row * width + terms) * longest + place)[terms >= 0]), longest)
+            first = np.flatnonzero(np.diff(lists, prepend=-1))
+            row, terms = np.divmod(lists[first], width)
+            per_row = _offsets(np.bincount(row, minlength=len(words)))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(lists)), pa.int32()), pa.array(places, pa.int32()))
+            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes)]
+            columns += [pa.ListArray.from_arrays(per_row, pa.array(terms, pa.int32())), pa.ListArray.from_arrays(per_row, places)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return rows.mapInArrow(post, T.StructType(fields))
@@ -77,6 +86,37 @@ def frequencies(postings: DataFrame) -> dict[int, int]:
     return {r["term"]: r["n"] for r in counts.collect()}  # bounded by the block
 
 
+class Postings:
+    """The posting lists of a document by term; places leave Arrow's array only when a search asks for them."""
+
+    def __init__(self, terms: list[int], first: int, offsets, places):
+        self.numbers, self.offsets, self.places, self.read = dict(zip(terms, count(first))), offsets, places, {}
+
+    def keys(self):
+        return self.numbers.keys()
+
+    def __contains__(self, term: int) -> bool:
+        return term in self.numbers
+
+    def __getitem__(self, term: int) -> list[int]:
+        if term not in self.read:
+            n = self.numbers[term]
+            self.read[term] = self.places[self.offsets[n] : self.offsets[n + 1]].tolist()
+        return self.read[term]
+
+    def get(self, term: int, default):
+        return self[term] if term in self.numbers else default
+
+
+def documents_of(terms: pa.ListArray, places: pa.ListArray):
+    """The ``Postings`` of each row of a batch."""
+    per_row = _offsets(terms.value_lengths()).to_pylist()
+    lists, known = places.flatten(), terms.flatten().to_numpy().tolist()
+    offsets, flat = _offsets(lists.value_lengths()).to_pylist(), lists.flatten().to_numpy()
+    for a, b in zip(per_row, per_row[1:]):
+        yield Postings(known[a:b], a, offsets, flat)
+
+
 def _has(places: list[int], at: int) -> bool:
     k = bisect_left(places, at)
     return k < len(places) and places[k] == at
@@ -98,7 +138,7 @@ class Phrases:
         terms = self.items[item]
         return sorted(range(start, min(start + self.width, len(terms))), key=lambda p: (self.counts.get(terms[p], 0), p))
 
-    def search(self, lists: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    def search(self, lists: Postings) -> list[tuple[int, int, int]]:
         """(item, first, last) of a document: runs of matching windows, in its words."""
         hits, orders = defaultdict(set), {}
         for term in lists.keys() & self.windows.keys():
@@ -133,7 +173,7 @@ class Proximities:
             if len(rarest) == 2:
                 self.pairs.append((item, *rarest))
 
-    def search(self, lists: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    def search(self, lists: Postings) -> list[tuple[int, int, int]]:
         """(item, first, last): each place of the rarest term with the nearest place of the other."""
         found = []
         for item, a, b in self.pairs:
@@ -154,10 +194,10 @@ def matches(postings: DataFrame, query, names: dict[int, object], id_type) -> Da
     def find(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             spans = []
-            for terms, places in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                spans.append([{"item_id": names[i], "first": a, "last": b} for i, a, b in query.search(dict(zip(terms, places)))])
+            for lists in documents_of(batch.column(4), batch.column(5)):
+                spans.append([{"item_id": names[i], "first": a, "last": b} for i, a, b in query.search(lists)])
             columns = [*batch.columns[:4], pa.array(spans, to_arrow_type(schema["spans"].dataType))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 

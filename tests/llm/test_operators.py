@@ -252,6 +252,20 @@ def test_contamination_empty_tables(spark, odd, empty):
     assert decontamination.contamination(empty, items).count() == 0
 
 
+def test_search_reads_only_lists_it_asks_for(spark):
+    texts = [(1, "AA bb cc_dd éÉ aa"), (2, ""), (3, "x y z " * 400 + "bb cc dd"), (4, "bb cc\u00a0dd"), (5, "dd")]
+    vocabulary = {w: k for k, w in enumerate(["aa", "bb", "cc", "dd", "x", "y", "z", "éÉ"])}
+    batch = decontamination.index(table(spark, texts).withColumn("row", F.col("doc_id")), vocabulary).orderBy("row").toArrow()
+    lists = [column.combine_chunks() for column in (batch.column("terms"), batch.column("places"))]
+    found = list(decontamination.documents_of(*lists))
+    assert batch.column("n_words").to_pylist() == [6, 0, 1203, 2, 1]
+    assert {t: found[0][t] for t in found[0].keys()} == {0: [0, 5], 1: [1], 2: [2], 3: [3], 7: [4]}
+    assert list(found[1].keys()) == [] and {t: found[3][t] for t in found[3].keys()} == {1: [0]}
+    query = decontamination.Phrases({7: [1, 2, 3]}, {1: 2, 2: 3, 3: 4}, 10)
+    cut = list(decontamination.documents_of(*(x.slice(2) for x in lists)))
+    assert query.search(cut[0]) == [(7, 1200, 1202)] and set(cut[0].read) == {1, 2, 3} and len(cut[0].keys()) == 6
+
+
 # 5 SimHash
 
 
